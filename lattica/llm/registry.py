@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, packing, pii, quality_rules
+from . import decontamination, jaccard_join, packing, pii, quality_rules, substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.query,
     "op2_ngram_jaccard_join": jaccard_join.query,
     "op4_packing": packing.query,
     "op5_benchmark_decontamination": decontamination.query,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_substring_dedup": substring_dedup.ORACLE,
     "op2_ngram_jaccard_join": jaccard_join.ORACLE,
     "op5_benchmark_decontamination": decontamination.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,
