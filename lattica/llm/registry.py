@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, packing, pii, quality_rules, substring_dedup
+from . import decontamination, jaccard_join, packing, pii, quality_classifier, quality_rules, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
     "op2_ngram_jaccard_join": jaccard_join.query,
     "op4_packing": packing.query,
     "op5_benchmark_decontamination": decontamination.query,
+    "op6_toxicity": toxicity.query,
     "op7_pii": pii.query,
     "op8_quality_rules": quality_rules.query,
+    "op9_quality_classifier": quality_classifier.query,
 }
 
 SQL = {
