@@ -6,24 +6,26 @@ their sets have elements that only one has. Two sets of a and b elements with
 Jaccard similarity >= 3/4 differ in at most (a + b) / 7.
 
 Pigeonhole join. Per band of sizes, shingles fall by hash into more parts than
-two sets in the band can differ in, so linked sets agree in a part. A part's
-bits are kept as the XOR of its shingles' 64-bit hashes, the compact image of a
-sparse parity vector: equal if the parts are equal. Documents meet on (band,
-part, XOR). Parts without any shingle agree by default and are left out; this
-is safe for a document whose filled parts outnumber the possible differences,
-and the few others also offer their empty parts, in a key space of their own
-where all shingles are kept. Very frequent shingles (FREQUENT of the documents)
-are left out of the first key space: dropping elements from both sets never adds
-a difference, and common passages then bring no documents together.
+two sets in the band can differ in, so linked sets agree in several parts. A
+part's bits are kept as the XOR of its shingles' 64-bit hashes, the compact image
+of a sparse parity vector: equal if the parts are equal. Documents meet on (band,
+part, XOR). Parts without any shingle agree by default and are left out; a
+document's slack is the number of filled parts in which it surely agrees with any
+linked one. The few documents without slack offer their empty parts too.
 
 Sizes fall into bands [L, 2L), and into boundary bands around each L for pairs
 on either side of it.
 
 Verification. Documents that meet on a key are linked to the smallest of them
 only, never all with all; such pairs are checked by size, by the Hamming
-distance of 1024-bit parity sketches, and then exactly on the shingle sets. Keys
-whose documents did not all end up connected are then expanded into the pairs
-between different components, so no link that could join components is lost.
+distance of parity sketches as wide as the sets, and then exactly on the shingle
+sets. What the smallest does not connect is looked up again: a key on which at
+most SMALL documents meet is expanded into the pairs between different components.
+On the other, common keys a document is expanded only if it has no fewer common
+keys than slack; any other shares an uncommon key with each linked document. So
+no link that could join components is lost, and common passages bring no
+documents together.
+
 Equal sets are one node throughout.
 
 Scale. Keys are combined per batch before the shuffle (one document of each key
@@ -52,13 +54,12 @@ from .components import components
 from .words import mix, shingles, word_hashes
 
 SHINGLE = 5
-#: Share of the documents in which a shingle counts as very frequent, and the same share within a batch to be proposed.
-FREQUENT, FREQUENT_IN_BATCH = 0.004, 0.008
-#: Very frequent shingles are broadcast; the commonest, at most so many (leaving some in only adds candidates).
-MOST_FREQUENT = 200_000
-BITS = 1024
+#: Documents that meet on a key and are then compared with one another if they stay unconnected.
+SMALL = 8
 #: Keys that a group of the second stage gets, on average.
 KEYS_PER_GROUP = 1_000_000
+#: Keys are numbers below this; chance agreement only adds candidates.
+KEY = 1 << 48
 _LEAST, _BANDS = 3, 40
 
 
@@ -73,7 +74,17 @@ def node_of(own: np.ndarray) -> int:
 
 
 def sketch_of(own: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((own >> np.uint64(20)) & np.uint64(BITS - 1), minlength=BITS) & 1).tobytes()
+    """The parity sketch: as many bits as the set has elements, rounded up to a power of two."""
+    bits = 1 << max(8, int(len(own)).bit_length())
+    return np.packbits((np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketches_differ(a: bytes, b: bytes) -> int:
+    """The Hamming distance of two sketches, the wider one folded to the width of the other."""
+    x, y = (np.frombuffer(s, dtype=np.uint64) for s in sorted((a, b), key=len))
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def most_differences(n: int) -> int:
@@ -81,76 +92,68 @@ def most_differences(n: int) -> int:
     return (n + 4 * n // 3) // 7
 
 
-def bands(n: int) -> list[tuple[int, int]]:
-    """(band, parts) for a set of n: the band that holds n, and the boundary bands that it may be linked across."""
+def bands(n: int) -> list[tuple[int, int, int]]:
+    """(band, parts, most differences there) for a set of n: the band that holds n, and the boundary bands that it may be linked across."""
     out = []
     for i in range(_BANDS):
         low = _LEAST << i
         if low <= n < 2 * low:
-            out.append((2 * i, _parts(2 * (2 * low - 1) // 7)))
+            most = 2 * (2 * low - 1) // 7
+            out.append((2 * i, _parts(most), most))
         top = 4 * (low - 1) // 3
         if 4 * n >= 3 * low and n <= top:
-            out.append((2 * i + 1, _parts((top + low - 1) // 7)))
+            most = (top + low - 1) // 7
+            out.append((2 * i + 1, _parts(most), most))
         if low > 2 * n:
             break
     return out
 
 
 def _parts(differences: int) -> int:
-    return differences + 1 + differences // 14
+    return differences + 1 + differences // 5
 
 
-def keys_of(own: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The keys on which a set meets others."""
+def keys_of(own: np.ndarray) -> tuple[np.ndarray, int]:
+    """The keys on which a set meets others, and its slack: with a linked set it shares at least so many of them."""
     n = len(own)
     if n < _LEAST:
-        return np.zeros(0, dtype=np.uint64)  # so small, only equal sets are linked
-    rare = own
-    if len(frequent):
-        at = np.searchsorted(frequent, own)
-        rare = own[frequent[np.minimum(at, len(frequent) - 1)] != own]
-    out = []
-    for band, parts in bands(n):
-        spare = parts - min(most_differences(n), parts - 1)
-        for space, chosen in ((0, rare), (1, own)):
-            where = chosen % np.uint64(parts)
-            order = np.argsort(where, kind="stable")
-            where, codes = where[order], mix(chosen[order])
-            first = np.flatnonzero(np.diff(where, prepend=np.uint64(2**63)))
-            filled = where[first]
-            values = np.bitwise_xor.reduceat(codes, first) if len(first) else codes
-            name = np.uint64((band << 1 | space) << 40)
-            out.append(mix(mix(filled + name + np.uint64(1)) ^ values))
-            enough = parts - len(filled) < spare
-            if space and not enough:
-                empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), filled)
-                out.append(mix(mix(empty + name + np.uint64(1))))
-            if enough:
-                break
-    return np.concatenate(out)
+        return np.zeros(0, dtype=np.uint64), 1  # so small, only equal sets are linked
+    out, slack = [], n
+    for band, parts, most in bands(n):
+        where = own % np.uint64(parts)
+        order = np.argsort(where, kind="stable")
+        where, codes = where[order], mix(own[order])
+        first = np.flatnonzero(np.diff(where, prepend=np.uint64(2**63)))
+        filled = where[first]
+        name = np.uint64((band + 1) << 40)
+        out.append(mix(mix(filled + name) ^ np.bitwise_xor.reduceat(codes, first)))
+        apart = min(most_differences(n), most)
+        if len(filled) <= apart:
+            out.append(mix(np.setdiff1d(np.arange(parts, dtype=np.uint64), filled) + name))
+            slack = 1  # a linked set may offer filled parts only
+        else:
+            slack = min(slack, len(filled) - apart)
+    return np.concatenate(out), slack
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, node, sketch) per row; and rows with a null sketch and n < 0 that propose a shingle (node) as frequent, in -n documents."""
+    """doc_id, n, node, sketch and slack per row; node is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t) for t in texts(batch)]
-            every, count = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = count >= max(4, FREQUENT_IN_BATCH * len(sets))
-            every, count = every[often], count[often]
-            none = pa.nulls(len(every), pa.int64())
             yield pa.record_batch(
                 [
-                    pa.concat_arrays([ids(batch).cast(pa.int64()), none]),
-                    pa.array([len(s) for s in sets] + (-count).tolist(), pa.int64()),
-                    pa.array([node_of(s) if len(s) else None for s in sets] + every.astype(np.int64).tolist(), pa.int64()),
-                    pa.array([sketch_of(s) for s in sets] + [None] * len(every), pa.binary()),
+                    ids(batch).cast(pa.int64()),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
+                    pa.array([sketch_of(s) for s in sets], pa.binary()),
+                    pa.array([keys_of(s)[1] for s in sets], pa.int64()),
                 ],
-                names=["doc_id", "n", "node", "sketch"],
+                names=["doc_id", "n", "node", "sketch", "slack"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, n long, node long, sketch binary, slack long")
 
 
 def _meet(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -165,15 +168,14 @@ def _meet(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return key[new], node[new], least[new], new_key[new]
 
 
-def meetings(docs: DataFrame, frequent: np.ndarray, groups: int) -> DataFrame:
+def meetings(docs: DataFrame, groups: int) -> DataFrame:
     """(key, rep, member): documents (as nodes) that meet on a key, each beside the smallest of its batch, and these beside the smallest of all."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(frequent))
-    schema = "part int, keys binary, nodes binary, met_keys binary, met_reps binary, met_members binary"
+    columns = ("keys", "nodes", "counts", "met_keys", "met_reps", "met_members")
 
-    def split(part: np.ndarray, *columns: np.ndarray) -> list[list[bytes]]:
+    def split(part: np.ndarray, *columns: np.ndarray) -> list[list[np.ndarray]]:
         order = np.argsort(part, kind="stable")
         cuts = np.searchsorted(part[order], np.arange(groups + 1))
-        return [[c[order[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:])] for c in columns]
+        return [[c[order[a:b]] for a, b in zip(cuts[:-1], cuts[1:])] for c in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,20 +185,32 @@ def meetings(docs: DataFrame, frequent: np.ndarray, groups: int) -> DataFrame:
                 node = node_of(own)
                 if node not in done:
                     done.add(node)
-                    keys.append(keys_of(own, shared.value))
+                    keys.append(keys_of(own)[0] & np.uint64(KEY - 1))
                     nodes.append(np.full(len(keys[-1]), node, dtype=np.int64))
             if not keys:
                 continue
             key, node, least, leads = _meet(np.concatenate(keys), np.concatenate(nodes))
-            lead = split((key[leads] >> np.uint64(20)) % np.uint64(groups), key[leads], node[leads])
-            rest = split(mix(node[~leads].astype(np.uint64)) % np.uint64(groups), key[~leads], least[~leads], node[~leads])
-            yield pa.record_batch([pa.array(np.arange(groups, dtype=np.int32)), *(pa.array(c, pa.binary()) for c in lead + rest)], names=["part", "keys", "nodes", "met_keys", "met_reps", "met_members"])
+            # Of those that leave the batch, each group gets six bytes a key, ordered by node, and every node once with its count.
+            first = np.argsort(node[leads], kind="stable")
+            key_lead, node_lead = key[leads][first], node[leads][first]
+            sent = [[], [], []]
+            for k, n in zip(*split(mix(key_lead) % np.uint64(groups), key_lead, node_lead)):
+                sent[0].append(k.view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+                names, counts = np.unique(n, return_counts=True)
+                sent[1].append(names.tobytes())
+                sent[2].append(counts.astype(np.uint32).tobytes())
+            rest = split(mix(node[~leads].view(np.uint64)) % np.uint64(groups), key[~leads].view(np.int64), least[~leads], node[~leads])
+            sent += [[x.tobytes() for x in c] for c in rest]
+            yield pa.record_batch([pa.array(np.arange(groups, dtype=np.int32)), *(pa.array(c, pa.binary()) for c in sent)], names=["part", *columns])
 
     def meet(table: pa.Table) -> pa.Table:
         def whole(name: str, kind: type) -> np.ndarray:
             return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=kind)
 
-        key, node, least, leads = _meet(whole("keys", np.uint64), whole("nodes", np.int64))
+        six = whole("keys", np.uint8).reshape(-1, 6)
+        keys = np.zeros((len(six), 8), dtype=np.uint8)
+        keys[:, :6] = six
+        key, node, least, leads = _meet(keys.view(np.uint64).ravel(), np.repeat(whole("nodes", np.int64), whole("counts", np.uint32)))
         return pa.table(
             {
                 "key": np.concatenate([key[~leads].view(np.int64), whole("met_keys", np.int64)]),
@@ -205,6 +219,7 @@ def meetings(docs: DataFrame, frequent: np.ndarray, groups: int) -> DataFrame:
             }
         )
 
+    schema = "part int, " + ", ".join(f"{c} binary" for c in columns)
     return docs.mapInArrow(run, schema).groupBy("part").applyInArrow(meet, "key long, rep long, member long")
 
 
@@ -213,11 +228,10 @@ def links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64) for c in (4, 5))
-            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            apart = np.bitwise_count(a ^ b).sum(axis=1)
-            good = pa.array((7 * apart <= n + m) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)))
-            yield batch.select([0, 1]).filter(good)
+            good = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in range(2, 6))):
+                good.append(4 * min(n, m) >= 3 * max(n, m) and 7 * sketches_differ(x, y) <= n + m)
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(near, "a long, b long")
@@ -230,9 +244,8 @@ def links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             own = [shingle_set(t) for t in texts(batch)]
             yield pa.record_batch([pa.array([node_of(s) if len(s) else None for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], names=["node", "own"])
 
-    # Documents of equal ids but other texts drop out again by their node.
-    found = keep_ids(docs, wanted).mapInArrow(sets, "node long, own binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    found = materialize(found, "sets")
+    # Documents of equal ids but other texts come along and meet no pair, or one to which their set belongs.
+    found = materialize(keep_ids(docs, wanted).mapInArrow(sets, "node long, own binary"), "sets")
     side = lambda x: found.select(F.col("node").alias(x), F.col("own").alias(f"s_{x}"))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +257,7 @@ def links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 good.append(100 * common >= 75 * (len(a) + len(b) - common))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(linked, "a long, b long"), "links")
+    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(linked, "a long, b long").distinct(), "links")
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
@@ -252,44 +265,43 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     docs = documents(docs)
-    seen = materialize(profile(docs), "profile")
-    rows = seen.where("n >= 0")
-    size = rows.agg(F.count("*"), F.sum("n")).first()
-    frequent = seen.where("n < 0").groupBy("node").agg(F.sum(-F.col("n")).alias("c")).where(F.col("c") >= max(8, FREQUENT * size[0]))
-    frequent = np.array([r[0] for r in frequent.orderBy(F.desc("c"), "node").limit(MOST_FREQUENT).collect()], dtype=np.int64).view(np.uint64)
+    rows = materialize(profile(docs), "profile")
+    total = rows.agg(F.sum("n")).first()[0] or 0
     # A null id sorts after all others; the surrogates become null again.
     last = 2**63 - 1
     own_id = F.coalesce("doc_id", F.lit(last) - F.pmod("node", F.lit(2**32)))
-    nodes = rows.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.first("sketch").alias("sketch"), F.min(own_id).alias("vertex"), F.min("doc_id").alias("doc_id"))
+    nodes = rows.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("slack").alias("slack"), F.first("sketch").alias("sketch"), F.min(own_id).alias("vertex"), F.min("doc_id").alias("doc_id"))
     nodes = materialize(nodes, "nodes")
-    groups = max(8, -(-int(size[1] or 0) * 7 // 10 // KEYS_PER_GROUP))
-    met = materialize(meetings(docs.where("text IS NOT NULL"), frequent, groups), "met")
-    named = lambda df: df.select(F.least("rep", "member").alias("a"), F.greatest("rep", "member").alias("b")).distinct()
-    tried = named(met)
+    groups = max(8, -(-int(total) * 7 // 10 // KEYS_PER_GROUP))
+    met = materialize(meetings(docs.where("text IS NOT NULL"), groups), "met")
+    tried = materialize(met.select(F.least("rep", "member").alias("a"), F.greatest("rep", "member").alias("b")).distinct(), "tried")
     found = links(tried, nodes, docs)
     vertex = nodes.select("node", "vertex")
 
     def classes(found: DataFrame) -> DataFrame:
         ends = found.join(vertex.select(F.col("node").alias("a"), F.col("vertex").alias("u")), "a").join(vertex.select(F.col("node").alias("b"), F.col("vertex").alias("v")), "b")
-        return vertex.join(components(ends.select(F.col("u").alias("a"), F.col("v").alias("b"))), "vertex").select("node", "component")
-
-    of = classes(found)
-    # Keys of three or more nodes that are not all connected: the pairs between their components.
-    place = lambda x: of.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
-    apart = met.join(place("rep"), "rep", "left").join(place("member"), "member", "left").where("NOT c_rep <=> c_member OR c_rep IS NULL").select("key")
-    open_keys = materialize(met.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key").join(apart.distinct(), "key", "left_semi"), "open")
-    if not open_keys.isEmpty():
-        some = met.join(open_keys, "key", "left_semi")
-        some = some.select("key", F.col("rep").alias("node")).unionAll(some.select("key", F.col("member").alias("node"))).distinct()
-        some = some.join(of, "node", "left").join(nodes.select("node", "n"), "node")
-        one, two = some.toDF("a", "key", "c_a", "n_a"), some.toDF("b", "key", "c_b", "n_b")
-        between = one.join(two, "key").where("a < b AND (c_a IS NULL OR c_b IS NULL OR c_a <> c_b) AND 4 * n_a >= 3 * n_b AND 4 * n_b >= 3 * n_a").select("a", "b").distinct()
-        more = links(materialize(between.join(tried, ["a", "b"], "left_anti"), "between"), nodes, docs)
+        return vertex.join(components(ends.select(F.col("u").alias("a"), F.col("v").alias("b"))), "vertex", "left").select("node", F.coalesce("component", "vertex").alias("component"))
+
+    of = materialize(classes(found), "classes")
+    # Keys of three or more nodes, which the pairs with the smallest may have left unconnected.
+    sizes = materialize(met.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
+    each = lambda rows: rows.select("key", F.col("rep").alias("node")).unionAll(rows.select("key", F.col("member").alias("node"))).distinct()
+    small = each(met.join(sizes.where(F.col("c") < SMALL).select("key"), "key", "left_semi"))
+    common = materialize(each(met.join(sizes.where(F.col("c") >= SMALL).select("key"), "key", "left_semi")), "common")
+    unsafe = common.groupBy("node").agg(F.count("*").alias("h")).join(nodes.select("node", "slack"), "node").where("h >= slack").select("node")
+    open_keys = small.unionByName(common.join(unsafe, "node", "left_semi")).join(of, "node").join(nodes.select("node", "n"), "node")
+    open_keys = materialize(open_keys, "open")
+    split = open_keys.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    some = open_keys.join(split, "key", "left_semi").select("node", "key", "component", "n")
+    one, two = some.toDF("a", "key", "c_a", "n_a"), some.toDF("b", "key", "c_b", "n_b")
+    between = one.join(two, "key").where("a < b AND c_a <> c_b AND 4 * n_a >= 3 * n_b AND 4 * n_b >= 3 * n_a").select("a", "b").distinct()
+    between = materialize(between.join(tried, ["a", "b"], "left_anti"), "between")
+    if not between.isEmpty():
+        more = links(between, nodes, docs)
         if not more.isEmpty():
             of = classes(found.unionAll(more))
-    whole = rows.join(of, "node", "left").join(vertex, "node", "left")
-    component = F.coalesce("component", "vertex")
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(component.isNull(), F.col("doc_id")).when(component < last - 2**32, component).alias("component_id"))
+    whole = rows.join(of, "node", "left")
+    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).when(F.col("component") < last - 2**32, F.col("component")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
