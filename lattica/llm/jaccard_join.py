@@ -21,10 +21,11 @@ only, never all with all; such pairs are checked by size, by the Hamming
 distance of parity sketches as wide as the sets, and then exactly on the shingle
 sets. What the smallest does not connect is looked up again: a key on which at
 most SMALL documents meet is expanded into the pairs between different components.
-On the other, common keys a document is expanded only if it has no fewer common
-keys than slack; any other shares an uncommon key with each linked document. So
-no link that could join components is lost, and common passages bring no
-documents together.
+A document with fewer common keys than slack shares an uncommon key with each
+linked one. The others, made of common passages, meet again on single shingles:
+linked sets of n and m elements share one of the n - 3n/4 + 1 (m - 3m/4 + 1)
+shingles that are rarest among these documents. So no link that could join
+components is lost, and common passages bring no documents together.
 
 Equal sets are one node throughout.
 
@@ -46,7 +47,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, ids, keep_ids, materialize, prepare, texts
@@ -56,6 +57,8 @@ from .words import mix, shingles, word_hashes
 SHINGLE = 5
 #: Documents that meet on a key and are then compared with one another if they stay unconnected.
 SMALL = 8
+#: Documents on a key that are compared in one go, and rows of such blocks in a task, on average.
+BLOCK, BLOCK_ROWS = 256, 50_000
 #: Keys that a group of the second stage gets, on average.
 KEYS_PER_GROUP = 1_000_000
 #: Keys are numbers below this; chance agreement only adds candidates.
@@ -260,6 +263,65 @@ def links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return materialize(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(linked, "a long, b long").distinct(), "links")
 
 
+def rarest(docs: DataFrame, some: DataFrame) -> DataFrame:
+    """(key, node): for the documents of some (node, doc_id) their shingles of which, among these documents, linked ones must share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = {node_of(s): s for s in map(shingle_set, texts(batch)) if len(s)}
+            node = np.repeat(np.array(list(sets), dtype=np.int64), [len(s) for s in sets.values()])
+            own = np.concatenate([np.zeros(0, dtype=np.uint64), *sets.values()])
+            size = np.repeat([len(s) for s in sets.values()], [len(s) for s in sets.values()])
+            yield pa.record_batch([pa.array(own.view(np.int64)), pa.array(node), pa.array(size, pa.int64())], names=["key", "node", "size"])
+
+    each = materialize(keep_ids(docs, some).mapInArrow(run, "key long, node long, size long").distinct(), "shingles")
+    shared = each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    # Shingles of one document alone are the rarest; they take places and meet nobody.
+    ranked = each.join(shared, "key").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("c", "key"))).withColumn("all", F.count("*").over(Window.partitionBy("node")))
+    return ranked.where("size - all + rank <= size - ceil(0.75 * size) + 1").select("key", "node")
+
+
+def unconnected(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes with a key in common and different components whose sizes and sketches allow a link. rows: key, node, component, n.
+
+    A key's nodes are compared in blocks of about BLOCK, each pair of blocks on its own, so no key fills a task; only pairs that pass are emitted.
+    """
+    keys = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    rows = rows.join(keys.select("key", blocks.alias("blocks")), "key").join(nodes.select("node", "sketch"), "node")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    parts = max(8, -(-rows.count() // BLOCK_ROWS))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("key", "low", "high"), F.lit(parts)))
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("key", "ascending"), ("low", "ascending"), ("high", "ascending")])
+        key, low, high, node, component, n, block = (table.column(c).to_numpy() for c in ("key", "low", "high", "node", "component", "n", "block"))
+        sketch = table.column("sketch").to_pylist()
+        new = np.flatnonzero((np.diff(key, prepend=key[:1] - 1) != 0) | (np.diff(low, prepend=-1) != 0) | (np.diff(high, prepend=-1) != 0))
+        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for start, end in zip(new.tolist(), [*new[1:].tolist(), len(key)]):
+            if end - start < 2 or (component[start:end] == component[start]).all():
+                continue
+            width = min(map(len, sketch[start:end])) // 8
+            bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, dtype=np.uint64).reshape(-1, width), axis=0) for x in sketch[start:end]])
+            size, place, name, own = n[start:end], component[start:end], node[start:end], block[start:end]
+            for i in range(end - start - 1):
+                sizes = size[i + 1 :]
+                good = (place[i + 1 :] != place[i]) & (4 * np.minimum(sizes, size[i]) >= 3 * np.maximum(sizes, size[i]))
+                if low[start] != high[start]:
+                    good &= own[i + 1 :] != own[i]
+                good = np.flatnonzero(good)
+                good = good[7 * np.bitwise_count(bits[i + 1 + good] ^ bits[i]).sum(axis=1) <= sizes[good] + size[i]]
+                a.append(np.full(len(good), name[i]))
+                b.append(name[i + 1 + good])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return rows.groupBy("part").applyInArrow(compare, "a long, b long")
+
+
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id reachable by links, per row of docs."""
     spark = docs.sparkSession
@@ -287,15 +349,12 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     sizes = materialize(met.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
     each = lambda rows: rows.select("key", F.col("rep").alias("node")).unionAll(rows.select("key", F.col("member").alias("node"))).distinct()
     small = each(met.join(sizes.where(F.col("c") < SMALL).select("key"), "key", "left_semi"))
-    common = materialize(each(met.join(sizes.where(F.col("c") >= SMALL).select("key"), "key", "left_semi")), "common")
-    unsafe = common.groupBy("node").agg(F.count("*").alias("h")).join(nodes.select("node", "slack"), "node").where("h >= slack").select("node")
-    open_keys = small.unionByName(common.join(unsafe, "node", "left_semi")).join(of, "node").join(nodes.select("node", "n"), "node")
+    common = each(met.join(sizes.where(F.col("c") >= SMALL).select("key"), "key", "left_semi"))
+    unsafe = common.groupBy("node").agg(F.count("*").alias("h")).join(nodes.select("node", "slack", "doc_id"), "node").where("h >= slack")
+    rare = rarest(docs, materialize(unsafe.select("node", "doc_id"), "unsafe"))
+    open_keys = small.select("key", "node").unionByName(rare).join(of, "node").join(nodes.select("node", "n"), "node")
     open_keys = materialize(open_keys, "open")
-    split = open_keys.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    some = open_keys.join(split, "key", "left_semi").select("node", "key", "component", "n")
-    one, two = some.toDF("a", "key", "c_a", "n_a"), some.toDF("b", "key", "c_b", "n_b")
-    between = one.join(two, "key").where("a < b AND c_a <> c_b AND 4 * n_a >= 3 * n_b AND 4 * n_b >= 3 * n_a").select("a", "b").distinct()
-    between = materialize(between.join(tried, ["a", "b"], "left_anti"), "between")
+    between = materialize(unconnected(open_keys, nodes).distinct().join(tried, ["a", "b"], "left_anti"), "between")
     if not between.isEmpty():
         more = links(between, nodes, docs)
         if not more.isEmpty():
