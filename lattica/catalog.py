@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Modules whose import registers queries.
+MODULES = ("stats", "qc", "names", "align", "windows", "intervals", "graph", "genetics")
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -19,3 +21,11 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return fn
 
     return add
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from importlib import import_module
+
+    for name in MODULES:
+        import_module(f"lattica.operators.{name}")
