@@ -77,8 +77,8 @@ def node_of(own: np.ndarray) -> int:
 
 
 def sketch_of(own: np.ndarray) -> bytes:
-    """The parity sketch: as many bits as the set has elements, rounded up to a power of two."""
-    bits = 1 << max(8, int(len(own)).bit_length())
+    """The parity sketch: as many bits as the set has elements, rounded up to a power of two, 1024 at least."""
+    bits = 1 << max(10, int(len(own)).bit_length())
     return np.packbits((np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -226,6 +226,15 @@ def meetings(docs: DataFrame, groups: int) -> DataFrame:
     return docs.mapInArrow(run, schema).groupBy("part").applyInArrow(meet, "key long, rep long, member long")
 
 
+def of_nodes(docs: DataFrame, wanted: DataFrame, fn, schema: str) -> DataFrame:
+    """fn over the documents of wanted (node, doc_id). Documents of equal ids but other texts come along, with their own nodes. Nodes that only documents without an id have are looked for among these."""
+    found = keep_ids(docs, wanted).mapInArrow(fn, schema)
+    nameless = wanted.where("doc_id IS NULL").select("node")
+    if not nameless.isEmpty():
+        found = found.unionByName(docs.where("doc_id IS NULL").mapInArrow(fn, schema).join(nameless, "node", "left_semi"))
+    return found
+
+
 def links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are linked, exactly. nodes: node, n, sketch, doc_id."""
 
@@ -247,8 +256,7 @@ def links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             own = [shingle_set(t) for t in texts(batch)]
             yield pa.record_batch([pa.array([node_of(s) if len(s) else None for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], names=["node", "own"])
 
-    # Documents of equal ids but other texts come along and meet no pair, or one to which their set belongs.
-    found = materialize(keep_ids(docs, wanted).mapInArrow(sets, "node long, own binary"), "sets")
+    found = materialize(of_nodes(docs, wanted, sets, "node long, own binary"), "sets")
     side = lambda x: found.select(F.col("node").alias(x), F.col("own").alias(f"s_{x}"))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +282,7 @@ def rarest(docs: DataFrame, some: DataFrame) -> DataFrame:
             size = np.repeat([len(s) for s in sets.values()], [len(s) for s in sets.values()])
             yield pa.record_batch([pa.array(own.view(np.int64)), pa.array(node), pa.array(size, pa.int64())], names=["key", "node", "size"])
 
-    each = materialize(keep_ids(docs, some).mapInArrow(run, "key long, node long, size long").distinct(), "shingles")
+    each = materialize(of_nodes(docs, some, run, "key long, node long, size long").distinct(), "shingles")
     shared = each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     # Shingles of one document alone are the rarest; they take places and meet nobody.
     ranked = each.join(shared, "key").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("c", "key"))).withColumn("all", F.count("*").over(Window.partitionBy("node")))
@@ -317,7 +325,8 @@ def unconnected(rows: DataFrame, nodes: DataFrame) -> DataFrame:
                 a.append(np.full(len(good), name[i]))
                 b.append(name[i + 1 + good])
         a, b = np.concatenate(a), np.concatenate(b)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
 
     return rows.groupBy("part").applyInArrow(compare, "a long, b long")
 

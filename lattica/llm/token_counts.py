@@ -163,7 +163,8 @@ def token_counts(docs: DataFrame, edits: DataFrame | None = None, path: str | No
     """Token counts before and after the edits per row of docs. edits: doc_id, start, end, replacement; by default those of rule_edits."""
     prepare(docs.sparkSession)
     docs = documents(docs)
-    if edits is not None:
+    logged = edits is not None
+    if logged:
         log = edits.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.collect_list(F.struct(F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e"), F.col("replacement").alias("r"))).alias("edits"))
         docs = docs.join(log, "doc_id", "left")
 
@@ -171,10 +172,10 @@ def token_counts(docs: DataFrame, edits: DataFrame | None = None, path: str | No
         splitter = Splitter(path)
         for batch in batches:
             rows = []
-            logs = batch.column(2).to_pylist() if edits is not None else [None] * batch.num_rows
+            logs = batch.column(2).to_pylist() if logged else [None] * batch.num_rows
             for t, log in zip(texts(batch), logs):
                 t = t or ""
-                log = rule_edits(t) if edits is None else [(x["s"], x["e"], x["r"] or "") for x in log or ()]
+                log = rule_edits(t) if not logged else [(x["s"], x["e"], x["r"] or "") for x in log or ()]
                 doc, before, done, skipped = apply_edits(t, log, splitter)
                 rows.append((before, done, skipped, doc.tree.total, len(doc.ends), doc.reencoded))
             columns = list(zip(*rows)) or [()] * 6
