@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Modules whose import registers queries.
-MODULES = ("stats", "qc", "names", "align", "windows", "intervals", "graph", "genetics")
+MODULES = ("stats", "qc", "names", "align", "windows", "intervals", "graph", "genetics", "annotate")
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
