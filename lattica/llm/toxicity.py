@@ -15,9 +15,12 @@ the difference over the whole text per character; a logistic function fitted on
 labelled rows that the models have not seen (fold 4) turns them into a score.
 
 Scale. Only the class counts are fitted on a bounded sample (SAMPLE rows of each
-label, GRAMS grams); the shared counts are summed over all texts, per task first,
-and only those that the sample's grams need reach the driver and the broadcast,
-so their number is bounded by GRAMS too. Scoring is one pass without a shuffle.
+label), and every start of its words counts; the shared counts are summed over all
+texts, per task first. Counts, probabilities and their logarithms stay Spark
+tables. Starts are told apart by 64-bit hashes, so the driver and the broadcast
+hold 16 bytes for each start of the sample and each one that goes on, whatever
+their length (two of a million starts meet with a chance of about 3 in 10**8).
+Scoring is one pass without a shuffle.
 
 Defined cases: a null, empty or wordless text has no evidence and gets the score
 of zero evidence; a null doc_id is scored and not held out; repeated rows are
@@ -27,32 +30,37 @@ every score is 0. Other columns are not read.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, ids, materialize, prepare, texts
 from .labelled import held_out, sample
+from .words import mix, powers
 
 #: Of the shared model, with the character that is predicted.
 ORDER = 5
 PREFIX = 10
 DISCOUNT = 0.75
 SAMPLE = 20_000
-GRAMS = 250_000
 #: Words and grams that a task holds before it passes counts on.
 HELD = 200_000
 #: Characters that a word's likelihood spreads over when nothing is known.
 ALPHABET = 200
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
+#: Rows in a batch of counts.
+ROWS = 100_000
+
 _WORD = re.compile(r"[^\W\d_]+")
+_BASE = 0x9E3779B97F4A7C15
+#: The key of the empty start.
+EMPTY = 0
 
 
 def words(text: str | None) -> list[str]:
@@ -64,10 +72,19 @@ def grams(word: str, order: int = ORDER) -> list[str]:
     return [padded[i : i + order] for i in range(len(word) + 1)]
 
 
-def starts(word: str, prefix: int = PREFIX) -> list[str]:
-    """The starts of a word and its end mark, each character with all before it."""
-    whole = word + "$"
-    return [whole[:i] for i in range(1, min(len(whole), prefix) + 1)]
+def starts(found: list[str], prefix: int = PREFIX) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The starts of words and their end marks, each character with all before it: their keys word after word, the keys of the starts one character shorter, and how many each word has."""
+    wholes = [(w + "$")[:prefix] for w in found]
+    sizes = np.fromiter(map(len, wholes), dtype=np.int64, count=len(wholes))
+    codes = np.frombuffer("".join(wholes).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = np.arange(len(codes)) - first
+    up, _ = powers(_BASE, int(sizes.max(initial=0)))
+    total = np.zeros(len(codes) + 1, dtype=np.uint64)
+    np.cumsum(mix(codes + np.uint64(_BASE)) * up[at], out=total[1:])
+    keys = mix(total[1:] - total[first]).view(np.int64)
+    shorter = np.where(at == 0, EMPTY, np.roll(keys, 1))
+    return keys, shorter, sizes
 
 
 def counted(docs: DataFrame, pieces: Callable[[str], list[str]]) -> DataFrame:
@@ -103,81 +120,153 @@ def counted(docs: DataFrame, pieces: Callable[[str], list[str]]) -> DataFrame:
     return docs.select("label", "text").mapInArrow(run, "label int, gram string, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
 
 
-def shared_counts(corpus: DataFrame, needed: DataFrame, order: int) -> list[dict[str, float]]:
-    """For k = 1 .. order - 1 the probabilities of the needed k-grams' last characters under the shared model.
+def class_counts(docs: DataFrame, order: int, prefix: int) -> DataFrame:
+    """(label, key, shorter, tail, n) over the starts of the words of docs (label, text): tail is what the shared model sees of a start, its last order - 1 characters."""
+
+    def expand(seen: dict) -> Iterator[pa.RecordBatch]:
+        for label, c in seen.items():
+            found = list(c)
+            keys, shorter, sizes = starts(found, prefix)
+            n = np.repeat(np.fromiter(c.values(), dtype=np.int64, count=len(c)), sizes)
+            keys, at, of = np.unique(keys, return_index=True, return_inverse=True)
+            total = np.zeros(len(keys), dtype=np.int64)
+            np.add.at(total, of, n)
+            ends = np.cumsum(sizes)
+            words_at = np.searchsorted(ends, at, side="right")
+            for i in range(0, len(keys), ROWS):
+                tails = []
+                for w, k in zip(words_at[i : i + ROWS].tolist(), (at - (ends - sizes)[words_at])[i : i + ROWS].tolist()):
+                    # The last order - 1 characters up to character k.
+                    tail = (found[w] + "$")[max(0, k + 2 - order) : k + 1]
+                    tails.append("^" * (order - 1 - len(tail)) + tail)
+                rows = slice(i, i + ROWS)
+                yield pa.record_batch([pa.array([label] * len(tails), pa.int32()), pa.array(keys[rows]), pa.array(shorter[at[rows]]), pa.array(tails, pa.string()), pa.array(total[rows])], names=["label", "key", "shorter", "tail", "n"])
+        seen.clear()
 
-    corpus: distinct grams of the top order. needed: those of the sample.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, Counter] = {}
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), texts(batch)):
+                seen.setdefault(label, Counter()).update(words(text))
+                if sum(map(len, seen.values())) > HELD:
+                    yield from expand(seen)
+        yield from expand(seen)
+
+    rows = docs.select("label", "text").mapInArrow(run, "label int, key long, shorter long, tail string, n long")
+    return rows.groupBy("label", "key").agg(F.min("shorter").alias("shorter"), F.min("tail").alias("tail"), F.sum("n").alias("n"))
+
+
+def shared_model(corpus: DataFrame, needed: DataFrame, order: int) -> DataFrame:
+    """(gram, p): the probabilities of the needed grams' last characters under the shared model.
+
+    corpus: distinct grams of the top order. needed: grams one character shorter.
     """
     levels = []
     types = corpus.select("gram").distinct()
     for k in range(order - 1, 0, -1):
         counts = materialize(types.groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n")), "continuations")
+        levels.append((k, counts))
+        types = counts.select("gram")
+    p = None
+    for k, counts in reversed(levels):
         context = counts.groupBy(F.expr(f"substring(gram, 1, {k - 1})").alias("h")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
         wanted = needed.select(F.expr(f"right(gram, {k})").alias("gram")).distinct()
         wanted = wanted.join(counts, "gram", "left").withColumn("h", F.expr(f"substring(gram, 1, {k - 1})")).join(context, "h", "left")
-        levels.append({r.gram: (r.n or 0, r.total or 0, r.kinds or 0) for r in wanted.select("gram", "n", "total", "kinds").collect()})
-        types = counts.select("gram")
-    levels.reverse()
-    out: list[dict[str, float]] = []
-    for level in levels:
-        lower = out[-1] if out else None
-        p = {}
-        for g, (n, total, kinds) in level.items():
-            back = lower[g[1:]] if lower is not None else 1 / ALPHABET
-            p[g] = (max(n - DISCOUNT, 0) + DISCOUNT * kinds * back) / total if total else back
-        out.append(p)
-    return out
+        if p is None:
+            wanted = wanted.withColumn("back", F.lit(1 / ALPHABET))
+        else:
+            wanted = wanted.withColumn("rest", F.expr("substring(gram, 2)")).join(p.select(F.col("gram").alias("rest"), F.col("p").alias("back")), "rest")
+        own = F.greatest(F.coalesce("n", F.lit(0)) - DISCOUNT, F.lit(0.0))
+        p = materialize(wanted.select("gram", F.when(F.col("total") > 0, (own + DISCOUNT * F.col("kinds") * F.col("back")) / F.col("total")).otherwise(F.col("back")).alias("p")), "shared")
+    return p
+
+
+def keyed(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of df (key, value), sorted, and their values."""
+    found = df.toArrow()
+    keys, values = found.column("key").to_numpy(), found.column("value").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
+def looked_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys the table has, and their values, 0 for the rest."""
+    have, values = table
+    at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+    hit = have[at] == keys
+    return hit, np.where(hit, values[at], 0.0)
 
 
 class Model:
     """Log-likelihood differences of known word starts, and of backing off after known ones."""
 
-    def __init__(self, counts: list[dict[str, int]], shared: dict[str, float], order: int, prefix: int):
-        self.prefix = prefix
-        totals: list[dict[str, list[int]]] = [{}, {}]
-        for label in (0, 1):
-            for g, n in counts[label].items():
-                t = totals[label].setdefault(g[:-1], [0, 0])
-                t[0] += n
-                t[1] += 1
+    def __init__(self, known: tuple[np.ndarray, np.ndarray], backoff: tuple[np.ndarray, np.ndarray], prefix: int):
+        self.known, self.backoff, self.prefix = known, backoff, prefix
 
-        def weight(label: int, h: str) -> float:
-            t = totals[label].get(h)
-            return DISCOUNT * t[1] / t[0] if t else 1.0
+    @classmethod
+    def of(cls, counts: DataFrame, shared: DataFrame, prefix: int) -> Model:
+        """counts: those of class_counts, with both labels. shared: the probabilities of their tails."""
+        side = lambda label, value: F.coalesce(F.sum(F.when(F.col("label") == label, value)), F.lit(0))
+        pairs = counts.groupBy("key").agg(F.min("shorter").alias("shorter"), F.min("tail").alias("gram"), side(0, F.col("n")).alias("n0"), side(1, F.col("n")).alias("n1"))
+        contexts = counts.groupBy("shorter").agg(*(side(label, v).alias(f"{name}{label}") for label in (0, 1) for name, v in (("t", F.col("n")), ("k", F.lit(1)))))
+        for label in (0, 1):
+            t = F.col(f"t{label}")
+            contexts = contexts.withColumn(f"w{label}", F.when(t > 0, DISCOUNT * F.col(f"k{label}") / t).otherwise(1.0))
 
-        def p(label: int, g: str) -> float:
-            t = totals[label].get(g[:-1])
-            own = max(counts[label].get(g, 0) - DISCOUNT, 0) / t[0] if t else 0.0
-            return own + weight(label, g[:-1]) * shared[("^" * order + g)[1 - order :]]
+        def p(label: int) -> Column:
+            t = F.col(f"t{label}")
+            own = F.when(t > 0, F.greatest(F.col(f"n{label}") - DISCOUNT, F.lit(0.0)) / t).otherwise(0.0)
+            return own + F.col(f"w{label}") * F.col("p")
 
-        self.known = {g: math.log(p(1, g) / p(0, g)) for g in counts[0].keys() | counts[1].keys()}
-        self.backoff = {h: math.log(weight(1, h) / weight(0, h)) for h in totals[0].keys() | totals[1].keys()}
+        known = pairs.join(contexts, "shorter").join(shared, "gram").select("key", F.log(p(1) / p(0)).alias("value"))
+        return cls(keyed(known), keyed(contexts.select(F.col("shorter").alias("key"), F.log(F.col("w1") / F.col("w0")).alias("value"))), prefix)
 
-    def evidence(self, word: str) -> float:
-        total, whole = 0.0, word + "$"
-        for i in range(1, min(len(whole), self.prefix) + 1):
-            v = self.known.get(whole[:i])
-            if v is None:  # nothing longer is known either
-                return total + self.backoff.get(whole[: i - 1], 0.0)
-            total += v
-        return total
+    def evidence(self, found: list[str]) -> list[float]:
+        """A value per word: what its known starts say, and the backoff after the last of them."""
+        if not found:
+            return []
+        keys, shorter, sizes = starts(found, self.prefix)
+        hit, value = looked_up(self.known, keys)
+        first = np.cumsum(sizes) - sizes
+        missed = np.cumsum(~hit)
+        inside = missed == np.repeat(missed[first] - ~hit[first], sizes)  # nothing shorter is unknown
+        total = np.add.reduceat(np.where(inside, value, 0.0), first)
+        length = np.add.reduceat(inside.astype(np.int64), first)
+        short = length < sizes
+        total[short] += looked_up(self.backoff, shorter[(first + length)[short]])[1]
+        return total.tolist()
 
 
 class Scorer:
-    """features(text) with a bounded memory of words."""
+    """rows(texts): their features, with a bounded memory of words."""
 
     def __init__(self, model: Model):
         self.model = model
         self.of: dict[str, float] = {}
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        found, of = words(text), self.of
-        if not found:
-            return 0.0, 0.0, 0.0
+    def rows(self, batch: list[str | None]) -> Iterator[tuple[float, float, float]]:
+        held: list[list[str]] = []
+        size = 0
+        for text in batch:
+            held.append(words(text))
+            size += len(held[-1])
+            if size > HELD // 4:
+                yield from self._rows(held)
+                held, size = [], 0
+        yield from self._rows(held)
+
+    def _rows(self, held: list[list[str]]) -> Iterator[tuple[float, float, float]]:
+        of = self.of
         if len(of) > HELD:
             of.clear()
-        for w in [w for w in set(found) if w not in of]:
-            of[w] = self.model.evidence(w)
+        new = list({w for found in held for w in found if w not in of})
+        of.update(zip(new, self.model.evidence(new)))
+        return map(self.features, held)
+
+    def features(self, found: list[str]) -> tuple[float, float, float]:
+        if not found:
+            return 0.0, 0.0, 0.0
+        of = self.of
         total = [of[w] for w in found]
         chars = sum(map(len, found)) + len(found)
         best = sorted(dict(zip(found, total)).values(), reverse=True)[:3]
@@ -201,28 +290,24 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1
     return mean, deviation, w
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, order: int = ORDER, prefix: int = PREFIX, most: int = SAMPLE, most_grams: int = GRAMS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, order: int = ORDER, prefix: int = PREFIX, most: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted per row of docs."""
     spark = docs.sparkSession
     prepare(spark)
     docs = documents(docs)
     chosen = materialize(sample(labels, "toxic", most), "labels")
     training = materialize(docs.join(F.broadcast(chosen), "doc_id").select("label", "fold", "text"), "training")
-    counts = materialize(counted(training.where("fold <> 4"), lambda w: starts(w, prefix)).orderBy(F.desc("n"), "gram", "label").limit(most_grams), "counts")
-    corpus = materialize(counted(docs.withColumn("label", F.lit(0)), lambda w: grams(w, order)), "corpus")
-    own: list[dict[str, int]] = [{}, {}]
-    for r in counts.toLocalIterator():
-        own[r.label][r.gram] = r.n
-    if not own[0] or not own[1]:
+    counts = materialize(class_counts(training.where("fold <> 4"), order, prefix), "counts")
+    if counts.select("label").distinct().count() < 2:
         return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    needed = counts.select(F.concat(F.lit("^" * order), "gram").alias("gram"))
-    model = Model(own, shared_counts(corpus, needed, order)[-1], order, prefix)
+    corpus = materialize(counted(docs.withColumn("label", F.lit(0)), lambda w: grams(w, order)), "corpus")
+    model = Model.of(counts, shared_model(corpus, counts.select(F.col("tail").alias("gram")).distinct(), order), prefix)
     shared = spark.sparkContext.broadcast(model)
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            rows = [scorer.features(t) for t in texts(batch)]
+            rows = list(scorer.rows(texts(batch)))
             a, b, c = zip(*rows) if rows else ((), (), ())
             yield pa.record_batch([batch.column(0), pa.array(a, pa.float64()), pa.array(b, pa.float64()), pa.array(c, pa.float64())], names=["key", "a", "b", "c"])
 

@@ -231,3 +231,33 @@ def test_decontamination_blocks(spark, sf):
     assert ordered(decontamination.contained(docs, items, block_chars=2000).collect()) == ordered(decontamination.contained(docs, items).collect())
 
 
+def _training(words_of, n=300):
+    """Documents and labels with a frequent word for each label to calibrate on; words_of(i, toxic) adds to those that models are fitted on."""
+    docs, labels = [], []
+    for i in range(n):
+        toxic, fold = i % 2, zlib.crc32(str(i).encode()) % 5
+        docs.append((i, " ".join([["harmlos", "schlimm"][toxic]] * 3 + (words_of(i, toxic) if fold in (1, 2, 3) else []))))
+        labels.append((i, toxic))
+    return docs, labels
+
+
+def _scores(spark, docs, labels, probes):
+    rows = docs + [(10_000 + i, t) for i, t in enumerate(probes)]
+    df = toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    found = {r.doc_id: r.score for r in df.collect()}
+    return [found[10_000 + i] for i in range(len(probes))]
+
+
+def test_toxicity_counts_every_rare_start(spark):
+    """Over 250,000 starts that occur once: those late in the alphabet count as well."""
+    random.seed(7)
+    rare = {0: [], 1: []}
+
+    def words_of(i, toxic):
+        rare[toxic].append(f"zz{chr(97 + len(rare[toxic]) // 26)}{chr(97 + len(rare[toxic]) % 26)}" + ["mul", "kor"][toxic])
+        return [rare[toxic][-1]] + ["".join(random.choice("abcdefghijklm") for _ in range(12)) for _ in range(300)]
+
+    docs, labels = _training(words_of)
+    n = min(map(len, rare.values()))
+    scores = _scores(spark, docs, labels, rare[0][:n] + rare[1][:n])
+    assert n > 50 and all(a < b for a, b in zip(scores[:n], scores[n:]))
