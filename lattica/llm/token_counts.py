@@ -39,7 +39,8 @@ from .tokens import CACHE, LONGEST, encoding
 CONTEXT = 3
 SCHEMA = "doc_id long, n_tokens long, n_edits long, n_skipped long, n_tokens_after long, n_pretokens long, n_reencoded long"
 
-_EDITS = re.compile(r"[\p{L}0-9._%+-]+@[\w-]+(?:\.[\w-]+)+|\d{9,}|[^\S\n]{2,}|\n{2,}|\t".replace(r"\p{L}", "^\\W_"))
+#: An address begins at its run's first character or right after another address, so long runs are read once.
+_EDITS = re.compile(r"(?:(?<![\w.%+-])|(?<=[\w-])(?=[%+]|\.[.%+@]))[\w.%+-]+@[\w-]+(?:\.[\w-]+)+|\d{9,}|[^\S\n]{2,}|\n{2,}|\t")
 
 
 class Splitter:

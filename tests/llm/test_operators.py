@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -261,3 +262,27 @@ def test_toxicity_counts_every_rare_start(spark):
     n = min(map(len, rare.values()))
     scores = _scores(spark, docs, labels, rare[0][:n] + rare[1][:n])
     assert n > 50 and all(a < b for a, b in zip(scores[:n], scores[n:]))
+
+
+def test_rule_edits_addresses():
+    splitter, enc = token_counts.Splitter(), encoding()
+    found = 0
+    for address in ("und.34@mail7.example.com", "john.smith@x.org", "a_b@x.org", "_a%b+c-d9@my-host.co.uk", "7@x.de", "żółć.1@poczta.pl", "123456789012@x.org"):
+        for before, after in (("", ""), ("Write to ", " now"), ("<", ">,  or"), ("12345678901 ", "\n\nend"), ("@", "")):
+            text = before + address + after
+            edits = token_counts.rule_edits(text)
+            assert [(text[a:b], new) for a, b, new in edits if "@" in text[a:b]] == [(address, "<email>")]
+            edited = text
+            for a, b, new in reversed(edits):
+                edited = edited[:a] + new + edited[b:]
+            doc, n, done, skipped = token_counts.apply_edits(text, edits, splitter)
+            assert (doc.text, doc.tree.total, n) == (edited, len(enc.encode_ordinary(edited)), len(enc.encode_ordinary(text)))
+            assert (done, skipped) == (len(edits), 0)
+            found += 1
+    assert found == 35
+    assert token_counts.rule_edits("no address @ here, x@y nor a@ b.de") == []
+    plain = re.compile(token_counts._EDITS.pattern[token_counts._EDITS.pattern.index(r"[\w.%+-]+@") :])
+    random.seed(8)
+    for _ in range(20000):
+        text = "".join(random.choice(["a", "b1", "@", "@", ".", "+", "-", "%", "_", " ", "1234567890", "x.de"]) for _ in range(random.randrange(14)))
+        assert [m.span() for m in token_counts._EDITS.finditer(text)] == [m.span() for m in plain.finditer(text)]
