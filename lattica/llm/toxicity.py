@@ -2,7 +2,7 @@
 
 Two models, of toxic and of ordinary words, predict a word's characters from the
 ones before them and share what they back off to. The class counts condition on
-the whole start of the word (up to PREFIX characters), with absolute discounting;
+the whole start of the word up to each character and its end mark, with absolute discounting;
 the discounted mass goes to shared lower orders of character n-grams, whose
 Kneser-Ney continuation counts come from every text of the corpus. So inflected
 or rare forms of an expression are told by the start that they share with known
@@ -45,7 +45,6 @@ from .words import mix, powers
 
 #: Of the shared model, with the character that is predicted.
 ORDER = 5
-PREFIX = 10
 DISCOUNT = 0.75
 SAMPLE = 20_000
 #: Words and grams that a task holds before it passes counts on.
@@ -72,9 +71,9 @@ def grams(word: str, order: int = ORDER) -> list[str]:
     return [padded[i : i + order] for i in range(len(word) + 1)]
 
 
-def starts(found: list[str], prefix: int = PREFIX) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def starts(found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The starts of words and their end marks, each character with all before it: their keys word after word, the keys of the starts one character shorter, and how many each word has."""
-    wholes = [(w + "$")[:prefix] for w in found]
+    wholes = [w + "$" for w in found]
     sizes = np.fromiter(map(len, wholes), dtype=np.int64, count=len(wholes))
     codes = np.frombuffer("".join(wholes).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     first = np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -120,13 +119,13 @@ def counted(docs: DataFrame, pieces: Callable[[str], list[str]]) -> DataFrame:
     return docs.select("label", "text").mapInArrow(run, "label int, gram string, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
 
 
-def class_counts(docs: DataFrame, order: int, prefix: int) -> DataFrame:
+def class_counts(docs: DataFrame, order: int) -> DataFrame:
     """(label, key, shorter, tail, n) over the starts of the words of docs (label, text): tail is what the shared model sees of a start, its last order - 1 characters."""
 
     def expand(seen: dict) -> Iterator[pa.RecordBatch]:
         for label, c in seen.items():
             found = list(c)
-            keys, shorter, sizes = starts(found, prefix)
+            keys, shorter, sizes = starts(found)
             n = np.repeat(np.fromiter(c.values(), dtype=np.int64, count=len(c)), sizes)
             keys, at, of = np.unique(keys, return_index=True, return_inverse=True)
             total = np.zeros(len(keys), dtype=np.int64)
@@ -200,11 +199,11 @@ def looked_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[n
 class Model:
     """Log-likelihood differences of known word starts, and of backing off after known ones."""
 
-    def __init__(self, known: tuple[np.ndarray, np.ndarray], backoff: tuple[np.ndarray, np.ndarray], prefix: int):
-        self.known, self.backoff, self.prefix = known, backoff, prefix
+    def __init__(self, known: tuple[np.ndarray, np.ndarray], backoff: tuple[np.ndarray, np.ndarray]):
+        self.known, self.backoff = known, backoff
 
     @classmethod
-    def of(cls, counts: DataFrame, shared: DataFrame, prefix: int) -> Model:
+    def of(cls, counts: DataFrame, shared: DataFrame) -> Model:
         """counts: those of class_counts, with both labels. shared: the probabilities of their tails."""
         side = lambda label, value: F.coalesce(F.sum(F.when(F.col("label") == label, value)), F.lit(0))
         pairs = counts.groupBy("key").agg(F.min("shorter").alias("shorter"), F.min("tail").alias("gram"), side(0, F.col("n")).alias("n0"), side(1, F.col("n")).alias("n1"))
@@ -219,13 +218,13 @@ class Model:
             return own + F.col(f"w{label}") * F.col("p")
 
         known = pairs.join(contexts, "shorter").join(shared, "gram").select("key", F.log(p(1) / p(0)).alias("value"))
-        return cls(keyed(known), keyed(contexts.select(F.col("shorter").alias("key"), F.log(F.col("w1") / F.col("w0")).alias("value"))), prefix)
+        return cls(keyed(known), keyed(contexts.select(F.col("shorter").alias("key"), F.log(F.col("w1") / F.col("w0")).alias("value"))))
 
     def evidence(self, found: list[str]) -> list[float]:
         """A value per word: what its known starts say, and the backoff after the last of them."""
         if not found:
             return []
-        keys, shorter, sizes = starts(found, self.prefix)
+        keys, shorter, sizes = starts(found)
         hit, value = looked_up(self.known, keys)
         first = np.cumsum(sizes) - sizes
         missed = np.cumsum(~hit)
@@ -290,18 +289,18 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1
     return mean, deviation, w
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, order: int = ORDER, prefix: int = PREFIX, most: int = SAMPLE) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, order: int = ORDER, most: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted per row of docs."""
     spark = docs.sparkSession
     prepare(spark)
     docs = documents(docs)
     chosen = materialize(sample(labels, "toxic", most), "labels")
     training = materialize(docs.join(F.broadcast(chosen), "doc_id").select("label", "fold", "text"), "training")
-    counts = materialize(class_counts(training.where("fold <> 4"), order, prefix), "counts")
+    counts = materialize(class_counts(training.where("fold <> 4"), order), "counts")
     if counts.select("label").distinct().count() < 2:
         return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     corpus = materialize(counted(docs.withColumn("label", F.lit(0)), lambda w: grams(w, order)), "corpus")
-    model = Model.of(counts, shared_model(corpus, counts.select(F.col("tail").alias("gram")).distinct(), order), prefix)
+    model = Model.of(counts, shared_model(corpus, counts.select(F.col("tail").alias("gram")).distinct(), order))
     shared = spark.sparkContext.broadcast(model)
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

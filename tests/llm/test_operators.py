@@ -286,3 +286,13 @@ def test_rule_edits_addresses():
     for _ in range(20000):
         text = "".join(random.choice(["a", "b1", "@", "@", ".", "+", "-", "%", "_", " ", "1234567890", "x.de"]) for _ in range(random.randrange(14)))
         assert [m.span() for m in token_counts._EDITS.finditer(text)] == [m.span() for m in plain.finditer(text)]
+
+
+def test_toxicity_reads_words_to_their_end(spark):
+    """Words that share their first 13 letters and differ after them."""
+    docs, labels = _training(lambda i, toxic: [["verantwortungslosen", "verantwortungstrottel"][toxic]])
+    ordinary, toxic = _scores(spark, docs, labels, ["verantwortungslose", "verantwortungstrotteln"])
+    assert toxic > 0.5 > ordinary
+    keys, shorter, sizes = toxicity.starts(["w" * 5000, "", "ab"])
+    assert sizes.tolist() == [5001, 1, 3] and len(set(keys.tolist())) == 5001 + 1 + 3
+    assert shorter[1:5001].tolist() == keys[:5000].tolist() and shorter[[0, 5001, 5002]].tolist() == [toxicity.EMPTY] * 3
