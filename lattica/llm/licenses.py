@@ -1,8 +1,11 @@
 """License scans by sentence rules (operator 3).
 
-A text is split into sentences, at line ends and after full stops; sentences are
-normalised (lower case, letters, digits and dots between them only). SENTENCES
-maps normalised sentences to identifiers. RULES are ordered sequences of
+A text is split into sentences, after full stops and the like and at lines without
+letters or digits; sentences are normalised (lower case, letters, digits and dots
+between them only). A sentence that goes over several lines counts as a whole if
+it is known, else each of its lines as a sentence. SENTENCES maps normalised
+sentences to identifiers; NOTICES adds the sentences of the standard texts, split
+and normalised in the same way. RULES are ordered sequences of
 identifiers: a rule matches where its identifiers follow one another among the
 text's known sentences, other sentences in between being skipped.
 
@@ -16,6 +19,8 @@ other columns are not read.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +65,28 @@ RULES = (
     ("Unlicense", ("unlicense-grant",)),
     ("all-rights-reserved", ("reserved",)),
 )
+#: The sentences of the standard texts, as they stand there, and their identifiers. Those of the GPL begin after its first colon or semicolon.
+NOTICES = (
+    ('Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.', "apache2-asis"),
+    ('Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:', "mit-grant"),
+    ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.', "mit-asis"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "bsd-grant"),
+    ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "bsd-source"),
+    ("Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "bsd-binary"),
+    ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "bsd-names"),
+    ("This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;", "gpl-hope"),
+    ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gpl-grant"),
+    ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License.", "gpl-grant"),
+    ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3.", "gpl-grant"),
+    ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;", "gpl-grant"),
+    ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.", "gpl-grant"),
+)
+#: Between lines with letters or digits, lines without; and what goes from a sentence: marks, but for dots inside numbers.
+_BLANK, _MARKS = r"\n(?:[^\p{L}\p{N}\n]*\n)+", r"[^a-z0-9.]+|\.(?:[^0-9]|$)"
+
+
+def normalised(sentence: str) -> str:
+    return re.sub(" +", " ", re.sub(_MARKS, " ", sentence.lower())).strip(" ")
 
 
 def _rule_pattern(ids: tuple[str, ...]) -> str:
@@ -69,11 +96,16 @@ def _rule_pattern(ids: tuple[str, ...]) -> str:
 
 def licenses(docs: DataFrame, sentences: dict[str, str] | None = None, rules: tuple = RULES) -> DataFrame:
     """doc_id, n_sentences (known ones), sequence (their identifiers in order) and licenses (sorted, separated by commas) per row of docs."""
-    known = F.create_map(*(F.lit(x) for kv in (SENTENCES if sentences is None else sentences).items() for x in kv))
-    lines = F.split(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"([.!?;:])[ \t]+", "$1\n"), "\n")
-    # Marks go but for dots inside numbers.
-    bare = lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), r"[^a-z0-9.]+|\.(?:[^0-9]|$)", " "), " +", " "))
-    found = F.filter(F.transform(F.filter(lines, lambda s: F.length(s) >= 12), lambda s: known[bare(s)]), lambda i: i.isNotNull())
+    if sentences is None:
+        sentences = SENTENCES | {normalised(s): name for s, name in NOTICES}
+    known = F.create_map(*(F.lit(x) for kv in sentences.items() for x in kv))
+    # Sentences end with a NUL, their lines with a line end.
+    text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\0\r", "  ")
+    wholes = F.split(F.regexp_replace(F.regexp_replace(text, _BLANK, "\0"), r"([.!?;:])(?:[ \t]+|[ \t]*\n)", "$1\0"), "\0")
+    bare = lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), _MARKS, " "), " +", " "))
+    named = lambda s: F.when(F.length(s) >= 12, known[bare(s)])
+    whole = lambda s: F.when(named(s).isNotNull(), F.array(named(s))).otherwise(F.transform(F.split(s, "\n"), named))
+    found = F.filter(F.flatten(F.transform(wholes, whole)), lambda i: i.isNotNull())
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("found"))
     text = F.concat(F.lit("|"), F.array_join("found", "|"), F.lit("|"))
     matched = F.array_sort(F.array_distinct(F.filter(F.array(*(F.when(text.rlike(_rule_pattern(ids)), F.lit(name)) for name, ids in rules)), lambda x: x.isNotNull())))

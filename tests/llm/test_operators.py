@@ -296,3 +296,19 @@ def test_toxicity_reads_words_to_their_end(spark):
     keys, shorter, sizes = toxicity.starts(["w" * 5000, "", "ab"])
     assert sizes.tolist() == [5001, 1, 3] and len(set(keys.tolist())) == 5001 + 1 + 3
     assert shorter[1:5001].tolist() == keys[:5000].tolist() and shorter[[0, 5001, 5002]].tolist() == [toxicity.EMPTY] * 3
+
+
+def test_licenses_of_unmodified_texts(spark):
+    asis = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS BE LIABLE.\n'
+    mit = 'MIT License\n\nCopyright (c) 2020 A\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\n' + asis
+    bsd2 = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n"
+    bsd3 = bsd2 + "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions.\n'
+    gpl3 = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.\n\nYou should have received a copy of the GNU General Public License\nalong with this program.  If not, see <https://www.gnu.org/licenses/>.\n"
+    gpl2 = gpl3.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2")
+    wanted = {"MIT": mit, "BSD-2-Clause": bsd2, "BSD-2-Clause,BSD-3-Clause": bsd3, "Apache-2.0,Apache-2.0 header": apache, "GPL": gpl3, "": gpl3.replace("GNU General", "GNU Lesser General")}
+    rows = [(names, t) for names, t in [*wanted.items(), ("GPL", gpl2)]]
+    forms = [lambda t: t, lambda t: "\n\n".join(p.replace("\n", " ") for p in t.split("\n\n")), lambda t: "\n".join(f" * {line}".rstrip() for line in t.split("\n")), lambda t: t.replace("\n", "\r\n")]
+    cases = [(names, f(t)) for names, t in rows for f in forms]
+    found = licenses.licenses(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.licenses for r in found} == {i: names for i, (names, _) in enumerate(cases)}
