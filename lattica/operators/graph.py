@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -11,25 +9,12 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..matrix import table
+from ..plans.scratch import forget, materialize
 
 #: Queries compared at once in a task, and the most that are broadcast in one block.
 QUERY_BLOCK = 4096
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared checkpoint folder and read back; cuts lineage between rounds."""
-    sc = df.sparkSession.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="lattica-")
-        sc.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def knn(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     """(query, id, rank, distance): the k nearest points by squared L2 for each query, ties by id; exact.
 
@@ -183,7 +168,7 @@ def k_core(edges: DataFrame, least: int) -> DataFrame:
     """Drops edges at nodes of fewer than `least` edges until none is left to drop."""
     while True:
         weak = adjacency(edges).groupBy("n").count().where(F.col("count") < least).select("n")
-        rest = written(edges.join(weak.select(F.col("n").alias("u")), "u", "left_anti").join(weak.select(F.col("n").alias("v")), "v", "left_anti").select("u", "v"), "core")
+        rest = materialize(edges.join(weak.select(F.col("n").alias("u")), "u", "left_anti").join(weak.select(F.col("n").alias("v")), "v", "left_anti").select("u", "v"), "core")
         if rest.count() == edges.count():
             return rest
         edges = rest
@@ -191,18 +176,18 @@ def k_core(edges: DataFrame, least: int) -> DataFrame:
 
 @register("graph_two_core")
 def _core(spark, d):
-    return k_core(written(_edges(spark, d), "edges"), 2)
+    return k_core(materialize(_edges(spark, d), "edges"), 2)
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """(n, component): the smallest node reachable, by label spreading with shortcuts."""
-    a = written(adjacency(edges), "adjacent")
-    labels = written(a.groupBy("n").agg(F.least(F.col("n"), F.min("m")).alias("c")), "labels")
+    a = materialize(adjacency(edges), "adjacent")
+    labels = materialize(a.groupBy("n").agg(F.least(F.col("n"), F.min("m")).alias("c")), "labels")
     while True:
         near = a.join(labels.select(F.col("n").alias("m"), "c"), "m").groupBy("n").agg(F.min("c").alias("near"))
         new = labels.join(near, "n").select("n", F.least("c", "near").alias("c"))
         jump = new.join(new.select(F.col("n").alias("c"), F.col("c").alias("up")), "c").select("n", F.least("c", "up").alias("c"))
-        new = written(jump, "labels")
+        new = materialize(jump, "labels")
         if new.join(labels.withColumnRenamed("c", "old"), "n").where("c <> old").isEmpty():
             return new.select("n", F.col("c").alias("component"))
         labels = new
