@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import forget, materialize  # noqa: F401
+
 #: Rows handed to a Python worker at once; documents may be long, so far fewer than Spark's 10,000.
 ARROW_ROWS = 1000
 
@@ -23,22 +23,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one where that is unset (local runs)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="lattica-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: cuts lineage and survives lost executors."""
-    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def prepare(spark: SparkSession) -> None:
     """Bounds the rows of a Python batch, unless the session already asks for fewer, and lets workers on this machine import the package from where the driver has it."""
     root = str(Path(__file__).resolve().parents[2])

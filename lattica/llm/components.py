@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import forget, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges, "edges")
     before = None
     while True:
-        edges = materialize(_star(_star(edges, True), False), "edges")
+        old, edges = edges, materialize(_star(_star(edges, True), False), "edges")
+        forget(old)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.max("v")).first()
         if state[0] == 0 or state == before:
             break

@@ -6,18 +6,22 @@ covers it has the same words as a window of a document with a smaller doc_id.
 1. Phrases. Winnowing picks from every window its 20-word phrase with the smallest
    hash, one phrase in about sixteen positions; equal windows pick the same. A
    count over all documents confirms the phrases that recur in several.
-2. Automata. The documents with confirmed phrases are dealt into shards; each shard
-   compiles its phrases, as sequences of word numbers, into an Aho-Corasick
-   automaton (pyahocorasick) and streams its documents through it, which locates
-   every occurrence. A shard holds only phrases of its own documents, so each
-   document is streamed once and an automaton stays small whatever the corpus.
-3. Windows whose phrase was located are compared by hash over all documents; those
-   that also start in a smaller document mark their words, and the kept words of
-   the documents with marks are joined and digested. Others were digested in 1.
-
-Groupings are aggregates with partial sums or joins that Spark may split when
-skewed; only a document's own positions meet in one row. Texts are shuffled only
-for documents with confirmed phrases.
+2. Automata. Confirmed phrases are dealt into shards, those of one passage together:
+   by the first document that holds them, from which their words are read. A shard's
+   phrases become an Aho-Corasick automaton (pyahocorasick) over word numbers. Every
+   document streams through the automata of all shards of which it may hold a phrase;
+   where a phrase occurs, the automaton alone tells, from the words.
+3. Windows whose picked phrase was located are compared in the shard. Equal ones pick
+   the same phrase, so they meet there. Those that also start in a smaller document
+   mark their words; the kept words of documents with marks are joined and digested.
+   Others were digested in 1.
+
+Scale. A shard has about SHARD_PHRASES phrases. Its documents are salted into groups
+of about GROUP_WORDS words, so that a passage in a third of all documents fills no
+task; such groups first reduce their windows to one row each, and only these rows,
+under a 128-bit digest of the words, meet the least document of all groups. Windows
+are told apart inside a group by 128 bits too, over exact word numbers. Texts are
+shuffled only for documents with confirmed phrases, once for each of their shards.
 
 Defined cases: a null or empty text has no words (n_words 0, digest of the empty
 string); a row with a null doc_id keeps all words and is never the earlier one;
@@ -28,21 +32,24 @@ an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, ids, keep_ids, materialize, prepare, texts
-from .words import rolling, word_hashes
+from .words import mix, rolling, word_hashes
 
 WINDOW = 50
 PHRASE = 20
-#: Documents of a shard.
-SHARD = 250
+#: Phrases of a shard, and words of a group of documents that its automaton streams, on average.
+SHARD_PHRASES, GROUP_WORDS = 20_000, 3_000_000
 
 
 def winnowed(words: np.ndarray, window: int = WINDOW, phrase: int = PHRASE) -> tuple[np.ndarray, np.ndarray]:
@@ -84,84 +91,174 @@ def automaton(sequences: list[tuple[int, ...]]) -> ahocorasick.Automaton:
     return out
 
 
-def occurrences(docs: list[np.ndarray], confirmed: list[np.ndarray], window: int, phrase: int) -> Iterator[np.ndarray]:
-    """For each document of a shard the windows whose phrase is one of the shard's confirmed phrases. docs: word hashes."""
-    numbers = np.unique(np.concatenate(docs), return_inverse=True)[1] if docs else np.zeros(0, dtype=np.int64)
-    ends = np.cumsum([len(d) for d in docs])
-    patterns, streams, picked = set(), [], []
-    for words, wanted, end in zip(docs, confirmed, ends):
-        stream = tuple((numbers[end - len(words) : end] + 1).tolist())
-        hashes, at = winnowed(words, window, phrase)
-        for p in np.unique(at)[np.isin(hashes[np.unique(at)], wanted)].tolist() if len(at) else ():
-            patterns.add(stream[p : p + phrase])
-        streams.append(stream)
-        picked.append(at)
-    if not patterns:
-        yield from (np.zeros(0, dtype=np.int64) for _ in docs)
-        return
-    machine = automaton(list(patterns))
-    for stream, at in zip(streams, picked):
-        found = np.zeros(len(stream) + 1, dtype=bool)
+def wordings(docs: DataFrame, recurs: DataFrame, window: int, phrase: int) -> DataFrame:
+    """(shard, words): the words of the confirmed phrases, read from the first document that holds them. recurs: phrase, first, shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard, found = [], []
+            for text, of, wanted in zip(texts(batch), batch.column(2).to_pylist(), batch.column(3)):
+                raw = (text or "").encode()
+                words = raw.split()
+                hashes, at = winnowed(word_hashes(raw), window, phrase)
+                at = np.unique(at)
+                at = at[np.isin(hashes[at].view(np.int64), wanted.values.to_numpy())]
+                found += [b" ".join(words[p : p + phrase]) for p in at.tolist()]
+                shard += [of] * len(at)
+            yield pa.record_batch([pa.array(shard, pa.int64()), pa.array(found, pa.binary())], names=["shard", "words"])
+
+    firsts = recurs.groupBy(F.col("first").alias("doc_id")).agg(F.first("shard").alias("shard"), F.collect_list("phrase").alias("phrases"))
+    return docs.join(firsts, "doc_id").select("doc_id", "text", "shard", "phrases").mapInArrow(run, "shard long, words binary")
+
+
+def spans(places: np.ndarray, width: int) -> list[int]:
+    """The union of [p, p + width) over sorted places as starts and ends in turn."""
+    new = np.flatnonzero(np.diff(places, prepend=places[:1] - width - 1) > width)
+    return np.stack([places[new], places[np.append(new[1:] - 1, len(places) - 1)] + width], axis=1).ravel().tolist() if len(places) else []
+
+
+def spread(doc: np.ndarray, place: np.ndarray, width: int) -> tuple[list, list, list]:
+    """Marked windows (document, place with the tag in its upper half) as documents, tags and their spans."""
+    order = np.lexsort((place, doc))
+    doc, place = doc[order], place[order]
+    row = np.flatnonzero((np.diff(doc, prepend=doc[:1] - 1) != 0) | (np.diff(place >> 32, prepend=-1) != 0))
+    parts = np.split(place & 0xFFFFFFFF, row[1:]) if len(row) else []
+    return doc[row].tolist(), (place[row] >> 32).tolist(), [spans(p, width) for p in parts]
+
+
+GROUP = "doc_id long, tag long, spans array<int>, window binary, first long, last long, docs array<long>, places array<long>"
+
+
+def automaton(sequences: set[tuple[int, ...]]) -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    for s in sequences:
+        out.add_word(s, len(s))
+    out.make_automaton()
+    return out
+
+
+def marks(rows: list[tuple[int, str]], phrases: list[bytes], alone: bool, window: int, phrase: int) -> pa.Table:
+    """What a group of documents (doc_id, text) tells of its windows around phrases of the shard.
+
+    alone: the group is its whole shard, so marked windows come out as spans. Else each
+    distinct window comes out with its digest, its first and last document and its places.
+    """
+    number = defaultdict(count(1).__next__).__getitem__
+    patterns = {tuple(map(number, p.split())) for p in phrases}
+    columns = {f.split()[0]: [] for f in GROUP.split(", ")}
+    own, place, one, two = [], [], [], []
+    machine = automaton(patterns) if patterns else None
+    for doc, (_, text) in enumerate(rows if patterns else ()):
+        raw = (text or "").encode()
+        words = raw.split()
+        at = winnowed(word_hashes(raw), window, phrase)[1]
+        if not len(at):
+            continue
+        stream = tuple(map(number, words))
+        located = np.zeros(len(words), dtype=bool)
         for end, length in machine.iter(stream):
-            found[end - length + 1] = True
-        yield np.flatnonzero(found[at]) if len(at) else at
+            located[end - length + 1] = True
+        at = np.flatnonzero(located[at])
+        if len(at):
+            numbers = np.array(stream, dtype=np.uint64)
+            own.append(np.full(len(at), doc))
+            place.append(at + (tag(hashlib.sha256(b" ".join(words)).hexdigest()) << 32))
+            one.append(rolling(mix(numbers), window)[at])
+            two.append(rolling(mix(numbers + np.uint64(1 << 40)), window)[at])
+    if own:
+        own, place, one, two = map(np.concatenate, (own, place, one, two))
+        doc = np.array([d for d, _ in rows], dtype=np.int64)[own]
+        order = np.lexsort((doc, two, one))
+        own, doc, place, one, two = own[order], doc[order], place[order], one[order], two[order]
+        start = np.flatnonzero((np.diff(one, prepend=~one[:1]) != 0) | (np.diff(two, prepend=~two[:1]) != 0))
+        end = np.append(start[1:], len(doc))
+        if alone:
+            later = doc > np.repeat(doc[start], end - start)
+            columns["doc_id"], columns["tag"], columns["spans"] = spread(doc[later], place[later], window)
+        else:
+            at = (place[start] & 0xFFFFFFFF).tolist()
+            columns["window"] = [b""] * len(start)
+            by_row = np.argsort(own[start], kind="stable")
+            last, words = -1, []
+            for i in by_row.tolist():
+                if own[start[i]] != last:
+                    last = own[start[i]]
+                    words = (rows[last][1] or "").encode().split()
+                columns["window"][i] = hashlib.blake2b(b" ".join(words[at[i] : at[i] + window]), digest_size=16).digest()
+            columns["first"], columns["last"] = doc[start].tolist(), doc[end - 1].tolist()
+            columns["docs"], columns["places"] = (pa.ListArray.from_arrays(pa.array(np.append(start, len(doc)), pa.int32()), pa.array(c)) for c in (doc, place))
+    n = max(map(len, columns.values()))
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+    return pa.table({c: pa.array(columns[c], kinds[k]) if len(columns[c]) else pa.nulls(n, kinds[k]) for c, k in (f.split() for f in GROUP.split(", "))})
+
+
+def marked(docs: DataFrame, phrases: DataFrame, recurs: DataFrame, window: int, phrase: int, group_words: int) -> DataFrame:
+    """(doc_id, tag, spans): the words to remove, of each row a few times. phrases: doc_id, n_words, phrase. recurs: phrase, first, shard."""
+    routed = phrases.join(recurs, "phrase").groupBy("doc_id", "shard").agg(F.max("n_words").alias("n_words"))
+    routed = materialize(routed, "routed")
+    large = routed.groupBy("shard").agg(F.ceil(F.sum("n_words") / group_words).cast("int").alias("groups")).where("groups > 1")
+    large = materialize(large, "large-shards")
+    groups = F.coalesce("groups", F.lit(1))
+    left = keep_ids(docs, routed.select("doc_id").distinct()).join(routed.select("doc_id", "shard"), "doc_id").join(large, "shard", "left")
+    left = left.select("doc_id", "text", "shard", F.pmod(F.xxhash64("doc_id"), groups).alias("salt"), groups.alias("groups"))
+    right = wordings(docs, recurs, window, phrase).join(large, "shard", "left").select("shard", "words", F.explode(F.sequence(F.lit(0).cast("long"), (groups - 1).cast("long"))).alias("salt"))
+
+    def locate(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = list(zip(left.column("doc_id").to_pylist(), left.column("text").to_pylist()))
+        return marks(rows, right.column("words").to_pylist(), bool(rows) and left.column("groups")[0].as_py() == 1, window, phrase)
+
+    found = materialize(left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt")).applyInArrow(locate, GROUP), "marks")
+    shared = found.where("window IS NOT NULL")
+    least = shared.groupBy("window").agg(F.min("first").alias("least"), F.max("last").alias("most")).where("least < most").select("window", "least")
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, places = batch.column(1), batch.column(2)
+            doc, place = docs.flatten().to_numpy(), places.flatten().to_numpy()
+            later = doc > np.repeat(batch.column(0).to_numpy(), pa.compute.list_value_length(docs).to_numpy())
+            out = spread(doc[later], place[later], window)
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.list_(pa.int32())))], names=["doc_id", "tag", "spans"])
 
+    # Written, so that a window in very many groups can be split from its least document.
+    least = materialize(least, "least")
+    late = shared.join(least, "window").select("least", "docs", "places").mapInArrow(flat, "doc_id long, tag long, spans array<int>")
+    return found.where("doc_id IS NOT NULL").select("doc_id", "tag", "spans").unionByName(late)
 
-def repeated_windows(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(doc_id, windows): per row of docs (doc_id, text, phrases) an array of structs of the window's hash and its place, the row's tag and the position."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, SHARD):
-                batch = whole.slice(start, SHARD)
-                raw = [(t or "").encode() for t in texts(batch)]
-                words = [word_hashes(r) for r in raw]
-                wanted = [np.array(w, dtype=np.int64).view(np.uint64) for w in batch.column(2).to_pylist()]
-                doc, hashes, places = [], [], []
-                for i, at in enumerate(occurrences(words, wanted, window, phrase)):
-                    if len(at):
-                        name = tag(hashlib.sha256(b" ".join(raw[i].split())).hexdigest())
-                        doc.append(np.full(len(at), i))
-                        hashes.append(rolling(words[i], window)[at].view(np.int64))
-                        places.append(at + (name << 32))
-                if doc:
-                    yield pa.record_batch([ids(batch).take(pa.array(np.concatenate(doc))), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(places))], names=["doc_id", "window", "place"])
-
-    return docs.mapInArrow(run, "doc_id long, window long, place long")
-
-
-def substring_dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, with_text: bool = False, shard_phrases: int = SHARD_PHRASES, group_words: int = GROUP_WORDS) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 per row of docs; with_text adds kept, the kept words joined by one space, of the rows that lost any."""
     prepare(docs.sparkSession)
     docs = documents(docs)
     rows = materialize(profile(docs, window, phrase), "profile")
-    phrases = rows.where("doc_id IS NOT NULL").select("doc_id", F.explode("phrases").alias("phrase"))
-    recurs = phrases.groupBy("phrase").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("phrase")
-    confirmed = materialize(phrases.join(recurs, "phrase").groupBy("doc_id").agg(F.collect_set("phrase").alias("phrases")), "confirmed")
-    windows = materialize(repeated_windows(keep_ids(docs, confirmed).join(confirmed, "doc_id").select("doc_id", "text", "phrases"), window, phrase), "windows")
-    first = windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("window", "first")
-    later = windows.join(first, "window").where("doc_id > first").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    later = materialize(later, "later")
+    phrases = rows.where("doc_id IS NOT NULL").select("doc_id", "n_words", F.explode("phrases").alias("phrase"))
+    recurs = materialize(phrases.groupBy("phrase").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("phrase", "first"), "recurs")
+    shards = max(1, -(-recurs.count() // shard_phrases))
+    recurs = recurs.withColumn("shard", F.pmod(F.xxhash64("first"), F.lit(shards)))
+    later = marked(docs, phrases, recurs, window, phrase, group_words)
+    later = materialize(later.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans")), "later")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole, digest, gone, kept = [], [], [], []
-            for t, places in zip(texts(batch), batch.column(2)):
+            id_, whole, digest, gone, kept = [], [], [], [], []
+            for doc, t, own, ends in zip(ids(batch).to_pylist(), texts(batch), batch.column(2).to_pylist(), batch.column(3)):
                 words = (t or "").encode().split()
-                whole.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                places = places.values.to_numpy()
-                own = places[places >> 32 == tag(whole[-1])] & 0xFFFFFFFF
-                step = np.zeros(len(words) + window, dtype=np.int64)
-                np.add.at(step, own, 1)
-                np.add.at(step, own + window, -1)
-                drop = np.cumsum(step)[: len(words)] > 0
+                name = hashlib.sha256(b" ".join(words)).hexdigest()
+                if tag(name) != own:
+                    continue
+                ends = ends.values.to_numpy()
+                step = np.zeros(len(words) + 1, dtype=np.int64)
+                np.add.at(step, ends[::2], 1)
+                np.add.at(step, ends[1::2], -1)
+                drop = np.cumsum(step)[:-1] > 0
                 left = b" ".join([w for w, d in zip(words, drop.tolist()) if not d])
+                id_.append(doc)
+                whole.append(name)
                 digest.append(hashlib.sha256(left).hexdigest())
                 gone.append(int(drop.sum()))
                 kept.append(left.decode() if with_text else None)
-            yield pa.record_batch([ids(batch), pa.array(whole, pa.string()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())], names=["id", "whole", "gone", "digest", "kept"])
+            yield pa.record_batch([pa.array(id_, pa.int64()), pa.array(whole, pa.string()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())], names=["id", "whole", "gone", "digest", "kept"])
 
-    changed = keep_ids(docs, later).join(later, "doc_id").select("doc_id", "text", "places").mapInArrow(cut, "id long, whole string, gone long, digest string, kept string").dropDuplicates(["id", "whole"])
+    changed = docs.join(later, "doc_id").select("doc_id", "text", "tag", "spans").mapInArrow(cut, "id long, whole string, gone long, digest string, kept string").dropDuplicates(["id", "whole"])
     out = rows.select("doc_id", "n_words", "kept_sha256").join(changed, (F.col("doc_id") == F.col("id")) & (F.col("kept_sha256") == F.col("whole")), "left")
     out = out.select("doc_id", "n_words", F.coalesce("gone", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("digest", "kept_sha256").alias("kept_sha256"), "kept")
     return out if with_text else out.drop("kept")

@@ -312,3 +312,40 @@ def test_licenses_of_unmodified_texts(spark):
     cases = [(names, f(t)) for names, t in rows for f in forms]
     found = licenses.licenses(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")).collect()
     assert {r.doc_id: r.licenses for r in found} == {i: names for i, (names, _) in enumerate(cases)}
+
+
+def _passages(seed, n):
+    random.seed(seed)
+    base = ["".join(random.choice("abc") for _ in range(3)) for _ in range(400)]
+    docs = []
+    for i in range(n):
+        w = []
+        for _ in range(random.randrange(4)):
+            a = random.randrange(300)
+            w += base[a : a + random.randrange(90)] + [str(random.randrange(9))] * random.randrange(3)
+        docs.append((i, " ".join(w)))
+    return docs
+
+
+def test_substring_dedup_shards_and_salted_groups(spark):
+    """Many shards, and shards split into groups whose windows meet under a digest: the same rows."""
+    docs = _passages(11, 80) + [(i, " ".join(f"hot{j}" for j in range(70)) + f" end{i}") for i in range(100, 160)] + [(3, "other words for an id that is taken"), (None, "hot1 " * 60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = ordered(substring_dedup.brute_force(docs))
+    assert ordered(substring_dedup.substring_dedup(df, shard_phrases=5, group_words=300).collect()) == want
+    assert ordered(substring_dedup.substring_dedup(df, shard_phrases=5).collect()) == want
+
+
+def test_substring_dedup_removes_what_automata_locate(spark, monkeypatch):
+    docs = _passages(12, 40)
+    rows = [(d, t) for d, t in docs if len(t.split()) >= 50]
+    words = [t.encode().split() for _, t in rows]
+    phrases = {b" ".join(w[i : i + 20]) for w in words for i in range(len(w) - 19)}
+    assert substring_dedup.marks(rows, list(phrases), True, 50, 20).num_rows > 3
+    monkeypatch.setattr(substring_dedup, "automaton", lambda sequences: ahocorasick_without_hits())
+    assert substring_dedup.marks(rows, list(phrases), True, 50, 20).num_rows == 0
+
+
+class ahocorasick_without_hits:
+    def iter(self, stream):
+        return iter(())
