@@ -119,7 +119,6 @@ def test_encoder_equals_tokenizers():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     encoder = Encoder()
     random.seed(4)
     pieces = [" ", "\n", "a", "b1", "'s", ".", "\t", "Ñ", "<|endoftext|>", "  ", " ", "日本", "Wort"]
@@ -179,19 +178,58 @@ def test_pii_formats():
     assert pii.brute_force("4556737586899856 256.1.1.1 2023-02-29") == ("4556737586899856 256.1.1.1 2023-02-29", 0)
 
 
-def test_token_edits():
-    splitter, enc = token_counts.Splitter(), encoding()
+def _tokens(text):
+    return len(Encoder().one(text)) // 4
+
+
+def _balanced(tree):
+    return all(tree.nodes[i] == tuple(map(sum, zip(tree.nodes[2 * i], tree.nodes[2 * i + 1]))) for i in range(1, tree.leaves)) and [b.sums() for b in tree.blocks] == tree.nodes[tree.leaves : tree.leaves + len(tree.blocks)]
+
+
+@pytest.mark.parametrize("block", [2, 64])
+def test_token_edits(monkeypatch, block):
+    monkeypatch.setattr(token_counts, "BLOCK", block)
+    splitter, enc = token_counts.Splitter(), Encoder()
     random.seed(2)
-    pieces = [" ", "\n", "a", "b1", "'s", "'re", ".", "\t", "Ñ", "  ", "12", "x@y.de"]
-    for _ in range(1500):
-        doc = token_counts.Document("".join(random.choice(pieces) for _ in range(random.randrange(40))), splitter)
-        for _ in range(4):
-            a = random.randrange(len(doc.text) + 1)
-            b = random.randrange(a, min(len(doc.text), a + 6) + 1)
-            doc.edit(a, b, "".join(random.choice(pieces) for _ in range(random.randrange(4))))
-            assert doc.tree.total == len(enc.encode_ordinary(doc.text))
-            for below, above in zip(doc.tree.levels, doc.tree.levels[1:]):
-                assert len(above) == (len(below) + 1) // 2 and above.sum() == below.sum()
+    pieces = [" ", "\n", "a", "b1", "'s", "'re", ".", "\t", "Ñ", "  ", "12", "x@y.de", "<|endoftext|>", "<|endof", "text|>", " " * 30, "a" * 30]
+    for _ in range(400):
+        text = "".join(random.choice(pieces) for _ in range(random.randrange(40)))
+        doc = token_counts.Document(text, splitter)
+        for _ in range(6):
+            a = random.randrange(len(text) + 1)
+            b = random.randrange(a, min(len(text), a + random.choice([0, 6, 60])) + 1)
+            new = "".join(random.choice(pieces) for _ in range(random.randrange(4)))
+            text = text[:a] + new + text[b:]
+            doc.edit(a, b, new)
+            assert doc.text == text and doc.tree.total == len(enc.one(text)) // 4
+            assert doc.pretokens == len(splitter.pretokens(text)) and _balanced(doc.tree)
+
+
+def test_token_edits_touch_little():
+    """Many edits of one text: each encodes a few pre-tokens, and the work does not grow with the square."""
+    import time
+
+    splitter = token_counts.Splitter()
+    text = "some words, 12 of them.  And more\n" * 40_000
+    edits = [(m.start(), m.end(), " long er") for m in re.finditer("  ", text)]
+    began = time.time()
+    doc, before, done, skipped = token_counts.apply_edits(text, edits, splitter)
+    assert (done, skipped, before) == (40_000, 0, _tokens(text)) and doc.tree.total == _tokens(text.replace("  ", " long er"))
+    assert doc.reencoded < 40_000 * 14 and time.time() - began < 20
+
+
+def test_token_counts_by_rule_brute_force(spark, awkward):
+    """The default edit log applied as plain replacements, from the right."""
+    rows = texts(awkward) + [(20, "mail a.b1@x.org\t\tnow  1234567890123 <|endoftext|>  <|endoftext|>\n\n\nend")]
+    found = token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = []
+    for d, t in rows:
+        after, edits = t or "", token_counts.rule_edits(t or "")
+        for a, b, new in reversed(edits):
+            after = after[:a] + new + after[b:]
+        want.append((d, _tokens(t or ""), len(edits), 0, _tokens(after)))
+    assert ordered(r[:5] for r in found) == ordered(want)
+    assert (20, _tokens(rows[-1][1]), 6, 0, _tokens("mail <email> now <number> <|endoftext|> <|endoftext|>\nend")) in want
 
 
 def test_token_edit_log(spark):
