@@ -11,8 +11,8 @@ def awkward(spark):
         (None, "a b c d e f g h i j k l", "en", "s"), (6, "x", "de", "s"), (7, "wort " * 30000, "de", "s"), (8, "one\none\none\ntwo", "en", "s"), (9, "Ñandú €uro 日本 " * 20, "es", "s"),
     ]
     df = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], DOCUMENTS)
-    for name in ("label", "node", "key", "group", "part", "n", "__pii_text"):
-        df = df.selectExpr("*", f"'clash' AS `{name}`") if name != "__pii_text" else df
+    for name in ("label", "node", "key", "group", "part", "n", "__pii_text", "__PII", "__pii_key", "__keep_id", "found", "first"):
+        df = df.selectExpr("*", f"'clash' AS `{name}`")
     return df
 
 

@@ -34,16 +34,16 @@ def test_awkward_rows(spark, awkward, empty, some_labels):
     assert ordered(substring_dedup.substring_dedup(awkward).collect()) == ordered(substring_dedup.brute_force(texts(awkward)))
     assert ordered(jaccard_join.jaccard_classes(awkward).collect()) == ordered(jaccard_join.brute_force(texts(awkward)))
     assert ordered(decontamination.contained(awkward, items).collect()) == ordered(decontamination.brute_force(texts(awkward), texts(items.withColumnRenamed("item_id", "doc_id"))))
-    assert ordered((r.doc_id, r.text, r.n_pseudonyms) for r in pii.pii(awkward).collect()) == ordered((d, *pii.brute_force(t)) for d, t in texts(awkward))
+    assert ordered((r.doc_id, r.text, r.n_pseudonyms) for r in pii.pii(awkward, pii.DEMONSTRATION).collect()) == ordered((d, *pii.brute_force(t)) for d, t in texts(awkward))
     for df in (licenses.licenses(awkward), quality_rules.quality_rules(awkward), toxicity.toxicity(awkward, some_labels), quality_classifier.classify(awkward, some_labels), token_counts.token_counts(awkward)):
         assert len(df.collect()) == n
     assert sum(r.length for r in packing.pack(awkward).collect()) == sum(len(encoding().encode_ordinary(t or "")) + 1 for _, t in texts(awkward))
     for df in (
-        substring_dedup.substring_dedup(empty), jaccard_join.jaccard_classes(empty), decontamination.contained(empty, items), pii.pii(empty), licenses.licenses(empty),
+        substring_dedup.substring_dedup(empty), jaccard_join.jaccard_classes(empty), decontamination.contained(empty, items), pii.pii(empty, 'k'), licenses.licenses(empty),
         quality_rules.quality_rules(empty), toxicity.toxicity(empty, some_labels), quality_classifier.classify(empty, some_labels), token_counts.token_counts(empty), packing.pack(empty),
     ):
         assert df.collect() == []
-    for df in (quality_rules.keep_good(awkward), jaccard_join.keep_one(awkward), decontamination.keep_clean(awkward, items), pii.pseudonymize(awkward)):
+    for df in (quality_rules.keep_good(awkward), jaccard_join.keep_one(awkward), decontamination.keep_clean(awkward, items), pii.pseudonymize(awkward, 'k')):
         assert df.columns == awkward.columns and df.count() <= n
 
 
@@ -164,10 +164,41 @@ def test_first_fit_decreasing():
 def test_pii_brute_force(spark, sf):
     docs = read(spark, sf, "documents")
     want = {d: pii.brute_force(t) for d, t in texts(docs)}
-    found = {r.doc_id: (r.text, r.n_pseudonyms) for r in pii.pii(docs).collect()}
+    found = {r.doc_id: (r.text, r.n_pseudonyms) for r in pii.pii(docs, pii.DEMONSTRATION).collect()}
     assert found == want and sum(n for _, n in found.values()) > 5
 
 
+def test_pii_stays_valid_and_apart(spark):
+    """Numbers and dates of every format: pseudonyms pass the same validation and are as many as the values."""
+    random.seed(9)
+    ssn = {f"{random.randrange(1, 900):03d}-{random.randrange(1, 100):02d}-{random.randrange(1, 10000):04d}" for _ in range(400)} | {"665-01-0001", "667-99-9999", "001-01-0001", "899-99-9999"}
+    ssn = sorted(x for x in ssn if not x.startswith("666"))
+    first = [f"{m:02d}/{d:02d}/{y}" for y in (1999, 2024) for m in (1, 2, 12) for d in (3, 12, 13, 28)]
+    values = [*ssn, *first, "2024-02-29", "0001-01-01", "29.02.2024", "31/12/1999", "12.34.56.78", "(555) 123-4567", "555-123-4567", "4556 7375 8689 9855"]
+    docs = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+    found = {r.doc_id: (r.text, r.n_pseudonyms) for r in pii.pii(docs, "another key").collect()}
+    assert found == {i: pii.brute_force(v, "another key") for i, v in enumerate(values)}
+    new = [found[i][0] for i in range(len(values))]
+    assert all(n == 1 for _, n in found.values()) and len(set(new)) == len(values)
+    assert all(pii.brute_force(v)[1] == 1 and re.sub("[0-9]+", "9", v) == re.sub("[0-9]+", "9", w) for v, w in zip(new, values))
+    for v, w in zip(new[len(ssn) :][: len(first)], first):
+        assert (int(v[3:5]) > 12) == (int(w[3:5]) > 12) or int(w[:2]) <= 12 and int(w[3:5]) <= 12
+
+
+def test_pii_keeps_other_columns_and_its_key_private(spark, awkward):
+    docs = awkward.selectExpr("*", "array(1) AS `a.b`").where("doc_id IS NOT NULL").unionByName(awkward.limit(1).selectExpr("* EXCEPT (text)", "'mail a.b1@x.org' AS text", "array(1) AS `a.b`"))
+    out = pii.pseudonymize(docs, "not to be seen")
+    assert out.columns == docs.columns
+    plan = out._jdf.queryExecution().toString()
+    assert "not to be seen" not in plan and "Python" not in plan.replace("applySchemaToPythonRDD", "")
+    others = [c for c in docs.columns if c != "text"]
+    pick = lambda df: sorted(repr([r[c] for c in others]) for r in df.collect())
+    assert pick(out) == pick(docs)
+    assert not any("a.b1@" in str(v) for r in out.collect() for v in r)
+    with pytest.raises(TypeError):
+        pii.pseudonymize(docs)
+
+
 def test_pii_formats():
     card, n = pii.brute_force("4556737586899855")
     digits = [int(c) for c in card]
