@@ -56,6 +56,14 @@ def ids(batch: pa.RecordBatch, column: str = "doc_id") -> pa.Array:
     return batch.column(batch.schema.get_field_index(column))
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """name, with underscores after it until no column is called so, in any letter case."""
+    lower = {c.lower() for c in taken}
+    while name in lower:
+        name += "_"
+    return name
+
+
 def documents(docs: DataFrame) -> DataFrame:
     """doc_id as long and text as string; other columns are not read."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -19,20 +19,26 @@ on either side of it.
 Verification. Documents that meet on a key are linked to the smallest of them
 only, never all with all; such pairs are checked by size, by the Hamming
 distance of parity sketches as wide as the sets, and then exactly on the shingle
-sets. What the smallest does not connect is looked up again: a key on which at
-most SMALL documents meet is expanded into the pairs between different components.
-A document with fewer common keys than slack shares an uncommon key with each
-linked one. The others, made of common passages, meet again on single shingles:
-linked sets of n and m elements share one of the n - 3n/4 + 1 (m - 3m/4 + 1)
-shingles that are rarest among these documents. So no link that could join
-components is lost, and common passages bring no documents together.
-
-Equal sets are one node throughout.
+sets. What the smallest does not connect is looked up again. On a key, the documents
+outside its largest component are compared with all others of different components;
+those inside it are not compared with one another. Which keys are looked up depends
+on their size, a switch between two exact ways: a key on which at most SMALL
+documents meet is looked up itself. A document with fewer larger keys than slack
+shares a small key with each linked one. The others, made of common passages, meet
+again on single shingles: linked sets of n and m elements share one of the
+n - 3n/4 + 1 (m - 3m/4 + 1) shingles that are rarest among these documents. So no
+link that could join components is lost, and common passages bring no documents
+together.
+
+Equal sets are one node throughout, known by a 64-bit hash. A second hash tells
+whether two sets have the same; the later ones then get other ids.
 
 Scale. Keys are combined per batch before the shuffle (one document of each key
 leaves a batch; the others go by their own id), packed in binary columns, and
 dealt to as many groups as the shingles need, so neither a hot key nor a hot
-source fills a task. Texts are shuffled only for candidates.
+source fills a task. Comparisons are dealt in cells of about BLOCK documents
+against about PROBES, with sketches of at most BRIEF bytes, and cells into tasks by
+their bytes. Texts are shuffled only for candidates.
 
 Defined cases: a null or empty text has an empty set, n_shingles 0, and is linked
 with nothing: its component is its own doc_id. A null doc_id is never a
@@ -49,21 +55,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import documents, ids, keep_ids, materialize, prepare, texts
+from .common import documents, fresh, ids, keep_ids, materialize, prepare, texts
 from .components import components
 from .words import mix, shingles, word_hashes
 
 SHINGLE = 5
 #: Documents that meet on a key and are then compared with one another if they stay unconnected.
 SMALL = 8
-#: Documents on a key that are compared in one go, and rows of such blocks in a task, on average.
-BLOCK, BLOCK_ROWS = 256, 50_000
+#: Documents on a key that are compared with others in one go, how many these are, and bytes of such comparisons in a task, on average.
+BLOCK, PROBES, GROUP_BYTES = 256, 4096, 16_000_000
+#: Bytes of a sketch that is compared before candidates are known.
+BRIEF = 512
 #: Keys that a group of the second stage gets, on average.
 KEYS_PER_GROUP = 1_000_000
 #: Keys are numbers below this; chance agreement only adds candidates.
 KEY = 1 << 48
 _LEAST, _BANDS = 3, 40
+LAST = 2**63 - 1
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -71,9 +81,30 @@ def shingle_set(text: str | None) -> np.ndarray:
     return shingles(word_hashes((text or "").encode().lower()), SHINGLE)
 
 
-def node_of(own: np.ndarray) -> int:
-    """An id of the set."""
-    return int(mix(mix(own).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(own)))[0].astype(np.int64))
+class Names:
+    """of(set): an id of the set, of so many bits. renamed: other ids for sets, by their first id and second hash."""
+
+    def __init__(self, bits: int = 64, renamed: dict[tuple[int, int], int] | None = None):
+        self.mask = np.uint64((1 << bits) - 1)
+        self.renamed = renamed or {}
+
+    def first(self, own: np.ndarray) -> int:
+        return int((mix(mix(own).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(own))) & self.mask)[0].astype(np.int64))
+
+    @staticmethod
+    def check(own: np.ndarray) -> int:
+        return int(mix(mix(own + np.uint64(KEY)).sum(dtype=np.uint64, keepdims=True))[0].astype(np.int64))
+
+    def of(self, own: np.ndarray) -> int:
+        node = self.first(own)
+        return self.renamed.get((node, self.check(own)), node) if self.renamed else node
+
+
+def brief(sketch: bytes) -> bytes | None:
+    """A sketch folded to BRIEF bytes; None if it is no longer than that."""
+    if len(sketch) <= BRIEF:
+        return None
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, dtype=np.uint64).reshape(-1, BRIEF // 8), axis=0).tobytes()
 
 
 def sketch_of(own: np.ndarray) -> bytes:
@@ -139,8 +170,8 @@ def keys_of(own: np.ndarray) -> tuple[np.ndarray, int]:
     return np.concatenate(out), slack
 
 
-def profile(docs: DataFrame) -> DataFrame:
-    """doc_id, n, node, sketch and slack per row; node is null for an empty set."""
+def profile(docs: DataFrame, names: Names) -> DataFrame:
+    """doc_id, n, node, check, sketch, brief and slack per row; node is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,14 +180,34 @@ def profile(docs: DataFrame) -> DataFrame:
                 [
                     ids(batch).cast(pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.array([sketch_of(s) for s in sets], pa.binary()),
+                    pa.array([names.first(s) if len(s) else None for s in sets], pa.int64()),
+                    pa.array([names.check(s) for s in sets], pa.int64()),
+                    pa.array(sketches := [sketch_of(s) for s in sets], pa.binary()),
+                    pa.array(map(brief, sketches), pa.binary()),
                     pa.array([keys_of(s)[1] for s in sets], pa.int64()),
                 ],
-                names=["doc_id", "n", "node", "sketch", "slack"],
+                names=["doc_id", "n", "node", "check", "sketch", "brief", "slack"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, sketch binary, slack long")
+    return docs.mapInArrow(run, "doc_id long, n long, node long, check long, sketch binary, brief binary, slack long")
+
+
+def told_apart(rows: DataFrame, names: Names) -> tuple[DataFrame, DataFrame, Names]:
+    """Rows with ids that differ where sets do, a row per node, and the names with these ids. Only ids that different sets have come to the driver: about one for 10**9 documents."""
+    # A null id sorts after all others; the surrogates become null again.
+    own_id = F.coalesce("doc_id", F.lit(LAST) - F.pmod("node", F.lit(2**32)))
+    while True:
+        parts = [F.max("n").alias("n"), F.max("slack").alias("slack"), F.first("sketch").alias("sketch"), F.first("brief").alias("brief"), F.min(own_id).alias("vertex"), F.min("doc_id").alias("doc_id")]
+        nodes = materialize(rows.where("n > 0").groupBy("node").agg(*parts, F.min("check").alias("low"), F.max("check").alias("high")), "nodes")
+        mixed = nodes.where("low < high").select("node", "low")
+        if mixed.isEmpty():
+            return rows, nodes, names
+        others = rows.join(mixed, "node").where("check > low").select("node", "check").distinct().collect()
+        was = {(new, check): first for (first, check), new in names.renamed.items()}
+        fresh = {(r.node, r.check): int(mix(mix(np.array([r.node], dtype=np.int64).view(np.uint64)) + np.array([r.check], dtype=np.int64).view(np.uint64)).view(np.int64)[0]) for r in others}
+        names.renamed |= {(was.get(k, k[0]), k[1]): new for k, new in fresh.items()}
+        table = rows.sparkSession.createDataFrame([(*k, new) for k, new in fresh.items()], "node long, check long, new long")
+        rows = materialize(rows.join(F.broadcast(table), ["node", "check"], "left").withColumn("node", F.coalesce("new", "node")).drop("new"), "profile")
 
 
 def _meet(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -171,7 +222,7 @@ def _meet(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return key[new], node[new], least[new], new_key[new]
 
 
-def meetings(docs: DataFrame, groups: int) -> DataFrame:
+def meetings(docs: DataFrame, groups: int, names: Names) -> DataFrame:
     """(key, rep, member): documents (as nodes) that meet on a key, each beside the smallest of its batch, and these beside the smallest of all."""
     columns = ("keys", "nodes", "counts", "met_keys", "met_reps", "met_members")
 
@@ -185,7 +236,7 @@ def meetings(docs: DataFrame, groups: int) -> DataFrame:
             keys, nodes, done = [], [], set()
             for t in texts(batch):
                 own = shingle_set(t)
-                node = node_of(own)
+                node = names.of(own)
                 if node not in done:
                     done.add(node)
                     keys.append(keys_of(own)[0] & np.uint64(KEY - 1))
@@ -199,8 +250,8 @@ def meetings(docs: DataFrame, groups: int) -> DataFrame:
             sent = [[], [], []]
             for k, n in zip(*split(mix(key_lead) % np.uint64(groups), key_lead, node_lead)):
                 sent[0].append(k.view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
-                names, counts = np.unique(n, return_counts=True)
-                sent[1].append(names.tobytes())
+                each, counts = np.unique(n, return_counts=True)
+                sent[1].append(each.tobytes())
                 sent[2].append(counts.astype(np.uint32).tobytes())
             rest = split(mix(node[~leads].view(np.uint64)) % np.uint64(groups), key[~leads].view(np.int64), least[~leads], node[~leads])
             sent += [[x.tobytes() for x in c] for c in rest]
@@ -235,7 +286,7 @@ def of_nodes(docs: DataFrame, wanted: DataFrame, fn, schema: str) -> DataFrame:
     return found
 
 
-def links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, names: Names) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are linked, exactly. nodes: node, n, sketch, doc_id."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +305,7 @@ def links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [shingle_set(t) for t in texts(batch)]
-            yield pa.record_batch([pa.array([node_of(s) if len(s) else None for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], names=["node", "own"])
+            yield pa.record_batch([pa.array([names.of(s) if len(s) else None for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], names=["node", "own"])
 
     found = materialize(of_nodes(docs, wanted, sets, "node long, own binary"), "sets")
     side = lambda x: found.select(F.col("node").alias(x), F.col("own").alias(f"s_{x}"))
@@ -271,12 +322,12 @@ def links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return materialize(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(linked, "a long, b long").distinct(), "links")
 
 
-def rarest(docs: DataFrame, some: DataFrame) -> DataFrame:
+def rarest(docs: DataFrame, some: DataFrame, names: Names) -> DataFrame:
     """(key, node): for the documents of some (node, doc_id) their shingles of which, among these documents, linked ones must share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = {node_of(s): s for s in map(shingle_set, texts(batch)) if len(s)}
+            sets = {names.of(s): s for s in map(shingle_set, texts(batch)) if len(s)}
             node = np.repeat(np.array(list(sets), dtype=np.int64), [len(s) for s in sets.values()])
             own = np.concatenate([np.zeros(0, dtype=np.uint64), *sets.values()])
             size = np.repeat([len(s) for s in sets.values()], [len(s) for s in sets.values()])
@@ -292,91 +343,129 @@ def rarest(docs: DataFrame, some: DataFrame) -> DataFrame:
 def unconnected(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes with a key in common and different components whose sizes and sketches allow a link. rows: key, node, component, n.
 
-    A key's nodes are compared in blocks of about BLOCK, each pair of blocks on its own, so no key fills a task; only pairs that pass are emitted.
+    On a key the nodes outside the largest component, in blocks of about BLOCK, are compared
+    with all of the key, in blocks of about PROBES; each cell of two blocks on its own, so no
+    key fills a task, and a key costs what its nodes outside the largest component ask for.
     """
-    keys = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    rows = rows.join(keys.select("key", blocks.alias("blocks")), "key").join(nodes.select("node", "sketch"), "node")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    parts = max(8, -(-rows.count() // BLOCK_ROWS))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("key", "low", "high"), F.lit(parts)))
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
+    keys = sizes.groupBy("key").agg(F.sum("c").alias("all"), F.max("c").alias("most"), F.max_by("component", F.struct("c", "component")).alias("base"), F.count("*").alias("kinds")).where("kinds > 1")
+    blocks, probes = F.ceil((F.col("all") - F.col("most")) / BLOCK), F.ceil(F.col("all") / PROBES)
+    keys = materialize(keys.select("key", "base", blocks.cast("int").alias("blocks"), probes.cast("int").alias("probes")), "open-keys")
+    rows = rows.join(keys, "key").join(nodes.select("node", F.coalesce("brief", "sketch").alias("sketch")), "node").withColumn("other", F.col("component") != F.col("base"))
+    rows = materialize(rows.drop("base"), "compared")
+    copies = F.col("blocks") + F.when(F.col("other"), F.col("probes")).otherwise(0)
+    total = rows.agg(F.sum((F.length("sketch") + 48) * copies)).first()[0] or 0
+    parts = max(8, -(-total // GROUP_BYTES))
+    block, probe = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("probes")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    probed = rows.withColumn("block", every("blocks")).withColumn("probe", probe).withColumn("build", F.lit(False))
+    built = rows.where("other").withColumn("block", block).withColumn("probe", every("probes")).withColumn("build", F.lit(True))
+    part = F.pmod(F.xxhash64("key", "block", "probe"), F.lit(parts)).alias("part")
+    cells = probed.unionByName(built).select(part, "key", "block", "probe", "build", "other", "node", "component", "n", "sketch")
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("key", "ascending"), ("low", "ascending"), ("high", "ascending")])
-        key, low, high, node, component, n, block = (table.column(c).to_numpy() for c in ("key", "low", "high", "node", "component", "n", "block"))
+        table = table.sort_by([("key", "ascending"), ("block", "ascending"), ("probe", "ascending"), ("build", "descending")])
+        key, block, probe, build, other, node, component, n = (table.column(c).to_numpy() for c in ("key", "block", "probe", "build", "other", "node", "component", "n"))
         sketch = table.column("sketch").to_pylist()
-        new = np.flatnonzero((np.diff(key, prepend=key[:1] - 1) != 0) | (np.diff(low, prepend=-1) != 0) | (np.diff(high, prepend=-1) != 0))
+        new = np.flatnonzero((np.diff(key, prepend=key[:1] - 1) != 0) | (np.diff(block, prepend=-1) != 0) | (np.diff(probe, prepend=-1) != 0))
         a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for start, end in zip(new.tolist(), [*new[1:].tolist(), len(key)]):
-            if end - start < 2 or (component[start:end] == component[start]).all():
+            cut = start + int(build[start:end].sum())
+            if start == cut or cut == end:
                 continue
             width = min(map(len, sketch[start:end])) // 8
             bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, dtype=np.uint64).reshape(-1, width), axis=0) for x in sketch[start:end]])
-            size, place, name, own = n[start:end], component[start:end], node[start:end], block[start:end]
-            for i in range(end - start - 1):
-                sizes = size[i + 1 :]
-                good = (place[i + 1 :] != place[i]) & (4 * np.minimum(sizes, size[i]) >= 3 * np.maximum(sizes, size[i]))
-                if low[start] != high[start]:
-                    good &= own[i + 1 :] != own[i]
+            sizes, places, nodes_, far = n[cut:end], component[cut:end], node[cut:end], ~other[cut:end]
+            for i in range(start, cut):
+                good = (places != component[i]) & (far | (nodes_ > node[i])) & (4 * np.minimum(sizes, n[i]) >= 3 * np.maximum(sizes, n[i]))
                 good = np.flatnonzero(good)
-                good = good[7 * np.bitwise_count(bits[i + 1 + good] ^ bits[i]).sum(axis=1) <= sizes[good] + size[i]]
-                a.append(np.full(len(good), name[i]))
-                b.append(name[i + 1 + good])
+                good = good[7 * np.bitwise_count(bits[cut - start + good] ^ bits[i - start]).sum(axis=1) <= sizes[good] + n[i]]
+                a.append(np.full(len(good), node[i]))
+                b.append(nodes_[good])
         a, b = np.concatenate(a), np.concatenate(b)
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
 
-    return rows.groupBy("part").applyInArrow(compare, "a long, b long")
+    return cells.groupBy("part").applyInArrow(compare, "a long, b long")
 
 
-def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id, the smallest doc_id reachable by links, per row of docs."""
-    spark = docs.sparkSession
-    prepare(spark)
-    docs = documents(docs)
-    rows = materialize(profile(docs), "profile")
+def classes(docs: DataFrame, small: int = SMALL, id_bits: int = 64) -> tuple[DataFrame, Names]:
+    """doc_id, n, node and component per row of docs, and the names of nodes. component: the smallest doc_id reachable by links, LAST minus up to 2**32 if there is none, null for an empty set."""
+    rows = materialize(profile(docs, Names(id_bits)), "profile")
+    rows, nodes, names = told_apart(rows, Names(id_bits))
     total = rows.agg(F.sum("n")).first()[0] or 0
-    # A null id sorts after all others; the surrogates become null again.
-    last = 2**63 - 1
-    own_id = F.coalesce("doc_id", F.lit(last) - F.pmod("node", F.lit(2**32)))
-    nodes = rows.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("slack").alias("slack"), F.first("sketch").alias("sketch"), F.min(own_id).alias("vertex"), F.min("doc_id").alias("doc_id"))
-    nodes = materialize(nodes, "nodes")
     groups = max(8, -(-int(total) * 7 // 10 // KEYS_PER_GROUP))
-    met = materialize(meetings(docs.where("text IS NOT NULL"), groups), "met")
+    met = materialize(meetings(docs.where("text IS NOT NULL"), groups, names), "met")
     tried = materialize(met.select(F.least("rep", "member").alias("a"), F.greatest("rep", "member").alias("b")).distinct(), "tried")
-    found = links(tried, nodes, docs)
+    found = links(tried, nodes, docs, names)
     vertex = nodes.select("node", "vertex")
 
-    def classes(found: DataFrame) -> DataFrame:
+    def connected(found: DataFrame) -> DataFrame:
         ends = found.join(vertex.select(F.col("node").alias("a"), F.col("vertex").alias("u")), "a").join(vertex.select(F.col("node").alias("b"), F.col("vertex").alias("v")), "b")
         return vertex.join(components(ends.select(F.col("u").alias("a"), F.col("v").alias("b"))), "vertex", "left").select("node", F.coalesce("component", "vertex").alias("component"))
 
-    of = materialize(classes(found), "classes")
+    of = materialize(connected(found), "classes")
     # Keys of three or more nodes, which the pairs with the smallest may have left unconnected.
     sizes = materialize(met.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
     each = lambda rows: rows.select("key", F.col("rep").alias("node")).unionAll(rows.select("key", F.col("member").alias("node"))).distinct()
-    small = each(met.join(sizes.where(F.col("c") < SMALL).select("key"), "key", "left_semi"))
-    common = each(met.join(sizes.where(F.col("c") >= SMALL).select("key"), "key", "left_semi"))
+    few = each(met.join(sizes.where(F.col("c") < small).select("key"), "key", "left_semi"))
+    common = each(met.join(sizes.where(F.col("c") >= small).select("key"), "key", "left_semi"))
     unsafe = common.groupBy("node").agg(F.count("*").alias("h")).join(nodes.select("node", "slack", "doc_id"), "node").where("h >= slack")
-    rare = rarest(docs, materialize(unsafe.select("node", "doc_id"), "unsafe"))
-    open_keys = small.select("key", "node").unionByName(rare).join(of, "node").join(nodes.select("node", "n"), "node")
+    rare = rarest(docs, materialize(unsafe.select("node", "doc_id"), "unsafe"), names)
+    open_keys = few.select("key", "node").unionByName(rare).join(of, "node").join(nodes.select("node", "n"), "node")
     open_keys = materialize(open_keys, "open")
     between = materialize(unconnected(open_keys, nodes).distinct().join(tried, ["a", "b"], "left_anti"), "between")
     if not between.isEmpty():
-        more = links(between, nodes, docs)
+        more = links(between, nodes, docs, names)
         if not more.isEmpty():
-            of = classes(found.unionAll(more))
-    whole = rows.join(of, "node", "left")
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).when(F.col("component") < last - 2**32, F.col("component")).alias("component_id"))
+            of = connected(found.unionAll(more))
+    return rows.join(of, "node", "left").select("doc_id", "n", "node", "component"), names
+
+
+def jaccard_classes(docs: DataFrame, small: int = SMALL, id_bits: int = 64) -> DataFrame:
+    """doc_id, n_shingles and component_id, the smallest doc_id reachable by links, per row of docs."""
+    prepare(docs.sparkSession)
+    whole = classes(documents(docs), small, id_bits)[0]
+    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).when(F.col("component") < LAST - 2**32, F.col("component")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, whose doc_id is the smallest of its component."""
-    found = jaccard_classes(docs)
-    drop = materialize(found.where("component_id < doc_id").select("doc_id").distinct(), "near-copies")
-    return keep_ids(docs, drop, "left_anti")
+def keep_one(docs: DataFrame, id_bits: int = 64) -> DataFrame:
+    """One row of each component, with all its columns: the one of the smallest doc_id, nulls last.
+
+    Defined cases: of several rows with this doc_id, that of the smallest set hash stays, and of
+    rows with the same words one; a row with a repeated or null doc_id goes or stays by its own
+    text; rows without words all stay, as they are linked with nothing; an empty table stays
+    empty; columns may have any names.
+    """
+    prepare(docs.sparkSession)
+    found, names = classes(documents(docs), SMALL, id_bits)
+    found = materialize(found, "of-rows")
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node")
+    # A component's leader is one row of a partial aggregate, however many copies there are.
+    leads = materialize(found.where("n > 0").groupBy("component").agg(F.min(first).alias("lead"), F.count("*").alias("c")).where("c > 1"), "leads")
+    rows = found.where("n > 0").join(leads, "component")
+    repeated = materialize(found.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 OR doc_id IS NULL").select("doc_id"), "repeated")
+    copies = rows.where("doc_id IS NOT NULL AND (lead.nameless OR lead.doc_id <> doc_id)").select("doc_id")
+    drop = materialize(copies.union(repeated.where("doc_id IS NOT NULL")).distinct(), "near-copies")
+    kept = keep_ids(docs.where("doc_id IS NOT NULL"), drop, "left_anti")
+    if repeated.isEmpty():
+        return kept
+    # Rows whose doc_id does not tell which they are: by their words.
+    node, own, doc, lead = (fresh(docs.columns, f"__{c}") for c in ("node", "of", "doc", "lead"))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t) for t in texts(batch)]
+            yield batch.append_column(node, pa.array([names.of(s) if len(s) else None for s in sets], pa.int64()))
+
+    unclear = docs.where("doc_id IS NULL").unionByName(keep_ids(docs.where("doc_id IS NOT NULL"), repeated.where("doc_id IS NOT NULL")))
+    unclear = unclear.mapInArrow(named, StructType([*docs.schema.fields, StructField(node, LongType())]))
+    where = rows.select(F.col("node").alias(own), F.col("lead.doc_id").alias(doc), F.col("lead.node").alias(lead)).distinct()
+    unclear = unclear.join(where, F.col(node) == F.col(own), "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    alone = unclear.where(F.col(own).isNull()).select(*columns)
+    leaders = unclear.where(F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(node) == F.col(lead))).dropDuplicates([node]).select(*columns)
+    return kept.unionByName(alone).unionByName(leaders)
 
 
 def brute_force(docs: list[tuple]) -> list[tuple]:

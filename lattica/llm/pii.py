@@ -35,6 +35,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: The setting that names a deployment's key, and the key of the registered query without it.
 SECRET, DEMONSTRATION = "spark.lattica.pii.secret", "lattica-demo-key"
 ROUNDS, WALKS = 10, 64
@@ -138,14 +140,6 @@ def _in_struct(sql: str) -> str:
     return re.sub(r"\bv\b", "x.v", sql)
 
 
-def fresh(taken: list[str], name: str) -> str:
-    """name, with underscores after it until no column is called so, in any letter case."""
-    lower = {c.lower() for c in taken}
-    while name in lower:
-        name += "_"
-    return name
-
-
 def _pseudonyms(docs: DataFrame, key: str | Column) -> tuple[DataFrame, str]:
     """docs with a struct of the new text and the count, null where nothing can be personal data, and that column's name."""
     if isinstance(key, str):

@@ -82,8 +82,39 @@ def test_jaccard_join_brute_force(spark):
                 else:
                     w.insert(i, f"y{random.randrange(9)}")
             docs.append((len(docs) if random.random() < 0.95 else None, " ".join(w)))
-    found = ordered(jaccard_join.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect())
-    assert found == ordered(jaccard_join.brute_force(docs))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = ordered(jaccard_join.brute_force(docs))
+    assert ordered(jaccard_join.jaccard_classes(df).collect()) == want
+    # Either side of the switch by key size, and ids of so few bits that many sets share one.
+    assert ordered(jaccard_join.jaccard_classes(df, small=2).collect()) == want
+    assert ordered(jaccard_join.jaccard_classes(df, small=10**6, id_bits=7).collect()) == want
+
+
+def test_jaccard_blocks(spark, monkeypatch):
+    """Keys with many components, in cells of few documents: each pair of different components once."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    monkeypatch.setattr(jaccard_join, "PROBES", 4)
+    random.seed(21)
+    sketch = jaccard_join.sketch_of(np.arange(10, dtype=np.uint64))
+    component = [random.randrange(1, 6) for _ in range(40)]
+    n = [random.choice([10, 11, 20]) for _ in component]
+    rows = [(k, i, component[i], n[i]) for k in (7, 8) for i in range(40) if random.random() < 0.8]
+    nodes = spark.createDataFrame([(i, sketch, None) for i in range(40)], "node long, sketch binary, brief binary")
+    found = jaccard_join.unconnected(spark.createDataFrame(rows, "key long, node long, component long, n long"), nodes).distinct().collect()
+    on = {k: {r[1] for r in rows if r[0] == k} for k in (7, 8)}
+    want = {(i, j) for s in on.values() for i in s for j in s if i < j and component[i] != component[j] and 4 * min(n[i], n[j]) >= 3 * max(n[i], n[j])}
+    assert sorted(map(tuple, found)) == sorted(want)
+
+
+def test_keep_one_by_row(spark):
+    """Repeated and null ids: a row goes or stays by its own text, and one row of each component stays."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(12)) for x in "abcd")
+    rows = [(1, a), (5, a), (5, b), (None, a), (None, c), (None, c), (7, d), (7, d), (8, "A" + a[1:]), (9, None), (9, ""), (None, None), (4, "x"), (3, "x")]
+    df = spark.createDataFrame([(i, t, f"row {n}") for n, (i, t) in enumerate(rows)], "doc_id long, text string, node string")
+    for bits in (64, 2):
+        kept = [(r.doc_id, r.text) for r in jaccard_join.keep_one(df, bits).collect()]
+        assert ordered(kept) == ordered([(1, a), (5, b), (None, c), (7, d), (9, None), (9, ""), (None, None), (3, "x")])
+        assert jaccard_join.keep_one(df, bits).columns == df.columns
 
 
 def test_sketch_bounds_difference():
