@@ -76,3 +76,10 @@ def keep_ids(docs: DataFrame, wanted: DataFrame, how: str = "left_semi", bound:
     if wanted.count() <= bound:
         wanted = F.broadcast(wanted)
     return docs.join(wanted, docs["doc_id"] == wanted[key], how)
+
+
+def with_ids(docs: DataFrame, rows: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
+    """docs joined with the rows of a materialised table by doc_id. Where these are few, a broadcast of their ids keeps the texts of other documents out of the shuffle."""
+    if rows.count() <= bound:
+        docs = keep_ids(docs, rows.select("doc_id").distinct())
+    return docs.join(rows, "doc_id")

@@ -8,20 +8,23 @@ covers it has the same words as a window of a document with a smaller doc_id.
    count over all documents confirms the phrases that recur in several.
 2. Automata. Confirmed phrases are dealt into shards, those of one passage together:
    by the first document that holds them, from which their words are read. A shard's
-   phrases become an Aho-Corasick automaton (pyahocorasick) over word numbers. Every
+   phrases become an Aho-Corasick automaton (pyahocorasick) over word numbers, each
+   written as two or three symbols, as a node's children are searched in turn. Every
    document streams through the automata of all shards of which it may hold a phrase;
    where a phrase occurs, the automaton alone tells, from the words.
+   Documents are streamed in pieces of STRIDE windows, so that a shard gets what lies
+   around its phrases and not the rest of a long document.
 3. Windows whose picked phrase was located are compared in the shard. Equal ones pick
    the same phrase, so they meet there. Those that also start in a smaller document
    mark their words; the kept words of documents with marks are joined and digested.
    Others were digested in 1.
 
-Scale. A shard has about SHARD_PHRASES phrases. Its documents are salted into groups
+Scale. A shard has about SHARD_PHRASES phrases. Its pieces are salted into groups
 of about GROUP_WORDS words, so that a passage in a third of all documents fills no
 task; such groups first reduce their windows to one row each, and only these rows,
 under a 128-bit digest of the words, meet the least document of all groups. Windows
 are told apart inside a group by 128 bits too, over exact word numbers. Texts are
-shuffled only for documents with confirmed phrases, once for each of their shards.
+shuffled only for documents with confirmed phrases, and again in pieces.
 
 Defined cases: a null or empty text has no words (n_words 0, digest of the empty
 string); a row with a null doc_id keeps all words and is never the earlier one;
@@ -43,13 +46,17 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, ids, keep_ids, materialize, prepare, texts
+from .common import BROADCAST_IDS, documents, ids, materialize, prepare, texts, with_ids
 from .words import mix, rolling, word_hashes
 
 WINDOW = 50
 PHRASE = 20
-#: Phrases of a shard, and words of a group of documents that its automaton streams, on average.
+#: Windows of a piece of a document, which has WINDOW - 1 words more.
+STRIDE = 256
+#: Phrases of a shard, and words of a group of pieces that its automaton streams, on average.
 SHARD_PHRASES, GROUP_WORDS = 20_000, 3_000_000
+#: Windows whose phrases are picked at once, and values of a symbol.
+AT_ONCE, BASE = 1 << 15, 256
 
 
 def winnowed(words: np.ndarray, window: int = WINDOW, phrase: int = PHRASE) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +64,9 @@ def winnowed(words: np.ndarray, window: int = WINDOW, phrase: int = PHRASE) -> t
     if len(words) < window:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     hashes = rolling(words, phrase)
-    return hashes, np.lib.stride_tricks.sliding_window_view(hashes, window - phrase + 1).argmin(axis=1) + np.arange(len(words) - window + 1)
+    inside = np.lib.stride_tricks.sliding_window_view(hashes, window - phrase + 1)
+    picked = [inside[i : i + AT_ONCE].argmin(axis=1) for i in range(0, len(inside), AT_ONCE)]
+    return hashes, np.concatenate(picked) + np.arange(len(inside))
 
 
 def tag(digest: str) -> int:
@@ -66,49 +75,53 @@ def tag(digest: str) -> int:
 
 
 def profile(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """doc_id, n_words, kept_sha256 of all words and the distinct winnowed phrases, per row."""
+    """doc_id, n_words, kept_sha256 of all words and, for each piece, the distinct winnowed phrases with the piece's number, per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digest, phrases = [], [], []
+            n, digest, phrases, pieces = [], [], [], []
             for t in texts(batch):
                 raw = (t or "").encode()
                 words = word_hashes(raw)
                 hashes, at = winnowed(words, window, phrase)
                 n.append(len(words))
                 digest.append(hashlib.sha256(b" ".join(raw.split())).hexdigest())
-                phrases.append(np.unique(hashes[np.unique(at)]).view(np.int64))
-            yield pa.record_batch([ids(batch).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(phrases, pa.list_(pa.int64()))], names=["doc_id", "n_words", "kept_sha256", "phrases"])
+                piece = np.arange(len(at)) // STRIDE
+                new = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(piece, prepend=-1) != 0))
+                phrases.append(hashes[at[new]].view(np.int64))
+                pieces.append(piece[new])
+            yield pa.record_batch([ids(batch).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(phrases, pa.list_(pa.int64())), pa.array(pieces, pa.list_(pa.int32()))], names=["doc_id", "n_words", "kept_sha256", "phrase", "piece"])
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, kept_sha256 string, phrases array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_words long, kept_sha256 string, phrase array<long>, piece array<int>")
 
 
-def automaton(sequences: list[tuple[int, ...]]) -> ahocorasick.Automaton:
-    out = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for s in sequences:
-        out.add_word(s, len(s))
-    out.make_automaton()
-    return out
-
-
-def wordings(docs: DataFrame, recurs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(shard, words): the words of the confirmed phrases, read from the first document that holds them. recurs: phrase, first, shard."""
+def pieces(docs: DataFrame, routed: DataFrame, window: int, phrase: int) -> DataFrame:
+    """(shard, doc_id, tag, at, words): the pieces of documents that go to a shard, and where they start; and with a null doc_id the words of the shard's phrases, read from the first document that holds each. routed: doc_id, pieces, own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shard, found = [], []
-            for text, of, wanted in zip(texts(batch), batch.column(2).to_pylist(), batch.column(3)):
+            rows = []
+            for doc, text, to, own in zip(ids(batch).to_pylist(), texts(batch), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 raw = (text or "").encode()
                 words = raw.split()
-                hashes, at = winnowed(word_hashes(raw), window, phrase)
-                at = np.unique(at)
-                at = at[np.isin(hashes[at].view(np.int64), wanted.values.to_numpy())]
-                found += [b" ".join(words[p : p + phrase]) for p in at.tolist()]
-                shard += [of] * len(at)
-            yield pa.record_batch([pa.array(shard, pa.int64()), pa.array(found, pa.binary())], names=["shard", "words"])
-
-    firsts = recurs.groupBy(F.col("first").alias("doc_id")).agg(F.first("shard").alias("shard"), F.collect_list("phrase").alias("phrases"))
-    return docs.join(firsts, "doc_id").select("doc_id", "text", "shard", "phrases").mapInArrow(run, "shard long, words binary")
+                name = tag(hashlib.sha256(b" ".join(words)).hexdigest())
+                for p in to:
+                    at = p["piece"] * STRIDE
+                    part = words[at : at + STRIDE + window - 1]
+                    if len(part) >= window:
+                        rows.append((p["shard"], doc, name, at, b" ".join(part)))
+                if own:
+                    hashes, at = winnowed(word_hashes(raw), window, phrase)
+                    at = np.unique(at)
+                    shard = {p["phrase"]: p["shard"] for p in own}
+                    for p, h in zip(at.tolist(), hashes[at].view(np.int64).tolist()):
+                        if (of := shard.pop(h, None)) is not None:
+                            rows.append((of, None, None, None, b" ".join(words[p : p + phrase])))
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["shard", "doc_id", "tag", "at", "words"])
+
+    return with_ids(docs, routed).select("doc_id", "text", "pieces", "own").mapInArrow(run, "shard long, doc_id long, tag long, at long, words binary")
 
 
 def spans(places: np.ndarray, width: int) -> list[int]:
@@ -129,85 +142,81 @@ def spread(doc: np.ndarray, place: np.ndarray, width: int) -> tuple[list, list,
 GROUP = "doc_id long, tag long, spans array<int>, window binary, first long, last long, docs array<long>, places array<long>"
 
 
-def automaton(sequences: set[tuple[int, ...]]) -> ahocorasick.Automaton:
-    out = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for s in sequences:
-        out.add_word(s, len(s))
+def symbols(numbers: np.ndarray, width: int) -> str:
+    """Numbers as text, width symbols each; symbols of different places differ."""
+    return np.stack([(numbers // BASE**d) % BASE + 1 + d * BASE for d in range(width)], axis=-1).astype("<u4").tobytes().decode("utf-32-le")
+
+
+def automaton(phrases: list[str]) -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for p in phrases:
+        out.add_word(p, 1)
     out.make_automaton()
     return out
 
 
-def marks(rows: list[tuple[int, str]], phrases: list[bytes], alone: bool, window: int, phrase: int) -> pa.Table:
-    """What a group of documents (doc_id, text) tells of its windows around phrases of the shard.
+def marks(rows: list[tuple[int, int, int, bytes]], phrases: list[bytes], alone: bool, window: int, phrase: int) -> pa.Table:
+    """What a group of pieces (doc_id, tag, at, words) tells of its windows around phrases of the shard.
 
     alone: the group is its whole shard, so marked windows come out as spans. Else each
     distinct window comes out with its digest, its first and last document and its places.
     """
-    number = defaultdict(count(1).__next__).__getitem__
-    patterns = {tuple(map(number, p.split())) for p in phrases}
     columns = {f.split()[0]: [] for f in GROUP.split(", ")}
-    own, place, one, two = [], [], [], []
-    machine = automaton(patterns) if patterns else None
-    for doc, (_, text) in enumerate(rows if patterns else ()):
-        raw = (text or "").encode()
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+    if rows and phrases:
+        number = defaultdict(count(1).__next__).__getitem__
+        patterns = np.fromiter(map(number, b" ".join(phrases).split()), dtype=np.int64)
+        known = int(patterns.max())
+        width = 2 if known < BASE**2 else 3 if known < BASE**3 else 4
+        pattern = symbols(patterns, width)
+        machine = automaton([pattern[i : i + phrase * width] for i in range(0, len(pattern), phrase * width)])
+        raw = b" ".join([r[3] for r in rows])
         words = raw.split()
-        at = winnowed(word_hashes(raw), window, phrase)[1]
-        if not len(at):
-            continue
-        stream = tuple(map(number, words))
+        numbers = np.fromiter(map(number, words), dtype=np.int64, count=len(words))
         located = np.zeros(len(words), dtype=bool)
-        for end, length in machine.iter(stream):
-            located[end - length + 1] = True
-        at = np.flatnonzero(located[at])
-        if len(at):
-            numbers = np.array(stream, dtype=np.uint64)
-            own.append(np.full(len(at), doc))
-            place.append(at + (tag(hashlib.sha256(b" ".join(words)).hexdigest()) << 32))
-            one.append(rolling(mix(numbers), window)[at])
-            two.append(rolling(mix(numbers + np.uint64(1 << 40)), window)[at])
-    if own:
-        own, place, one, two = map(np.concatenate, (own, place, one, two))
-        doc = np.array([d for d, _ in rows], dtype=np.int64)[own]
+        ends = np.fromiter((end for end, _ in machine.iter(symbols(np.where(numbers <= known, numbers, 0), width))), dtype=np.int64)
+        located[(ends + 1) // width - phrase] = True
+        size = np.array([r[3].count(b" ") + 1 for r in rows])
+        row = np.repeat(np.arange(len(rows)), size)
+        at = np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size)
+        picks = winnowed(word_hashes(raw), window, phrase)[1]
+        place = np.flatnonzero(located[picks] & (at + window <= size[row])[: len(picks)])
+        doc = np.array([r[0] for r in rows], dtype=np.int64)[row[place]]
+        one, two = (rolling(mix(numbers.astype(np.uint64) + np.uint64(salt)), window)[place] for salt in (0, 1 << 40))
         order = np.lexsort((doc, two, one))
-        own, doc, place, one, two = own[order], doc[order], place[order], one[order], two[order]
+        doc, one, two, place = doc[order], one[order], two[order], place[order]
         start = np.flatnonzero((np.diff(one, prepend=~one[:1]) != 0) | (np.diff(two, prepend=~two[:1]) != 0))
         end = np.append(start[1:], len(doc))
+        where = at[place] + np.array([r[2] + (r[1] << 32) for r in rows], dtype=np.int64)[row[place]]
         if alone:
             later = doc > np.repeat(doc[start], end - start)
-            columns["doc_id"], columns["tag"], columns["spans"] = spread(doc[later], place[later], window)
-        else:
-            at = (place[start] & 0xFFFFFFFF).tolist()
-            columns["window"] = [b""] * len(start)
-            by_row = np.argsort(own[start], kind="stable")
-            last, words = -1, []
-            for i in by_row.tolist():
-                if own[start[i]] != last:
-                    last = own[start[i]]
-                    words = (rows[last][1] or "").encode().split()
-                columns["window"][i] = hashlib.blake2b(b" ".join(words[at[i] : at[i] + window]), digest_size=16).digest()
-            columns["first"], columns["last"] = doc[start].tolist(), doc[end - 1].tolist()
-            columns["docs"], columns["places"] = (pa.ListArray.from_arrays(pa.array(np.append(start, len(doc)), pa.int32()), pa.array(c)) for c in (doc, place))
+            columns["doc_id"], columns["tag"], columns["spans"] = spread(doc[later], where[later], window)
+        elif len(start):
+            columns["window"] = [hashlib.blake2b(b" ".join(words[i : i + window]), digest_size=16).digest() for i in place[start].tolist()]
+            columns["first"], columns["last"] = doc[start], doc[end - 1]
+            columns["docs"], columns["places"] = (pa.ListArray.from_arrays(pa.array(np.append(start, len(doc)), pa.int32()), pa.array(c)) for c in (doc, where))
     n = max(map(len, columns.values()))
-    kinds = {"long": pa.int64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
     return pa.table({c: pa.array(columns[c], kinds[k]) if len(columns[c]) else pa.nulls(n, kinds[k]) for c, k in (f.split() for f in GROUP.split(", "))})
 
 
 def marked(docs: DataFrame, phrases: DataFrame, recurs: DataFrame, window: int, phrase: int, group_words: int) -> DataFrame:
-    """(doc_id, tag, spans): the words to remove, of each row a few times. phrases: doc_id, n_words, phrase. recurs: phrase, first, shard."""
-    routed = phrases.join(recurs, "phrase").groupBy("doc_id", "shard").agg(F.max("n_words").alias("n_words"))
-    routed = materialize(routed, "routed")
-    large = routed.groupBy("shard").agg(F.ceil(F.sum("n_words") / group_words).cast("int").alias("groups")).where("groups > 1")
+    """(doc_id, tag, spans): the words to remove, of each row a few times. phrases: doc_id, piece, phrase. recurs: phrase, first, shard."""
+    routed = phrases.join(recurs, "phrase").groupBy("doc_id")
+    routed = materialize(routed.agg(F.collect_set(F.struct("piece", "shard")).alias("pieces"), F.collect_set(F.when(F.col("first") == F.col("doc_id"), F.struct("phrase", "shard"))).alias("own")), "routed")
+    large = routed.select(F.explode("pieces.shard").alias("shard")).groupBy("shard").agg(F.ceil(F.count("*") * (STRIDE + window) / group_words).cast("long").alias("groups")).where("groups > 1")
     large = materialize(large, "large-shards")
-    groups = F.coalesce("groups", F.lit(1))
-    left = keep_ids(docs, routed.select("doc_id").distinct()).join(routed.select("doc_id", "shard"), "doc_id").join(large, "shard", "left")
-    left = left.select("doc_id", "text", "shard", F.pmod(F.xxhash64("doc_id"), groups).alias("salt"), groups.alias("groups"))
-    right = wordings(docs, recurs, window, phrase).join(large, "shard", "left").select("shard", "words", F.explode(F.sequence(F.lit(0).cast("long"), (groups - 1).cast("long"))).alias("salt"))
-
-    def locate(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = list(zip(left.column("doc_id").to_pylist(), left.column("text").to_pylist()))
-        return marks(rows, right.column("words").to_pylist(), bool(rows) and left.column("groups")[0].as_py() == 1, window, phrase)
-
-    found = materialize(left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt")).applyInArrow(locate, GROUP), "marks")
+    groups = F.coalesce("groups", F.lit(1).cast("long"))
+    rows = pieces(docs, routed, window, phrase).join(F.broadcast(large) if large.count() <= BROADCAST_IDS else large, "shard", "left")
+    # A phrase goes to every group of its shard, a piece to one.
+    salts = F.when(F.col("doc_id").isNull(), F.sequence(F.lit(0).cast("long"), groups - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "at"), groups)))
+    rows = rows.select("shard", F.explode(salts).alias("salt"), (groups == 1).alias("alone"), "doc_id", "tag", "at", "words")
+
+    def locate(table: pa.Table) -> pa.Table:
+        doc, tags, at, words = (table.column(c).to_pylist() for c in ("doc_id", "tag", "at", "words"))
+        found = [r for r in zip(doc, tags, at, words) if r[0] is not None]
+        return marks(found, [w for d, w in zip(doc, words) if d is None], table.column("alone")[0].as_py(), window, phrase)
+
+    found = materialize(rows.groupBy("shard", "salt").applyInArrow(locate, GROUP), "marks")
     shared = found.where("window IS NOT NULL")
     least = shared.groupBy("window").agg(F.min("first").alias("least"), F.max("last").alias("most")).where("least < most").select("window", "least")
 
@@ -230,7 +239,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     prepare(docs.sparkSession)
     docs = documents(docs)
     rows = materialize(profile(docs, window, phrase), "profile")
-    phrases = rows.where("doc_id IS NOT NULL").select("doc_id", "n_words", F.explode("phrases").alias("phrase"))
+    phrases = rows.where("doc_id IS NOT NULL").select("doc_id", F.inline(F.arrays_zip("phrase", "piece")))
     recurs = materialize(phrases.groupBy("phrase").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("phrase", "first"), "recurs")
     shards = max(1, -(-recurs.count() // shard_phrases))
     recurs = recurs.withColumn("shard", F.pmod(F.xxhash64("first"), F.lit(shards)))
@@ -258,7 +267,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
                 kept.append(left.decode() if with_text else None)
             yield pa.record_batch([pa.array(id_, pa.int64()), pa.array(whole, pa.string()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())], names=["id", "whole", "gone", "digest", "kept"])
 
-    changed = docs.join(later, "doc_id").select("doc_id", "text", "tag", "spans").mapInArrow(cut, "id long, whole string, gone long, digest string, kept string").dropDuplicates(["id", "whole"])
+    changed = with_ids(docs, later).select("doc_id", "text", "tag", "spans").mapInArrow(cut, "id long, whole string, gone long, digest string, kept string").dropDuplicates(["id", "whole"])
     out = rows.select("doc_id", "n_words", "kept_sha256").join(changed, (F.col("doc_id") == F.col("id")) & (F.col("kept_sha256") == F.col("whole")), "left")
     out = out.select("doc_id", "n_words", F.coalesce("gone", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("digest", "kept_sha256").alias("kept_sha256"), "kept")
     return out if with_text else out.drop("kept")

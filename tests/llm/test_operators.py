@@ -429,7 +429,7 @@ def _passages(seed, n):
 
 def test_substring_dedup_shards_and_salted_groups(spark):
     """Many shards, and shards split into groups whose windows meet under a digest: the same rows."""
-    docs = _passages(11, 80) + [(i, " ".join(f"hot{j}" for j in range(70)) + f" end{i}") for i in range(100, 160)] + [(3, "other words for an id that is taken"), (None, "hot1 " * 60)]
+    docs = _passages(11, 80) + [(i, " ".join(f"hot{j}" for j in range(70)) + f" end{i}") for i in range(100, 160)] + [(i, " ".join(f"long{j}" for j in range(i, 900))) for i in (200, 260, 320)] + [(3, "other words for an id that is taken"), (None, "hot1 " * 60)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     want = ordered(substring_dedup.brute_force(docs))
     assert ordered(substring_dedup.substring_dedup(df, shard_phrases=5, group_words=300).collect()) == want
@@ -438,12 +438,13 @@ def test_substring_dedup_shards_and_salted_groups(spark):
 
 def test_substring_dedup_removes_what_automata_locate(spark, monkeypatch):
     docs = _passages(12, 40)
-    rows = [(d, t) for d, t in docs if len(t.split()) >= 50]
-    words = [t.encode().split() for _, t in rows]
-    phrases = {b" ".join(w[i : i + 20]) for w in words for i in range(len(w) - 19)}
-    assert substring_dedup.marks(rows, list(phrases), True, 50, 20).num_rows > 3
-    monkeypatch.setattr(substring_dedup, "automaton", lambda sequences: ahocorasick_without_hits())
-    assert substring_dedup.marks(rows, list(phrases), True, 50, 20).num_rows == 0
+    rows = [(d, 1, 0, b" ".join(t.encode().split())) for d, t in docs if len(t.split()) >= 50]
+    words = [r[3].split() for r in rows]
+    phrases = [b" ".join(w[i : i + 20]) for w in words for i in range(len(w) - 19)]
+    assert substring_dedup.marks(rows, phrases, True, 50, 20).num_rows > 3
+    assert substring_dedup.marks(rows, phrases, False, 50, 20).num_rows > 300
+    monkeypatch.setattr(substring_dedup, "automaton", lambda phrases: ahocorasick_without_hits())
+    assert substring_dedup.marks(rows, phrases, True, 50, 20).num_rows == 0
 
 
 class ahocorasick_without_hits:
