@@ -54,7 +54,7 @@ PHRASE = 20
 #: Windows of a piece of a document, which has WINDOW - 1 words more.
 STRIDE = 256
 #: Phrases of a shard, and words of a group of pieces that its automaton streams, on average.
-SHARD_PHRASES, GROUP_WORDS = 20_000, 3_000_000
+SHARD_PHRASES, GROUP_WORDS = 5_000, 800_000
 #: Windows whose phrases are picked at once, and values of a symbol.
 AT_ONCE, BASE = 1 << 15, 256
 
