@@ -139,7 +139,7 @@ def spread(doc: np.ndarray, place: np.ndarray, width: int) -> tuple[list, list,
     return doc[row].tolist(), (place[row] >> 32).tolist(), [spans(p, width) for p in parts]
 
 
-GROUP = "doc_id long, tag long, spans array<int>, window binary, first long, last long, docs array<long>, places array<long>"
+GROUP = "shard long, salt long, doc_id long, tag long, spans array<int>, window binary, first long, last long, docs array<long>, places array<long>"
 
 
 def symbols(numbers: np.ndarray, width: int) -> str:
@@ -155,8 +155,8 @@ def automaton(phrases: list[str]) -> ahocorasick.Automaton:
     return out
 
 
-def marks(rows: list[tuple[int, int, int, bytes]], phrases: list[bytes], alone: bool, window: int, phrase: int) -> pa.Table:
-    """What a group of pieces (doc_id, tag, at, words) tells of its windows around phrases of the shard.
+def marks(rows: list[tuple[int, int, int, bytes]], phrases: list[bytes], alone: bool, window: int, phrase: int, name: tuple[int, int] = (0, 0)) -> pa.Table:
+    """What a group of pieces (doc_id, tag, at, words) tells of its windows around phrases of the shard. name: its shard and salt.
 
     alone: the group is its whole shard, so marked windows come out as spans. Else each
     distinct window comes out with its digest, its first and last document and its places.
@@ -196,6 +196,7 @@ def marks(rows: list[tuple[int, int, int, bytes]], phrases: list[bytes], alone:
             columns["first"], columns["last"] = doc[start], doc[end - 1]
             columns["docs"], columns["places"] = (pa.ListArray.from_arrays(pa.array(np.append(start, len(doc)), pa.int32()), pa.array(c)) for c in (doc, where))
     n = max(map(len, columns.values()))
+    columns["shard"], columns["salt"] = [name[0]] * n, [name[1]] * n
     return pa.table({c: pa.array(columns[c], kinds[k]) if len(columns[c]) else pa.nulls(n, kinds[k]) for c, k in (f.split() for f in GROUP.split(", "))})
 
 
@@ -214,23 +215,27 @@ def marked(docs: DataFrame, phrases: DataFrame, recurs: DataFrame, window: int,
     def locate(table: pa.Table) -> pa.Table:
         doc, tags, at, words = (table.column(c).to_pylist() for c in ("doc_id", "tag", "at", "words"))
         found = [r for r in zip(doc, tags, at, words) if r[0] is not None]
-        return marks(found, [w for d, w in zip(doc, words) if d is None], table.column("alone")[0].as_py(), window, phrase)
+        return marks(found, [w for d, w in zip(doc, words) if d is None], table.column("alone")[0].as_py(), window, phrase, (table.column("shard")[0].as_py(), table.column("salt")[0].as_py()))
 
     found = materialize(rows.groupBy("shard", "salt").applyInArrow(locate, GROUP), "marks")
-    shared = found.where("window IS NOT NULL")
-    least = shared.groupBy("window").agg(F.min("first").alias("least"), F.max("last").alias("most")).where("least < most").select("window", "least")
-
-    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, places = batch.column(1), batch.column(2)
-            doc, place = docs.flatten().to_numpy(), places.flatten().to_numpy()
-            later = doc > np.repeat(batch.column(0).to_numpy(), pa.compute.list_value_length(docs).to_numpy())
-            out = spread(doc[later], place[later], window)
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.list_(pa.int32())))], names=["doc_id", "tag", "spans"])
-
+    # Groups of a shard: only their distinct windows meet, and each group gets back which are late and after which document.
+    shared = found.where("window IS NOT NULL").select("shard", "salt", "window", "first", "last", "docs", "places")
+    heads = shared.drop("docs", "places")
+    least = heads.groupBy("window").agg(F.min("first").alias("least"), F.max("last").alias("most")).where("least < most").select("window", "least")
     # Written, so that a window in very many groups can be split from its least document.
-    least = materialize(least, "least")
-    late = shared.join(least, "window").select("least", "docs", "places").mapInArrow(flat, "doc_id long, tag long, spans array<int>")
+    late = materialize(heads.join(materialize(least, "least"), "window").where("least < last").select("shard", "salt", "window", "least"), "late")
+
+    def merge(group: pa.Table, late: pa.Table) -> pa.Table:
+        of = dict(zip(late.column("window").to_pylist(), late.column("least").to_pylist()))
+        group = group.filter(pa.array([w in of for w in group.column("window").to_pylist()], pa.bool_()))
+        docs, places = (group.column(c).combine_chunks() for c in ("docs", "places"))
+        before = np.array([of[w] for w in group.column("window").to_pylist()], dtype=np.int64)
+        doc, place = docs.flatten().to_numpy(), places.flatten().to_numpy()
+        later = doc > np.repeat(before, pa.compute.list_value_length(docs).to_numpy())
+        out = spread(doc[later], place[later], window)
+        return pa.table({c: pa.array(v, k) for c, v, k in zip(("doc_id", "tag", "spans"), out, (pa.int64(), pa.int64(), pa.list_(pa.int32())))})
+
+    late = shared.groupBy("shard", "salt").cogroup(late.groupBy("shard", "salt")).applyInArrow(merge, "doc_id long, tag long, spans array<int>")
     return found.where("doc_id IS NOT NULL").select("doc_id", "tag", "spans").unionByName(late)
 
 
