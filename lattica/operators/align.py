@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..functions import names as N
 from ..matrix import table
+from ..plans.ranking import global_position
 
 
 def row_dictionary(backends: DataFrame, how: str = "union", at_least: int = 1) -> DataFrame:
@@ -21,11 +22,8 @@ def row_dictionary(backends: DataFrame, how: str = "union", at_least: int = 1) -
     present = backends.select("backend", "name").distinct().groupBy("name").agg(F.count("*").alias("n"))
     if how == "intersect":
         at_least = backends.select("backend").distinct().count()
-    from ..plans.ranking import global_position
-
     kept = present.where(F.col("n") >= at_least).select("name")
-    keyed = kept.withColumn("__h", F.conv(F.substring(F.rpad(F.hex("name"), 12, "0"), 1, 12), 16, 10).cast("double"))
-    return global_position(keyed, "__h", "name").select("name", (F.col("position") - 1).alias("row_id"))
+    return global_position(kept, "name").select("name", (F.col("position") - 1).alias("row_id"))
 
 
 def align(cells: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -89,15 +87,16 @@ def match_keys(queries: DataFrame, keys: DataFrame, delimiter: str = "@") -> Dat
             hit = left.withColumn("b", base(F.col("query"))).join(k.withColumn("b", base(F.col("key"))), "b")
         else:
             short, long, s, t = (left, k, "query", "key") if tier == 3 else (k, left, "key", "query")
-            lengths = [r[0] for r in short.select(F.length(s)).distinct().orderBy(F.length(s)).limit(1000).collect() if r[0]]
-            starts = long.withColumn("l", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"))).where(F.col("l") <= F.length(t))
+            # Only the lengths that the shorter side has.
+            lengths = short.select(F.length(s).alias("l")).where("l > 0").distinct()
+            starts = long.where(F.length(t) > 0).withColumn("l", F.explode(F.sequence(F.lit(1), F.length(t)))).join(lengths, "l", "left_semi")
             hit = short.join(starts.withColumn("start", F.expr(f"substring({t}, 1, l)")), F.col(s) == F.col("start"))
         out.append(best(hit, tier))
         left = left.join(out[-1].select("query"), "query", "left_anti")
     return reduce(DataFrame.unionAll, out)
 
 
-@register("match_keys_tiered", """WITH q AS (SELECT DISTINCT CASE c_custkey % 5 WHEN 0 THEN c_name WHEN 1 THEN c_name || '@x' WHEN 2 THEN left(c_name, 16) WHEN 3 THEN c_name || 'zz' ELSE 'none' || c_custkey END AS query FROM customer WHERE c_custkey <= 300),
+@register("match_keys_tiered", """WITH q AS (SELECT DISTINCT CASE c_custkey % 5 WHEN 0 THEN c_name WHEN 1 THEN c_name || '@x' WHEN 2 THEN left(c_name, 16) WHEN 3 THEN c_name || 'zz' ELSE 'none' || c_custkey END AS query FROM customer),
 k AS (SELECT DISTINCT CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE c_name || '@' || c_mktsegment END AS key FROM customer),
 h AS (SELECT query, key, CASE WHEN query = key THEN 1 WHEN string_split(query, '@')[1] = string_split(key, '@')[1] THEN 2 WHEN starts_with(key, query) THEN 3 WHEN starts_with(query, key) THEN 4 END AS tier FROM q, k)
 SELECT query, min(key) AS key, tier FROM h JOIN (SELECT query, min(tier) AS tier FROM h GROUP BY 1) USING (query, tier) GROUP BY query, tier""")
@@ -106,7 +105,7 @@ def _match(spark, d):
     k = F.col("c_custkey") % 5
     q = F.when(k == 0, F.col("c_name")).when(k == 1, F.concat(F.col("c_name"), F.lit("@x"))).when(k == 2, F.substring("c_name", 1, 16)).when(k == 3, F.concat(F.col("c_name"), F.lit("zz"))).otherwise(F.concat(F.lit("none"), F.col("c_custkey").cast("string")))
     keys = F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.concat_ws("@", "c_name", "c_mktsegment"))
-    return match_keys(c.where("c_custkey <= 300").select(q.alias("query")), c.select(keys.alias("key")))
+    return match_keys(c.select(q.alias("query")), c.select(keys.alias("key")))
 
 
 @register("match_by_substring", "SELECT q.query, p_partkey FROM (VALUES ('ring'), ('bolt'), ('nothing')) q(query) JOIN part ON contains(p_name, q.query)")
@@ -135,4 +134,4 @@ def _labels(spark, d):
 def _union_names(spark, d):
     """Union of name lists (vocabularies), sorted and numbered from 0."""
     names = table(spark, d, "nation").select(F.col("n_name").alias("name")).union(table(spark, d, "region").select("r_name")).union(table(spark, d, "part").select("p_brand")).distinct()
-    return names.withColumn("idx", F.row_number().over(Window.orderBy("name")) - 1)
+    return global_position(names, "name").select("name", (F.col("position") - 1).alias("idx"))

@@ -27,9 +27,9 @@ def select_top_variants(qtl: DataFrame, k: int) -> DataFrame:
     return qtl.join(top, "variant", "left_semi")
 
 
-@register("qtl_select_top", f"WITH {_Q}, s AS (SELECT gene, variant, avg((beta / se) ** 2) AS s FROM q GROUP BY ALL), t AS (SELECT DISTINCT variant FROM (SELECT * FROM s WHERE gene % 20 = 0 QUALIFY row_number() OVER (PARTITION BY gene ORDER BY round(s, 6) DESC, variant) <= 2)) SELECT gene, variant, context, round(beta, 6) AS beta FROM q SEMI JOIN t USING (variant) WHERE gene % 20 = 0")
+@register("qtl_select_top", f"WITH {_Q}, s AS (SELECT gene, variant, avg((beta / se) ** 2) AS s FROM q GROUP BY ALL), t AS (SELECT DISTINCT variant FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY gene ORDER BY round(s, 6) DESC, variant) <= 2)) SELECT gene, variant, context, round(beta, 6) AS beta FROM q SEMI JOIN t USING (variant)")
 def _select(spark, d):
-    return select_top_variants(_qtl(spark, d).where("gene % 20 = 0"), 2).select("gene", "variant", "context", F.round("beta", 6).alias("beta"))
+    return select_top_variants(_qtl(spark, d), 2).select("gene", "variant", "context", F.round("beta", 6).alias("beta"))
 
 
 def evidence_states(qtl: DataFrame, detect: float = 2.0, power: float = 2.8) -> DataFrame:

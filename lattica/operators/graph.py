@@ -93,12 +93,13 @@ def canonical_edges(edges: DataFrame) -> DataFrame:
 
 
 def _edges(spark, d) -> DataFrame:
-    """Parts bought in one order, of the first 300 parts: a small co-purchase graph with capped degree."""
-    l = table(spark, d, "lineitem").where("l_partkey <= 300").select("l_orderkey", "l_partkey").distinct()
-    return canonical_edges(l.select("l_orderkey", F.col("l_partkey").alias("a")).join(l.select("l_orderkey", F.col("l_partkey").alias("b")), "l_orderkey").where("a < b"))
+    """Parts on consecutive lines of an order: a co-purchase graph over all parts."""
+    l = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("a"))
+    after = l.select("l_orderkey", (F.col("line") - 1).alias("line"), F.col("a").alias("b"))
+    return canonical_edges(l.join(after, ["l_orderkey", "line"]))
 
 
-_E = "l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey <= 300), e AS (SELECT DISTINCT a.l_partkey AS u, b.l_partkey AS v FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey)"
+_E = "e AS MATERIALIZED (SELECT DISTINCT least(a.l_partkey, b.l_partkey) AS u, greatest(a.l_partkey, b.l_partkey) AS v FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 AND a.l_partkey <> b.l_partkey)"
 _ADJ = "j AS (SELECT u AS n, v AS m FROM e UNION ALL SELECT v, u FROM e)"
 
 
@@ -171,6 +172,7 @@ def k_core(edges: DataFrame, least: int) -> DataFrame:
         rest = materialize(edges.join(weak.select(F.col("n").alias("u")), "u", "left_anti").join(weak.select(F.col("n").alias("v")), "v", "left_anti").select("u", "v"), "core")
         if rest.count() == edges.count():
             return rest
+        forget(edges)
         edges = rest
 
 
@@ -189,7 +191,9 @@ def connected(edges: DataFrame) -> DataFrame:
         jump = new.join(new.select(F.col("n").alias("c"), F.col("c").alias("up")), "c").select("n", F.least("c", "up").alias("c"))
         new = materialize(jump, "labels")
         if new.join(labels.withColumnRenamed("c", "old"), "n").where("c <> old").isEmpty():
+            forget(a)
             return new.select("n", F.col("c").alias("component"))
+        forget(labels)
         labels = new
 
 

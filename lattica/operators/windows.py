@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..matrix import table
-from ..plans.ranking import global_position, suffix_min
+from ..plans.ranking import global_position, ranged, suffix_min
 
 #: p-like test values: a hash of keys in [0, 1), the same in both engines.
 _P = "cast(conv(substr(md5(concat_ws(':', cast(l_orderkey as string), cast(l_linenumber as string), cast(l_partkey as string))), 1, 8), 16, 10) as double) / 4294967296.0"
@@ -25,7 +25,7 @@ def benjamini_hochberg(df: DataFrame, p: str = "p", id_: str = "id") -> DataFram
     """df with q: the least p * m / rank among its own and larger p-values, at most 1. Null p-values are left out."""
     df = df.where(F.col(p).isNotNull())
     m = df.count()
-    ranked = global_position(df, p, id_)
+    ranked = global_position(ranged(df, p, id_), p, id_, dealt=True)
     return suffix_min(ranked, p, F.col(p) * m / F.col("position"), "q", F.desc(id_)).withColumn("q", F.least("q", F.lit(1.0))).drop("position")
 
 

@@ -1,7 +1,8 @@
 """Positions and running extremes over a whole table, without a window in one task.
 
-Rows are dealt into buckets of the ordering value at its quantiles; windows run
-inside buckets, and one small row per bucket carries counts and extremes over.
+Rows are dealt by range into as many buckets as they need, which are written with
+their number; windows run inside buckets, and one small row per bucket carries counts
+and extremes over. Equal values are split by the tie columns, so none fills a task.
 """
 
 from __future__ import annotations
@@ -9,32 +10,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets; each holds about its share of the rows.
-BUCKETS = 64
+from .scratch import materialize
 
+#: Rows of a bucket at most, on average, and least that are worth one.
+MOST, LEAST = 4_000_000, 10_000
 
-def bucketed(df: DataFrame, value: str, buckets: int = BUCKETS) -> tuple[DataFrame, str]:
-    """df with the bucket of value (nulls first, then rising)."""
-    cuts = sorted(set(df.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.5 / buckets)))
-    bucket = F.lit(0)
-    if cuts:
-        bucket = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(value))), F.lit(0))
-    return df.withColumn("__bucket", bucket), "__bucket"
 
+def ranged(df: DataFrame, *order: str) -> DataFrame:
+    """df with __bucket, rising with the order (nulls first); sorted rows never lie in two buckets' wrong order."""
+    n = df.count()
+    parts = max(min(df.sparkSession.sparkContext.defaultParallelism, n // LEAST), -(-n // MOST), 1)
+    return materialize(df.repartitionByRange(parts, *order).withColumn("__bucket", F.spark_partition_id()), "ranged")
 
-def global_position(df: DataFrame, value: str, *ties: str) -> DataFrame:
-    """df with position, 1 for the smallest value; equal values are told apart by ties."""
-    rows, bucket = bucketed(df, value)
-    counts = rows.groupBy(bucket).agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy(bucket)) - F.col("__n")).select(bucket, "__before")
-    inside = F.row_number().over(Window.partitionBy(bucket).orderBy(value, *ties))
-    return rows.join(F.broadcast(before), bucket).withColumn("position", inside + F.col("__before")).drop("__bucket", "__before")
 
+def global_position(df: DataFrame, value: str, *ties: str, dealt: bool = False) -> DataFrame:
+    """df with position, 1 for the smallest value; equal values are told apart by ties. dealt: df comes from ranged() and keeps its bucket."""
+    rows = df if dealt else ranged(df, value, *ties)
+    counts = rows.groupBy("__bucket").agg(F.count("*").alias("__n"))
+    # One row per bucket, so a window over all of them is small.
+    before = counts.select("__bucket", (F.sum("__n").over(Window.orderBy("__bucket")) - F.col("__n")).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(value, *ties))
+    out = rows.join(F.broadcast(before), "__bucket").withColumn("position", inside + F.col("__before")).drop("__before")
+    return out if dealt else out.drop("__bucket")
 
-def suffix_min(df: DataFrame, value: str, measure: Column, out: str, *ties: str) -> DataFrame:
-    """df with the least measure among its own and all larger values."""
-    rows, bucket = bucketed(df.withColumn("__m", measure), value)
-    least = rows.groupBy(bucket).agg(F.min("__m").alias("__least"))
-    after = least.withColumn("__after", F.min("__least").over(Window.orderBy(F.desc(bucket)).rowsBetween(Window.unboundedPreceding, -1))).select(bucket, "__after")
-    inside = F.min("__m").over(Window.partitionBy(bucket).orderBy(F.desc(value), *ties).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.join(F.broadcast(after), bucket).withColumn(out, F.least(inside, "__after")).drop("__m", "__bucket", "__after")
+
+def suffix_min(rows: DataFrame, value: str, measure: Column, out: str, *ties: str) -> DataFrame:
+    """Rows of ranged() with the least measure among their own and all larger values; the bucket goes."""
+    rows = rows.withColumn("__m", measure)
+    least = rows.groupBy("__bucket").agg(F.min("__m").alias("__least"))
+    after = least.select("__bucket", F.min("__least").over(Window.orderBy(F.desc("__bucket")).rowsBetween(Window.unboundedPreceding, -1)).alias("__after"))
+    inside = F.min("__m").over(Window.partitionBy("__bucket").orderBy(F.desc(value), *ties).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(F.broadcast(after), "__bucket").withColumn(out, F.least(inside, "__after")).drop("__m", "__bucket", "__after")

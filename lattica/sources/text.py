@@ -9,11 +9,11 @@ from ..matrix import Matrix
 
 
 def read_mtx(spark: SparkSession, path: str) -> DataFrame:
-    """(row_id, col_id, val) from MatrixMarket triplets, numbered from 0. Comment lines go, and with them the one size line of three counts, known by its file position being the first."""
+    """(row_id, col_id, val) from MatrixMarket triplets, numbered from 0. Comment lines go, and with them the one size line of three counts, known by its file position being the first; so do lines that are no triplet."""
     lines = spark.read.text(path).where(~F.col("value").startswith("%") & (F.trim("value") != "")).select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
     first = lines.groupBy("file").agg(F.min("at").alias("at"))
     f = F.split(F.trim("value"), r"\s+")
-    return lines.join(F.broadcast(first), ["file", "at"], "left_anti").select((f[0].cast("long") - 1).alias("row_id"), (f[1].cast("long") - 1).alias("col_id"), f[2].cast("double").alias("val"))
+    return lines.join(F.broadcast(first), ["file", "at"], "left_anti").select((F.get(f, F.lit(0)).try_cast("long") - 1).alias("row_id"), (F.get(f, F.lit(1)).try_cast("long") - 1).alias("col_id"), F.get(f, F.lit(2)).try_cast("double").alias("val")).na.drop()
 
 
 def read_names(spark: SparkSession, path: str, id_name: bool = False) -> DataFrame:
@@ -43,11 +43,11 @@ def write_mtx(m: Matrix, path: str) -> None:
 
 
 def read_fragments(spark: SparkSession, path: str) -> DataFrame:
-    """(chr, start, end, barcode, cnt): comments and empty intervals go, chr is stripped in any letter case, a missing count is 1."""
+    """(chr, start, end, barcode, cnt): comments, empty intervals and negative starts go, chr is stripped in any letter case, a missing count is 1."""
     f = F.split("value", "\t")
     rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.size(f) >= 4))
     rows = rows.select(F.regexp_replace(f[0], "^(?i)chr", "").alias("chr"), f[1].try_cast("long").alias("start"), f[2].try_cast("long").alias("end"), f[3].alias("barcode"), F.coalesce(F.get(f, F.lit(4)).try_cast("long"), F.lit(1)).alias("cnt"))
-    return rows.where("end > start")
+    return rows.where("start >= 0 AND end > start")
 
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
@@ -56,9 +56,10 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_gmt(spark: SparkSession, path: str) -> DataFrame:
-    """(term, gene), one row per member."""
+    """(term, gene), one row per member, genes trimmed and in upper case; comment lines go."""
     f = F.split("value", "\t")
-    return spark.read.text(path).where(F.size(f) >= 3).select(f[0].alias("term"), F.explode(F.slice(f, 3, F.size(f))).alias("gene")).where("gene <> ''").distinct()
+    rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.size(f) >= 3))
+    return rows.select(F.trim(f[0]).alias("term"), F.explode(F.slice(f, 3, F.size(f))).alias("gene")).select("term", F.upper(F.trim("gene")).alias("gene")).where("term <> '' AND gene <> ''").distinct()
 
 
 def read_gff(spark: SparkSession, path: str) -> DataFrame:

@@ -47,3 +47,41 @@ def test_bh_known_values(spark):
     df = spark.createDataFrame([(0, 0.001), (1, 0.01), (2, 0.5), (3, 0.9)], "id int, p double")
     q = {r.id: r.q for r in benjamini_hochberg(df).collect()}
     assert abs(q[0] - 0.004) < 1e-12 and abs(q[1] - 0.02) < 1e-12 and abs(q[3] - 0.9) < 1e-12
+
+
+def test_match_keys_of_any_length(spark):
+    """Prefix tiers over more than a thousand lengths, and empty keys."""
+    from lattica.operators.align import match_keys
+
+    names = ["q" * n for n in range(1, 1201)]
+    queries = spark.createDataFrame([(n,) for n in names] + [("",), (None,)], "query string")
+    keys = spark.createDataFrame([(n + "k",) for n in names[1100:]] + [("r",)], "key string")
+    found = {r.query: (r.key, r.tier) for r in match_keys(queries, keys).collect()}
+    assert found["q" * 1200] == ("q" * 1200 + "k", 3) and found["q"] == ("q" * 1101 + "k", 3)
+    assert match_keys(spark.createDataFrame([("q" * 1150 + "zz",)], "query string"), spark.createDataFrame([("q" * 1150,)], "key string")).first().tier == 4
+
+
+def test_ranged_positions_with_ties(spark):
+    from lattica.plans import ranking
+
+    df = spark.createDataFrame([(i, float(i % 3) if i % 7 else None) for i in range(500)], "id int, v double")
+    rows = ranking.global_position(df, "v", "id").collect()
+    want = sorted(((r.v is not None, r.v or 0.0, r.id) for r in rows))
+    assert [(r.v is not None, r.v or 0.0, r.id) for r in sorted(rows, key=lambda r: r.position)] == want
+    assert sorted(r.position for r in rows) == list(range(1, 501))
+
+
+def test_mask_needs_a_value_for_each_column(spark, sf):
+    from lattica.matrix import part_by_order
+    from lattica.operators.access import mask_columns
+
+    m = part_by_order(spark, sf)
+    with pytest.raises(ValueError):
+        mask_columns(m, m.samples.selectExpr("col_id", "true AS keep").limit(3))
+
+
+def test_merge_nearby_known_values(spark):
+    from lattica.operators.access import merge_nearby
+
+    sites = spark.createDataFrame([("g", p, n) for p, n in ((10, 2), (15, 5), (20, 5), (21, 9), (40, 1))] + [("h", 1, 1)], "gene string, pos long, n long")
+    assert sorted(map(tuple, merge_nearby(sites, "gene", 10).collect())) == [("g", 15, 5), ("g", 21, 9), ("g", 40, 1), ("h", 1, 1)]
