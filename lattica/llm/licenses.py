@@ -3,14 +3,16 @@
 A text is split into sentences, after full stops and the like and at lines without
 letters or digits; sentences are normalised (lower case, letters, digits and dots
 between them only). A sentence that goes over several lines counts as a whole if
-it is known, else each of its lines as a sentence. SENTENCES maps normalised
-sentences to identifiers; NOTICES adds the sentences of the standard texts, split
-and normalised in the same way. RULES are ordered sequences of
-identifiers: a rule matches where its identifiers follow one another among the
-text's known sentences, other sentences in between being skipped.
+it is known, else each of its lines as a sentence. Tables map normalised sentences
+to identifiers: short sentences, those of the standard texts, split and normalised in
+the same way, and over a thousand notices, built from the names of licences. RULES are
+sequences of identifiers in order: a rule matches where its identifiers follow one
+another among the text's known sentences, other sentences in between being skipped.
+Rules are tried from the longest to the shortest and take their sentences out, so the
+text of BSD-3-Clause is not BSD-2-Clause too, while both texts in a document are found.
 
-Both tables are fixed values of this module, a few dozen short strings, so the
-scan is one projection with literals: no shuffle, no Python, no broadcast.
+The tables are of a fixed size, so the scan is one projection with literals, a hash
+lookup for each sentence: no shuffle, no Python, no broadcast.
 
 Defined cases: null or empty text has no sentences and no licences; null doc_ids
 are passed through; repeated rows are scanned each; an empty table gives no rows;
@@ -24,63 +26,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Normalised sentence -> identifier.
-SENTENCES = {
-    "licensed under the apache license version 2.0": "apache2-notice",
-    "licensed under the apache license version 2.0 the license": "apache2-notice",
-    "you may obtain a copy of the license at": "apache2-copy",
-    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis": "apache2-asis",
-    "released under the mit license": "mit-notice",
-    "licensed under the mit license": "mit-notice",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit-grant",
-    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-keep",
-    "the software is provided as is without warranty of any kind": "mit-asis",
-    "this work is licensed under the gnu general public license version 3": "gpl3-notice",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "gpl-grant",
-    "this program is distributed in the hope that it will be useful": "gpl-hope",
-    "you should have received a copy of the gnu general public license along with this program": "gpl-copy",
-    "licensed under cc by nc 4.0": "cc-by-nc4-notice",
-    "licensed under cc by 4.0": "cc-by4-notice",
-    "licensed under cc by sa 4.0": "cc-by-sa4-notice",
-    "all rights reserved": "reserved",
-    "redistribution and use in source and binary forms with or without modification are permitted": "bsd-grant",
-    "redistributions of source code must retain the above copyright notice": "bsd-source",
-    "redistributions in binary form must reproduce the above copyright notice": "bsd-binary",
-    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products": "bsd-names",
-    "this is free and unencumbered software released into the public domain": "unlicense-grant",
-}
-#: Licence -> ordered identifiers; a licence may have several rules.
-RULES = (
-    ("Apache-2.0", ("apache2-notice",)),
-    ("Apache-2.0 header", ("apache2-notice", "apache2-copy", "apache2-asis")),
-    ("MIT", ("mit-notice",)),
-    ("MIT", ("mit-grant", "mit-keep", "mit-asis")),
-    ("GPL-3.0", ("gpl3-notice",)),
-    ("GPL", ("gpl-grant", "gpl-hope", "gpl-copy")),
-    ("CC-BY-NC-4.0", ("cc-by-nc4-notice",)),
-    ("CC-BY-4.0", ("cc-by4-notice",)),
-    ("CC-BY-SA-4.0", ("cc-by-sa4-notice",)),
-    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
-    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
-    ("Unlicense", ("unlicense-grant",)),
-    ("all-rights-reserved", ("reserved",)),
-)
-#: The sentences of the standard texts, as they stand there, and their identifiers. Those of the GPL begin after its first colon or semicolon.
-NOTICES = (
-    ('Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.', "apache2-asis"),
-    ('Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:', "mit-grant"),
-    ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.', "mit-asis"),
-    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "bsd-grant"),
-    ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "bsd-source"),
-    ("Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "bsd-binary"),
-    ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "bsd-names"),
-    ("This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;", "gpl-hope"),
-    ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gpl-grant"),
-    ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License.", "gpl-grant"),
-    ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3.", "gpl-grant"),
-    ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;", "gpl-grant"),
-    ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.", "gpl-grant"),
-)
+from .license_tables import RULES, SENTENCES, STANDARD, notices
+
 #: Between lines with letters or digits, lines without; and what goes from a sentence: marks, but for dots inside numbers.
 _BLANK, _MARKS = r"\n(?:[^\p{L}\p{N}\n]*\n)+", r"[^a-z0-9.]+|\.(?:[^0-9]|$)"
 
@@ -89,39 +36,60 @@ def normalised(sentence: str) -> str:
     return re.sub(" +", " ", re.sub(_MARKS, " ", sentence.lower())).strip(" ")
 
 
-def _rule_pattern(ids: tuple[str, ...]) -> str:
-    """Matches a text of identifiers, each between bars, that holds ids in order."""
-    return r"\|" + r"\|(?:[^|]+\|)*".join(ids) + r"\|"
+def sentence_table() -> dict[str, str]:
+    """Normalised sentence -> identifier."""
+    return notices() | SENTENCES | {normalised(s): name for s, name in STANDARD}
+
+
+def _rule(ids: tuple[str, ...]) -> tuple[str, int]:
+    """A pattern for identifiers, each between bars, that holds ids in order and takes apart what lies between, and the number of gaps."""
+    return r"\|" + r"\|((?:[^|]+\|)*?)".join(ids) + r"\|", len(ids) - 1
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def licenses(docs: DataFrame, sentences: dict[str, str] | None = None, rules: tuple = RULES) -> DataFrame:
-    """doc_id, n_sentences (known ones), sequence (their identifiers in order) and licenses (sorted, separated by commas) per row of docs."""
-    if sentences is None:
-        sentences = SENTENCES | {normalised(s): name for s, name in NOTICES}
-    known = F.create_map(*(F.lit(x) for kv in sentences.items() for x in kv))
+    """doc_id, n_sentences (known ones), sequence (their identifiers in order) and licenses (sorted, separated by commas) per row of docs.
+
+    sentences: normalised sentences of any length and their identifiers; by default the module's. rules: licences and their identifiers, tried in this order.
+    """
+    sentences = {k: v for k, v in (sentence_table() if sentences is None else sentences).items() if k}
     # Sentences end with a NUL, their lines with a line end.
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\0\r", "  ")
     wholes = F.split(F.regexp_replace(F.regexp_replace(text, _BLANK, "\0"), r"([.!?;:])(?:[ \t]+|[ \t]*\n)", "$1\0"), "\0")
-    bare = lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.lower(s), _MARKS, " "), " +", " "))
-    named = lambda s: F.when(F.length(s) >= 12, known[bare(s)])
-    whole = lambda s: F.when(named(s).isNotNull(), F.array(named(s))).otherwise(F.transform(F.split(s, "\n"), named))
-    found = F.filter(F.flatten(F.transform(wholes, whole)), lambda i: i.isNotNull())
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("found"))
-    text = F.concat(F.lit("|"), F.array_join("found", "|"), F.lit("|"))
-    matched = F.array_sort(F.array_distinct(F.filter(F.array(*(F.when(text.rlike(_rule_pattern(ids)), F.lit(name)) for name, ids in rules)), lambda x: x.isNotNull())))
-    return out.select("doc_id", F.size("found").cast("long").alias("n_sentences"), F.array_join("found", " ").alias("sequence"), F.array_join(matched, ",").alias("licenses"))
+    bare = lambda s: f"trim(regexp_replace(regexp_replace(lower({s}), {_quoted(_MARKS)}, ' '), ' +', ' '))"
+    known = f"map({', '.join(_quoted(x) for kv in sentences.items() for x in kv)})" if sentences else "cast(map() AS map<string,string>)"
+    is_known = f"b IN ({', '.join(map(_quoted, sentences))})" if sentences else "false"
+    lines = f"transform(filter(transform(split(s, '\n'), l -> {bare('l')}), b -> {is_known}), b -> {known}[b])"
+    whole = f"transform(array({bare('s')}), b -> CASE WHEN {is_known} THEN array({known}[b]) WHEN contains(s, '\n') THEN {lines} ELSE cast(array() AS array<string>) END)[0]"
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), wholes.alias("wholes")).select("doc_id", F.expr(f"flatten(transform(wholes, s -> {whole}))").alias("found"))
+    names = "cast(array() AS array<string>)"
+    if rules:
+        structs = []
+        for name, ids in rules:
+            pattern, gaps = _rule(ids)
+            structs.append(f"named_struct('name', {_quoted(name)}, 'pattern', {_quoted(pattern)}, 'rest', {_quoted('|' + ''.join(f'${i + 1}' for i in range(gaps)))})")
+        start = f"named_struct('seq', concat('|', array_join(found, '|'), '|'), 'names', {names})"
+        step = "CASE WHEN acc.seq RLIKE r.pattern THEN named_struct('seq', regexp_replace(acc.seq, r.pattern, r.rest), 'names', array_append(acc.names, r.name)) ELSE acc END"
+        names = f"CASE WHEN size(found) = 0 THEN {names} ELSE aggregate(array({', '.join(structs)}), {start}, (acc, r) -> {step}, acc -> array_sort(array_distinct(acc.names))) END"
+    return out.select("doc_id", F.size("found").cast("long").alias("n_sentences"), F.array_join("found", " ").alias("sequence"), F.array_join(F.expr(names), ",").alias("licenses"))
 
 
 def _oracle() -> str:
-    pairs = ", ".join(f"('{k}', '{v}')" for k, v in SENTENCES.items())
-    rules = ", ".join(f"('{name}', '{_rule_pattern(ids)}')" for name, ids in RULES)
+    pairs = ", ".join(f"('{k}', '{v}')" for k, v in sentence_table().items())
+    ruled = [(name, *_rule(ids)) for name, ids in RULES]
+    rules = ", ".join(f"({i}, '{name}', '{pattern}', '|{''.join(f'{chr(92)}{g + 1}' for g in range(gaps))}')" for i, (name, pattern, gaps) in enumerate(ruled))
     return rf"""
-WITH known(s, id) AS (VALUES {pairs}), rule(name, pattern) AS (VALUES {rules}),
+WITH RECURSIVE known(s, id) AS (VALUES {pairs}), rule(i, name, pattern, rest) AS (VALUES {rules}),
 l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS s, generate_subscripts(string_split(t, chr(10)), 1) AS i
-  FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '([.!?;:])[ \t]+', '\1' || chr(10), 'g') AS t FROM documents)),
-b AS (SELECT doc_id, i, trim(regexp_replace(regexp_replace(lower(s), '[^a-z0-9.]+|\.(?:[^0-9]|$)', ' ', 'g'), ' +', ' ', 'g')) AS s FROM l WHERE length(s) >= 12),
-f AS (SELECT doc_id, string_agg(id, '|' ORDER BY i) AS ids, count(*) AS n FROM b JOIN known USING (s) GROUP BY doc_id),
-r AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM f JOIN rule ON regexp_matches('|' || ids || '|', pattern) GROUP BY doc_id)
+  FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '([.!?;:])[ 	]+', '' || chr(10), 'g') AS t FROM documents)),
+b AS (SELECT doc_id, i, trim(regexp_replace(regexp_replace(lower(s), '[^a-z0-9.]+|\.(?:[^0-9]|$)', ' ', 'g'), ' +', ' ', 'g')) AS s FROM l),
+f AS MATERIALIZED (SELECT doc_id, string_agg(id, '|' ORDER BY i) AS ids, count(*) AS n FROM b JOIN known USING (s) GROUP BY doc_id),
+m AS (SELECT doc_id, 0 AS i, '|' || ids || '|' AS seq, []::VARCHAR[] AS names FROM f
+  UNION ALL SELECT doc_id, m.i + 1, regexp_replace(seq, pattern, rest, 'g'), CASE WHEN regexp_matches(seq, pattern) THEN list_append(names, name) ELSE names END FROM m JOIN rule ON rule.i = m.i),
+r AS (SELECT doc_id, list_aggregate(list_sort(list_distinct(names)), 'string_agg', ',') AS names FROM m WHERE i = {len(RULES)})
 SELECT d.doc_id, coalesce(f.n, 0)::BIGINT AS n_sentences, coalesce(replace(f.ids, '|', ' '), '') AS "sequence", coalesce(r.names, '') AS licenses
 FROM documents d LEFT JOIN f USING (doc_id) LEFT JOIN r USING (doc_id)
 """
