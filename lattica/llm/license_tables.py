@@ -155,9 +155,10 @@ def notices() -> dict[str, str]:
             wanted = [n for n in names if n.endswith("license")] if form in ("{}", "the {}") else [*names, own, f"{own} license"]
             out |= {form.format(n): f"{licence.lower()}-notice" for n in wanted}
         for suffix in ("", " only", " or later"):
-            out[f"spdx license identifier {own}{suffix}"] = f"{licence.lower()}-notice"
-    return out
+            # After the colon of an SPDX line, where a scan splits it.
+            out.setdefault(own + suffix, f"{licence.lower()}-id")
+    return out | {"spdx license identifier": "spdx"}
 
 
 #: Ordered: the rule with most identifiers first, so that what a longer rule takes is not left to a shorter one.
-RULES = tuple(sorted((*TEXT_RULES, *((licence, (f"{licence.lower()}-notice",)) for licence, _ in NAMES)), key=lambda r: -len(r[1])))
+RULES = tuple(sorted((*TEXT_RULES, *((licence, ("spdx", f"{licence.lower()}-id")) for licence, _ in NAMES), *((licence, (f"{licence.lower()}-notice",)) for licence, _ in NAMES)), key=lambda r: -len(r[1])))
