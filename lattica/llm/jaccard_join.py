@@ -73,7 +73,6 @@ KEYS_PER_GROUP = 1_000_000
 #: Keys are numbers below this; chance agreement only adds candidates.
 KEY = 1 << 48
 _LEAST, _BANDS = 3, 40
-LAST = 2**63 - 1
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -194,10 +193,8 @@ def profile(docs: DataFrame, names: Names) -> DataFrame:
 
 def told_apart(rows: DataFrame, names: Names) -> tuple[DataFrame, DataFrame, Names]:
     """Rows with ids that differ where sets do, a row per node, and the names with these ids. Only ids that different sets have come to the driver: about one for 10**9 documents."""
-    # A null id sorts after all others; the surrogates become null again.
-    own_id = F.coalesce("doc_id", F.lit(LAST) - F.pmod("node", F.lit(2**32)))
     while True:
-        parts = [F.max("n").alias("n"), F.max("slack").alias("slack"), F.first("sketch").alias("sketch"), F.first("brief").alias("brief"), F.min(own_id).alias("vertex"), F.min("doc_id").alias("doc_id")]
+        parts = [F.max("n").alias("n"), F.max("slack").alias("slack"), F.first("sketch").alias("sketch"), F.first("brief").alias("brief"), F.min("doc_id").alias("doc_id")]
         nodes = materialize(rows.where("n > 0").groupBy("node").agg(*parts, F.min("check").alias("low"), F.max("check").alias("high")), "nodes")
         mixed = nodes.where("low < high").select("node", "low")
         if mixed.isEmpty():
@@ -390,7 +387,7 @@ def unconnected(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, small: int = SMALL, id_bits: int = 64) -> tuple[DataFrame, Names]:
-    """doc_id, n, node and component per row of docs, and the names of nodes. component: the smallest doc_id reachable by links, LAST minus up to 2**32 if there is none, null for an empty set."""
+    """doc_id, n, node and component per row of docs, and the names of nodes. component: the smallest node reachable by links, null for an empty set."""
     rows = materialize(profile(docs, Names(id_bits)), "profile")
     rows, nodes, names = told_apart(rows, Names(id_bits))
     total = rows.agg(F.sum("n")).first()[0] or 0
@@ -398,11 +395,10 @@ def classes(docs: DataFrame, small: int = SMALL, id_bits: int = 64) -> tuple[Dat
     met = materialize(meetings(docs.where("text IS NOT NULL"), groups, names), "met")
     tried = materialize(met.select(F.least("rep", "member").alias("a"), F.greatest("rep", "member").alias("b")).distinct(), "tried")
     found = links(tried, nodes, docs, names)
-    vertex = nodes.select("node", "vertex")
 
     def connected(found: DataFrame) -> DataFrame:
-        ends = found.join(vertex.select(F.col("node").alias("a"), F.col("vertex").alias("u")), "a").join(vertex.select(F.col("node").alias("b"), F.col("vertex").alias("v")), "b")
-        return vertex.join(components(ends.select(F.col("u").alias("a"), F.col("v").alias("b"))), "vertex", "left").select("node", F.coalesce("component", "vertex").alias("component"))
+        of = components(found.select("a", "b")).withColumnRenamed("vertex", "node")
+        return nodes.select("node").join(of, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
     of = materialize(connected(found), "classes")
     # Keys of three or more nodes, which the pairs with the smallest may have left unconnected.
@@ -425,8 +421,10 @@ def classes(docs: DataFrame, small: int = SMALL, id_bits: int = 64) -> tuple[Dat
 def jaccard_classes(docs: DataFrame, small: int = SMALL, id_bits: int = 64) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id reachable by links, per row of docs."""
     prepare(docs.sparkSession)
-    whole = classes(documents(docs), small, id_bits)[0]
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).when(F.col("component") < LAST - 2**32, F.col("component")).alias("component_id"))
+    whole = materialize(classes(documents(docs), small, id_bits)[0], "of-rows")
+    least = materialize(whole.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least")), "least")
+    named = whole.join(least, "component", "left")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_bits: int = 64) -> DataFrame:

@@ -82,6 +82,8 @@ def test_jaccard_join_brute_force(spark):
                 else:
                     w.insert(i, f"y{random.randrange(9)}")
             docs.append((len(docs) if random.random() < 0.95 else None, " ".join(w)))
+    # Some ids twice, for other texts.
+    docs += [(d, docs[(i * 7 + 50) % 300][1]) for i, (d, _) in enumerate(docs[:40])]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     want = ordered(jaccard_join.brute_force(docs))
     assert ordered(jaccard_join.jaccard_classes(df).collect()) == want
@@ -468,3 +470,101 @@ def test_license_notices(spark):
     cases = {"SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0", "This project is licensed under the MIT License.": "MIT", "Released under the Mozilla Public License, version 2.0": "MPL-2.0", "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0", "the license of cars": ""}
     docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
     assert {r.doc_id: r.licenses for r in licenses.licenses(docs).collect()} == dict(enumerate(cases.values()))
+
+
+def test_toxicity_brute_force_kneser_ney(spark):
+    """Word evidence against plain dictionaries of all starts and of all orders of the shared model."""
+    from collections import Counter, defaultdict
+    from math import log
+
+    order, cut = 4, toxicity.DISCOUNT
+    random.seed(13)
+    docs = [(i % 2, " ".join("".join(random.choice("abÑ"[: 2 + i % 2]) for _ in range(random.randrange(1, 7))) for _ in range(9))) for i in range(24)]
+    corpus = [t for _, t in docs] + ["ba ab bab", "zz top"]
+    types = [{g for t in corpus for w in toxicity.words(t) for g in toxicity.grams(w, order)}]
+    levels = {}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in types[-1])
+        types.append(set(levels[k]))
+
+    def shared(g):
+        if not g:
+            return 1 / toxicity.ALPHABET
+        counts = {x: n for x, n in levels[len(g)].items() if x[:-1] == g[:-1]}
+        total, back = sum(counts.values()), shared(g[1:])
+        return (max(counts.get(g, 0) - cut, 0) + cut * len(counts) * back) / total if total else back
+
+    n = {label: Counter(s for lab, t in docs if lab == label for w in toxicity.words(t) for s in (f"{w}$"[: i + 1] for i in range(len(w) + 1))) for label in (0, 1)}
+    after = {label: defaultdict(list) for label in n}
+    for label, counts in n.items():
+        for start, c in counts.items():
+            after[label][start[:-1]].append(c)
+
+    def weight(label, context):
+        found = after[label].get(context)
+        return cut * len(found) / sum(found) if found else 1.0
+
+    def p(label, start):
+        context, tail = start[:-1], start[-(order - 1) :]
+        found = after[label].get(context)
+        own = max(n[label][start] - cut, 0) / sum(found) if found else 0.0
+        return own + weight(label, context) * shared("^" * (order - 1 - len(tail)) + tail)
+
+    def evidence(word):
+        out, whole = 0.0, word + "$"
+        for i in range(len(whole)):
+            if whole[: i + 1] not in n[0] and whole[: i + 1] not in n[1]:
+                known = whole[:i] in after[0] or whole[:i] in after[1]
+                return out + (log(weight(1, whole[:i]) / weight(0, whole[:i])) if known else 0.0)
+            out += log(p(1, whole[: i + 1]) / p(0, whole[: i + 1]))
+        return out
+
+    counts = toxicity.class_counts(spark.createDataFrame(docs, "label int, text string"), order)
+    grams = toxicity.counted(spark.createDataFrame([(0, t) for t in corpus], "label int, text string"), lambda w: toxicity.grams(w, order))
+    from pyspark.sql import functions as F
+
+    model = toxicity.Model.of(counts, toxicity.shared_model(grams, counts.select(F.col("tail").alias("gram")).distinct(), order))
+    probes = sorted({w for _, t in docs for w in toxicity.words(t)}) + ["q", "abq", "aaaaaaaaaa", "ñ", "ba"]
+    assert np.allclose(model.evidence(probes), [evidence(w) for w in probes], atol=1e-9)
+
+
+def test_trees_brute_force():
+    """Histogram trees against a search over all rows of each node, and their arrays against a walk."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 9, (70, 3)).astype(float)
+    y = ((x[:, 0] > 4) ^ (x[:, 2] > 6)).astype(float)
+    trees = quality_classifier.Trees(trees=4, depth=2, bins=16, least=4).fit(x, y)
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, 17)[1:-1], method="lower")) for j in range(3)]
+    raw, base = np.full(70, trees.base), trees.base
+    for t in range(4):
+        prob = 1 / (1 + np.exp(-raw))
+        g, h = prob - y, prob * (1 - prob)
+        gain = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + trees.ridge)
+        groups = [np.arange(70)]
+        for level in range(2):
+            split = []
+            for i, rows in enumerate(groups):
+                best = (1e-9, 0, np.inf)
+                for j in range(3):
+                    for c in cuts[j]:
+                        left, right = rows[x[rows, j] <= c], rows[x[rows, j] > c]
+                        if min(len(left), len(right)) >= trees.least and (v := gain(left) + gain(right) - gain(rows)) > best[0] + 1e-9:
+                            best = (v, j, c)
+                at = 2**level - 1 + i
+                assert (trees.threshold[t, at], trees.feature[t, at] if best[2] < np.inf else 0) == (best[2], best[1])
+                split += [rows[x[rows, best[1]] <= best[2]], rows[x[rows, best[1]] > best[2]]]
+            groups = split
+        for leaf, rows in enumerate(groups):
+            value = -trees.rate * g[rows].sum() / (h[rows].sum() + trees.ridge)
+            assert abs(trees.leaf[t, leaf] - value) < 1e-12
+            raw[rows] += value
+    walked = []
+    for row in x:
+        total = base
+        for t in range(4):
+            at = 0
+            while at < 3:
+                at = 2 * at + 1 + int(row[trees.feature[t, at]] > trees.threshold[t, at])
+            total += trees.leaf[t, at - 3]
+        walked.append(1 / (1 + np.exp(-total)))
+    assert np.allclose(trees.scores(x), walked) and np.allclose(raw, [np.log(p / (1 - p)) for p in walked])

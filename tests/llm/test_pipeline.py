@@ -44,3 +44,25 @@ def test_stages_keep_columns(spark, sf):
         docs = stage(spark, docs, sf)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "ngram_jaccard_join", "decontamination", "pii", "packing"]
+
+
+def test_pipeline_on_awkward_and_empty_tables(spark, awkward, empty, tmp_path):
+    """Nulls, repeated and missing ids, empty texts and clashing columns through all stages; and no documents at all."""
+    words = " ".join(f"w{i}" for i in range(30))
+    more = spark.createDataFrame([(50, words, "en", "s", 1), (50, words, "en", "s", 1), (None, words, "en", "s", 1), (50, words[::-1], "en", "s", 1), (51, "mail a.b1@x.org " + words[:60], "en", "s", 1), (52, None, None, None, None)], awkward.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    items = spark.createDataFrame([(0, "a b c d e f g"), (1, None), (2, "")], "item_id long, text string")
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = awkward.unionByName(more, allowMissingColumns=True)
+    for stage in (s for _, s in corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.mode("overwrite").parquet(str(tmp_path / f"out-{stage.__name__}"))
+        docs = spark.read.parquet(str(tmp_path / f"out-{stage.__name__}"))
+    kept = sorted((r.doc_id, r.text.split()[0]) for r in docs.collect())
+    assert [d for d, _ in kept] == [50, 50, 51] and len({t for _, t in kept}) == 3
+    packed = corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in packed) == [50, 50, 51]
+    docs = empty
+    for stage in (s for _, s in corpus_pipeline.STAGES):
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.collect() == []
