@@ -23,9 +23,9 @@ _V = f"v AS (SELECT DISTINCT l_orderkey || ':' || l_linenumber || ':' || l_partk
 
 def benjamini_hochberg(df: DataFrame, p: str = "p", id_: str = "id") -> DataFrame:
     """df with q: the least p * m / rank among its own and larger p-values, at most 1. Null p-values are left out."""
-    df = df.where(F.col(p).isNotNull())
-    m = df.count()
-    ranked = global_position(ranged(df, p, id_), p, id_, dealt=True)
+    rows = ranged(df.where(F.col(p).isNotNull()), p, id_)
+    m = rows.count()
+    ranked = global_position(rows, p, id_, dealt=True)
     return suffix_min(ranked, p, F.col(p) * m / F.col("position"), "q", F.desc(id_)).withColumn("q", F.least("q", F.lit(1.0))).drop("position")
 
 
@@ -135,9 +135,10 @@ def _rank(spark, d):
 
 def quantile_strata(df: DataFrame, value: str, id_: str, strata: int, at_least: int) -> DataFrame:
     """df with stratum: rank * k div n with k = min(strata, n div at_least), 1 at least; ties by id."""
-    n = df.count()
+    rows = ranged(df, value, id_)
+    n = rows.count()
     k = max(1, min(strata, n // at_least))
-    return global_position(df, value, id_).withColumn("stratum", F.expr(f"(position - 1) * {k} div {max(n, 1)}").cast("long")).drop("position")
+    return global_position(rows, value, id_, dealt=True).drop("__bucket").withColumn("stratum", F.expr(f"(position - 1) * {k} div {max(n, 1)}").cast("long")).drop("position")
 
 
 @register("quantile_strata", "SELECT p_partkey AS id, (row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1) * least(10, (SELECT count(*) FROM part) // 30) // (SELECT count(*) FROM part) AS stratum FROM part")
