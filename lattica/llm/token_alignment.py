@@ -17,10 +17,8 @@ go to all executors; the rest, whose pairs are all rare, meets its counts in a s
 So no pair that a large share of the documents holds is a shuffle key, whatever its
 counts, and both ways give the same numbers.
 
-Pieces. A text is cut before single spaces between other characters: no split of A and,
-as its vocabulary shows, no piece of B spans such a cut, so both tokenizers end a token
-there. A piece is encoded and aligned once and then remembered by its worker. Texts with
-runs of white space around a space, or a space at an end, are aligned whole.
+The texts of a batch are aligned together: their bytes lie one after the other, so one
+bitset and one AND serve all, and a text's end is a shared cut.
 
 Defined cases: null and empty texts, and texts whose joined A or B tokens differ from
 space + text, have no tokens: zeros and ''. Rows that repeat a doc_id count as documents
@@ -40,52 +38,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, ids, materialize, prepare, texts
-from .tokens import LONGEST, Encoder, encoding, spans
+from .tokens import Encoder, encoding
 
 PIECES = "piece_bpe_32k.model"
+#: A pair is its A id, shifted, with its B id; beside a text's number, above both.
+_ID, _TEXT = 16, 32
 #: Pairs whose counts go to all executors: 12 bytes each.
 HOT = 1 << 18
-#: Aligned pieces that a worker remembers; when full, new ones are aligned each time.
-CACHE = 100_000
 SPACE = "▁"
 
 
 class Aligned(NamedTuple):
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    pairs: np.ndarray  # distinct, sorted
-    occurs: np.ndarray
-    groups: str  # `a1,a2|b1;a3|b2,b3`
-
-
-class Bytes:
-    """The bytes of each id of both tokenizers."""
-
-    def __init__(self, path_a: str | None = None, path_b: str | None = None):
-        import public_tokenizers
-        import sentencepiece
-
-        self.encoder = Encoder(path_a, cache=0)
-        self.bytes_a = encoding(path_a).decode_single_token_bytes
-        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b or public_tokenizers.path(PIECES))
-        names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(names)]
-        #: Whether no piece of B goes on after a space that follows something else, so that texts may be cut there.
-        self.cuts = not any(SPACE in p.lstrip(SPACE) for p in names)
-        self.width = len(names)
+    """Texts of a batch that have tokens. counts: n_a, n_b, n_groups and n_links of each; pairs: distinct in each text, sorted, `sizes` of them a text; groups: `a1,a2|b1;a3|b2,b3`."""
 
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """The ids of space + text by A and of text by B; None if the bytes of either are not those of space + text."""
-        want = (" " + text).encode()
-        a, b = self.encoder.encode(" " + text), self.b.encode(text)
-        if b"".join(map(self.bytes_a, a)) != want or b"".join(map(self.bytes_b.__getitem__, b)) != want:
-            return None
-        return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-
-    def lengths(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.array([len(self.bytes_a(i)) for i in a.tolist()]), np.array([len(self.bytes_b[i]) for i in b.tolist()])
+    counts: np.ndarray
+    pairs: np.ndarray
+    occurs: np.ndarray
+    sizes: np.ndarray
+    groups: list[str]
 
 
 def marked(lengths: np.ndarray, size: int) -> np.ndarray:
@@ -116,20 +86,22 @@ def cuts(lengths_a: np.ndarray, lengths_b: np.ndarray) -> tuple[np.ndarray, np.n
     return ranks(a, shared), ranks(b, shared)
 
 
-def linked(a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct id pairs a * width + b of all groups, sorted, and how often each is linked."""
+def linked(a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys (text, A id, B id) of all groups, sorted, and how often each is linked. of: the text of each group."""
     from_a, from_b = np.concatenate([[0], to_a[:-1]]), np.concatenate([[0], to_b[:-1]])
-    n_a, n_b = to_a - from_a, to_b - from_b
-    small = n_a * n_b <= 64
-    links = np.repeat(np.arange(len(to_a))[small], (n_a * n_b)[small])
-    within = np.arange(len(links)) - np.repeat(np.cumsum((n_a * n_b)[small]) - (n_a * n_b)[small], (n_a * n_b)[small])
-    pairs, occurs = [a[from_a[links] + within // n_b[links]] * width + b[from_b[links] + within % n_b[links]]], [np.ones(len(links), dtype=np.int64)]
+    n_b = to_b - from_b
+    each = (to_a - from_a) * n_b
+    small = each <= 64
+    links = np.repeat(np.flatnonzero(small), each[small])
+    within = np.arange(len(links)) - np.repeat(np.cumsum(each[small]) - each[small], each[small])
+    keys = [of[links] << _TEXT | a[from_a[links] + within // n_b[links]] << _ID | b[from_b[links] + within % n_b[links]]]
+    occurs = [np.ones(len(links), dtype=np.int64)]
     for g in np.flatnonzero(~small).tolist():
         x, k = np.unique(a[from_a[g] : to_a[g]], return_counts=True)
         y, m = np.unique(b[from_b[g] : to_b[g]], return_counts=True)
-        pairs.append((x[:, None] * width + y[None, :]).ravel())
+        keys.append((of[g] << _TEXT | x[:, None] << _ID | y[None, :]).ravel())
         occurs.append((k[:, None] * m[None, :]).ravel())
-    return summed(np.concatenate(pairs), np.concatenate(occurs))
+    return summed(np.concatenate(keys), np.concatenate(occurs))
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,65 +115,91 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Aligner:
-    """one(text): the Aligned of a text, or None if it has no tokens."""
-
-    def __init__(self, path_a: str | None = None, path_b: str | None = None, cache: int = CACHE):
-        self.of = Bytes(path_a, path_b)
-        self.known: dict[str, Aligned | None] = {}
-        self.cache = cache
-
-    def whole(self, text: str) -> Aligned | None:
-        tokens = self.of.tokens(text)
-        if tokens is None:
-            return None
-        a, b = tokens
-        to_a, to_b = cuts(*self.of.lengths(a, b))
-        pairs, occurs = linked(a, b, to_a, to_b, self.of.width)
-        names_a, names_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        i = j = 0
-        groups = []
-        for k, m in zip(to_a.tolist(), to_b.tolist()):
-            groups.append(f"{','.join(names_a[i:k])}|{','.join(names_b[j:m])}")
-            i, j = k, m
-        return Aligned(len(a), len(b), len(groups), int(occurs.sum()), pairs, occurs, ";".join(groups))
-
-    def one(self, text: str | None) -> Aligned | None:
-        if not text:
-            return None
-        if not self.of.cuts or text[0] == " " or spans(text):
-            return self.whole(text)
-        known, parts, found = self.known, text.split(" "), []
-        for part in parts:
-            got = known.get(part, 0)
-            if got == 0:
-                got = self.whole(part)
-                if len(known) < self.cache and len(part) <= LONGEST:
-                    known[part] = got
-            if got is None:
-                return None
-            found.append(got)
-        pairs, occurs = summed(np.concatenate([x.pairs for x in found]), np.concatenate([x.occurs for x in found]))
-        n = np.array([x[:4] for x in found]).sum(axis=0).tolist()
-        return Aligned(*n, pairs, occurs, ";".join([x.groups for x in found]))
+    """Aligns texts by two tokenizers."""
+
+    def __init__(self, path_a: str | None = None, path_b: str | None = None):
+        import public_tokenizers
+        import sentencepiece
+
+        vocabulary = encoding(path_a)
+        self.a = Encoder(path_a).plain
+        self.bytes_a = vocabulary.decode_single_token_bytes
+        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b or public_tokenizers.path(PIECES))
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        known = set(vocabulary._mergeable_ranks.values())
+        self.length_a = np.array([len(self.bytes_a(i)) if i in known else 0 for i in range(vocabulary.n_vocab)])
+        self.length_b = np.array([len(x) for x in self.bytes_b])
+        if max(len(self.length_a), len(self.length_b)) > 1 << _ID:
+            raise ValueError("a vocabulary of more than 2**16 ids")
+        #: Ids followed by a comma, the mark after a group's A tokens, that after its B tokens, and nothing.
+        self.named = [f"{i}{mark}" for mark in (",", "|", ";", "") for i in range(1 << _ID)]
+
+    def tokens(self, texts: list[str]) -> tuple[list[np.ndarray | None], list[np.ndarray | None]]:
+        """The ids of space + text by A and of text by B; None for texts that have no tokens."""
+        out_a, out_b = [], []
+        for text, b in zip(texts, self.b.encode(texts, num_threads=1)):
+            want = (" " + text).encode()
+            a = np.frombuffer(self.a(" " + text), dtype=np.uint32).astype(np.int64) if text else None
+            if a is None or b"".join(map(self.bytes_b.__getitem__, b)) != want or self.length_a[a].sum() != len(want) or b"".join(map(self.bytes_a, a.tolist())) != want:
+                a = b = None
+            out_a.append(a)
+            out_b.append(None if b is None else np.array(b, dtype=np.int64))
+        return out_a, out_b
+
+    def align(self, texts: list[str]) -> tuple[list[int], Aligned]:
+        """Which texts have tokens, and these aligned."""
+        found_a, found_b = self.tokens(texts)
+        which = [i for i, a in enumerate(found_a) if a is not None]
+        none = np.zeros(0, dtype=np.int64)
+        if not which:
+            return which, Aligned(np.zeros((0, 4), dtype=np.int64), none, none, none, [])
+        n_a, n_b = (np.array([len(x[i]) for i in which]) for x in (found_a, found_b))
+        a, b = (np.concatenate([x[i] for i in which]) for x in (found_a, found_b))
+        to_a, to_b = cuts(self.length_a[a], self.length_b[b])
+        last = np.searchsorted(to_a, np.cumsum(n_a))  # the last group of each text
+        of = np.repeat(np.arange(len(which)), np.diff(last, prepend=-1))
+        keys, occurs = linked(a, b, to_a, to_b, of)
+        ends = np.searchsorted(keys, np.arange(1, len(which) + 1) << _TEXT)
+        total = np.concatenate([[0], np.cumsum(occurs)])
+        sizes = np.diff(ends, prepend=0)
+        counts = np.stack([n_a, n_b, np.diff(last, prepend=-1), total[ends] - total[ends - sizes]], axis=1)
+        return which, Aligned(counts, keys & ((1 << _TEXT) - 1), occurs, sizes, self.groups(a, b, to_a, to_b, last))
+
+    def groups(self, a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray, last: np.ndarray) -> list[str]:
+        """The groups of each text: every token with the mark that follows it, joined."""
+        n_a, n_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        out = np.empty(len(a) + len(b), dtype=np.int64)
+        out[np.arange(len(a)) + np.repeat(to_b - n_b, n_a)] = a
+        out[np.arange(len(b)) + np.repeat(to_a, n_b)] = b
+        out[to_a + to_b - n_b - 1] += 1 << _ID
+        out[to_a + to_b - 1] += 2 << _ID
+        ends = (to_a + to_b)[last]
+        out[ends - 1] += 1 << _ID
+        marked_ids = list(map(self.named.__getitem__, out.tolist()))
+        return ["".join(marked_ids[i:j]) for i, j in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
 def alignments(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, groups: bool = False) -> DataFrame:
-    """Per row of docs: doc_id, n_a, n_b, n_groups, n_links, groups_sha256, its distinct linked pairs (A id * size of B + B id) and how often each is linked; with groups, also the groups as text."""
+    """Per row of docs: doc_id, n_a, n_b, n_groups, n_links, groups_sha256, its distinct linked pairs (A id * 65,536 + B id) and how often each is linked; with groups, also the groups as text."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        align = Aligner(path_a, path_b).one
-        nothing = Aligned(0, 0, 0, 0, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), "")
+        aligner = Aligner(path_a, path_b)
         for batch in batches:
-            found = [align(t) or nothing for t in texts(batch)]
-            sha = [hashlib.sha256(x.groups.encode()).hexdigest() if x.n_a else "" for x in found]
-            cut = np.concatenate([[0], np.cumsum([len(x.pairs) for x in found])])
-            listed = lambda values, kind: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *values]), kind))
-            columns = [ids(batch).cast(pa.int64()), *(pa.array([x[i] for x in found], pa.int64()) for i in range(4)), pa.array(sha, pa.string())]
-            columns += [listed([x.pairs for x in found], pa.int64()), listed([x.occurs for x in found], pa.int64())]
+            which, found = aligner.align([t or "" for t in texts(batch)])
+            counts, sizes = np.zeros((len(batch), 4), dtype=np.int64), np.zeros(len(batch), dtype=np.int64)
+            counts[which], sizes[which] = found.counts, found.sizes
+            shown = [""] * len(batch)
+            for i, text in zip(which, found.groups):
+                shown[i] = text
+            sha = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in shown]
+            cut = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            columns = [ids(batch).cast(pa.int64()), *(pa.array(c) for c in counts.T.copy()), pa.array(sha, pa.string())]
+            columns += [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (found.pairs, found.occurs)]
             names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "occurs"]
             if groups:
-                columns.append(pa.array([x.groups for x in found], pa.string()))
+                columns.append(pa.array(shown, pa.string()))
                 names.append("groups")
             yield pa.record_batch(columns, names=names)
 
@@ -239,10 +237,10 @@ def pair_counts(found: DataFrame) -> DataFrame:
     return found.select("pairs").mapInArrow(run, "pair long, docs long").groupBy("pair").agg(F.sum("docs").alias("docs"))
 
 
-def scored(found: DataFrame, width: int, hot: int = HOT) -> DataFrame:
+def scored(found: DataFrame, hot: int = HOT) -> DataFrame:
     """n_best and count_sum per row of a materialised alignments() with a row number, __row."""
     counts = materialize(pair_counts(found), "pair-counts")
-    a_id = F.floor(F.col("pair") / width)
+    a_id = F.shiftright("pair", _ID)
     best = counts.groupBy(a_id.alias("a")).agg(F.max("docs").alias("best"))  # at most one row for each id of A
     counts = materialize(counts.withColumn("a", a_id).join(F.broadcast(best), "a").select("pair", "docs", (F.col("docs") == F.col("best")).alias("top")), "pair-tops")
     # Among equal counts the smaller pairs; which pairs are sent decides only the way they are looked up.
@@ -279,7 +277,7 @@ def scored(found: DataFrame, width: int, hot: int = HOT) -> DataFrame:
 def token_alignment(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, hot: int = HOT) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 per row of docs."""
     found = materialize(alignments(docs, path_a, path_b).withColumn("__row", F.monotonically_increasing_id()), "aligned")
-    numbers = scored(found, Bytes(path_a, path_b).width, hot)
+    numbers = scored(found, hot)
     return found.drop("pairs", "occurs").join(numbers, "__row").select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
