@@ -19,9 +19,11 @@ large group of near copies costs one comparison a document. A node with several
 components is branched on, unless it is small or few of its documents lie outside its
 largest component: then these are compared with all others of different components,
 in cells of about BLOCK documents against about PROBES. What is left after DEPTH
-levels is compared in the same way, so depth costs no link. Comparisons go by
-signature (a linked pair agrees on at least AGREE functions but for a probability below
-1e-7) and are confirmed on the full sets.
+levels is compared in the same way, so depth costs no link. A comparison is one of parity
+sketches (each shingle flips a bit, so sketches differ in no more bits than the sets in
+shingles), and is confirmed on the full sets. A cell returns pairs that join its components,
+not every pair of two components that it would join; where one of these is refuted on
+the full sets, the tree's nodes that are still mixed return all their pairs.
 
 Scale. Equal sets are one node throughout, told by 128 bits. What is shuffled per
 document is its signature and 16 bytes for each of its 2 * TREES first children; sets
@@ -50,11 +52,12 @@ from .words import mix, shingles, word_hashes
 
 SHINGLE, LEVEL = 3, 85
 TREES, DEPTH = 7, 6
-#: Hash functions of a signature, bytes of one of its values, and in how many a linked pair agrees at least (the mean at the threshold, less 5.6 standard deviations).
-WIDTH, BYTES, AGREE = 64, 6, 38
-#: Documents of a tree's node, and of those outside its largest component, at which it is compared instead of branched on.
-LEAF, FEW = 64, 4
+#: Hash functions of a signature, and bytes of one of its values.
+WIDTH, BYTES = 32, 6
+#: Documents outside a node's largest component that are compared with others in one go, and how many these are.
 BLOCK, PROBES = 256, 4096
+#: Documents of a tree's node, and of those outside its largest component, up to which it is compared instead of branched on.
+LEAF, FEW = 512, 256
 #: Bytes of one cell of a document's comparisons, and of the cells of a task, on average.
 CELL_BYTES, TASK_BYTES = 2_000_000, 16_000_000
 _FIRST = 2 * TREES
@@ -112,6 +115,26 @@ def children(path: np.ndarray, values: np.ndarray, level: int) -> tuple[np.ndarr
     return np.concatenate(out).view(np.int64), np.concatenate(rows)
 
 
+def sketch_of(own: np.ndarray) -> bytes:
+    """The parity sketch: at least two bits for each element, a power of two, 256 at least."""
+    bits = 1 << max(8, int(2 * len(own) - 1).bit_length())
+    return np.packbits((np.bincount((mix(own) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The Hamming distances of a sketch and of each of several (rows), the wider folded to the width of the other; widths are powers of two."""
+    while len(x) > y.shape[1]:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while y.shape[1] > len(x):
+        y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+
+
+def may_link(n, m, differ):
+    """Whether sets of n and m elements that differ in at least `differ` may be linked."""
+    return (100 - LEVEL) * (n + m) >= (100 + LEVEL) * differ
+
+
 def names_of(own: np.ndarray) -> tuple[int, int]:
     """128 bits that tell a set."""
     salted = (mix(own + np.uint64(s)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(own)) for s in (0, 1 << 48))
@@ -120,7 +143,7 @@ def names_of(own: np.ndarray) -> tuple[int, int]:
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """doc_id, n, h1, h2 and signature per row; null names and signature for an empty set."""
+    """doc_id, n, h1, h2, signature and sketch per row; the last four null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,10 +153,10 @@ def profile(docs: DataFrame) -> DataFrame:
             for i, row in zip(filled, packed(signatures([sets[i] for i in filled])) if filled else []):
                 made[i] = row
             names = [names_of(s) if len(s) else (None, None) for s in sets]
-            columns = [ids(batch).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[i] for x in names], pa.int64()) for i in range(2)), pa.array(made, pa.binary())]
-            yield pa.record_batch(columns, names=["doc_id", "n", "h1", "h2", "signature"])
+            columns = [ids(batch).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[i] for x in names], pa.int64()) for i in range(2)), pa.array(made, pa.binary()), pa.array([sketch_of(s) if len(s) else None for s in sets], pa.binary())]
+            yield pa.record_batch(columns, names=["doc_id", "n", "h1", "h2", "signature", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, signature binary")
+    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, signature binary, sketch binary")
 
 
 def planted(nodes: DataFrame) -> DataFrame:
@@ -160,7 +183,7 @@ def branched(rows: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
 
 
 def facing(pairs: DataFrame, held: DataFrame, good, sized: str) -> DataFrame:
-    """The pairs (a, b) that good(data of a, [data of b]) keeps. held: node, n, data, once a node; sized: bytes of a node's data by n.
+    """The pairs (a, b) that good(n and data of a, [n and data of each b]) keeps. held: node, n, data, once a node; sized: bytes of a node's data, by n.
 
     a may stand in any number of pairs: these are dealt to cells by their bytes, and each cell gets a's data once.
     """
@@ -171,13 +194,14 @@ def facing(pairs: DataFrame, held: DataFrame, good, sized: str) -> DataFrame:
     total = cells.agg(F.sum(F.col("bytes") + F.col("own") * F.col("cells"))).first()[0] or 0
     parts = max(8, -(-int(total) // TASK_BYTES))
     cell = F.pmod(F.xxhash64("b"), F.col("cells")).cast("int")
-    member = pairs.join(cells, "a").withColumn("cell", cell).select("a", "b", "cell").join(held.select(F.col("node").alias("b"), "data"), "b")
-    hub = cells.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell")).join(held.select(F.col("node").alias("a"), "data"), "a")
-    both = hub.select("a", "b", "cell", "data").unionByName(member.select("a", "b", "cell", "data")).withColumn("part", F.pmod(F.xxhash64("a", "cell"), F.lit(parts)))
+    member = pairs.join(cells, "a").withColumn("cell", cell).select("a", "b", "cell").join(held.select(F.col("node").alias("b"), "n", "data"), "b")
+    hub = cells.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell")).join(held.select(F.col("node").alias("a"), "n", "data"), "a")
+    both = hub.select("a", "b", "cell", "n", "data").unionByName(member.select("a", "b", "cell", "n", "data")).withColumn("part", F.pmod(F.xxhash64("a", "cell"), F.lit(parts)))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("a", "ascending"), ("cell", "ascending")])
-        a, cell, data = table.column("a").to_numpy(), table.column("cell").to_numpy(), table.column("data").to_pylist()
+        a, cell = table.column("a").to_numpy(), table.column("cell").to_numpy()
+        data = list(zip(table.column("n").to_pylist(), table.column("data").to_pylist()))
         b = table.column("b").to_pylist()
         out_a, out_b = [], []
         new = np.flatnonzero((np.diff(a, prepend=a[:1] - 1) != 0) | (np.diff(cell, prepend=-1) != 0)).tolist()
@@ -193,15 +217,16 @@ def facing(pairs: DataFrame, held: DataFrame, good, sized: str) -> DataFrame:
     return both.groupBy("part").applyInArrow(run, "a long, b long")
 
 
-def near(own: bytes, others: list[bytes]) -> list[bool]:
-    """Which signatures agree with one in at least AGREE functions."""
-    return ((unpacked(others) == unpacked([own])).sum(axis=1) >= AGREE).tolist()
+def near(own: tuple[int, bytes], others: list[tuple[int, bytes]]) -> list[bool]:
+    """Which sets may be linked with one, by their sketches."""
+    x = np.frombuffer(own[1], dtype=np.uint64)
+    return [bool(may_link(own[0], n, apart(x, np.frombuffer(o, dtype=np.uint64)[None])[0])) for n, o in others]
 
 
-def linked(own: bytes, others: list[bytes]) -> list[bool]:
+def linked(own: tuple[int, bytes], others: list[tuple[int, bytes]]) -> list[bool]:
     """Which sets are linked with one, exactly."""
-    a, out = np.frombuffer(own, dtype=np.uint64), []
-    for o in others:
+    a, out = np.frombuffer(own[1], dtype=np.uint64), []
+    for _, o in others:
         b = np.frombuffer(o, dtype=np.uint64)
         at = np.minimum(np.searchsorted(a, b), len(a) - 1)
         common = int((a[at] == b).sum())
@@ -214,7 +239,7 @@ def sized_alike(a: str, b: str):
 
 
 def links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) of nodes whose sets are linked, exactly. pairs: materialised, nearly all of near signatures."""
+    """The distinct pairs (a, b) of nodes whose sets are linked, exactly. pairs: materialised."""
     ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = materialize(nodes.select("node", "h1", "h2", "doc_id").join(ends, "node", "left_semi"), "wanted")
 
@@ -240,37 +265,66 @@ def mixed(rows: DataFrame) -> DataFrame:
     return out.where("kinds > 1").drop("kinds")
 
 
-def compared(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that meet in a leaf, lie in different components and have near signatures. leaves: path, node, component, n, all, most, base."""
+def near_pairs(node: np.ndarray, component: np.ndarray, n: np.ndarray, other: np.ndarray, sketch: list[bytes], cut: int, every: bool) -> list[tuple[int, int]]:
+    """The pairs of the first `cut` documents of a cell with the rest that may be linked, have different components and, unless `every`, join components that no earlier pair of the cell has joined."""
+    up: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while c in up:
+            c = up[c]
+        return c
+
+    widths = np.array([len(x) // 8 for x in sketch])
+    rest = {w: np.flatnonzero(widths[cut:] == w) + cut for w in np.unique(widths[cut:]).tolist()}
+    stacked = {w: np.frombuffer(b"".join(sketch[i] for i in at), dtype=np.uint64).reshape(-1, w) for w, at in rest.items()}
+    out = []
+    for i in range(cut):
+        x, w = np.frombuffer(sketch[i], dtype=np.uint64), int(widths[i])
+        for width in (w // 2, w, 2 * w):  # linked sets differ less than twofold in size
+            if width not in rest:
+                continue
+            at = rest[width]
+            good = np.flatnonzero((component[at] != component[i]) & (~other[at] | (node[at] > node[i])) & (100 * np.minimum(n[at], n[i]) >= LEVEL * np.maximum(n[at], n[i])))
+            differ = apart(x, stacked[width][good])
+            passed = may_link(n[at[good]], n[i], differ)
+            good, differ = at[good[passed]], differ[passed]
+            if not every and len(good):
+                # Of each component the nearest, if it is not yet joined.
+                order = np.lexsort((node[good], differ))
+                good = good[order][np.unique(component[good[order]], return_index=True)[1]]
+            for j in good.tolist():
+                a, b = root(int(component[i])), root(int(component[j]))
+                if every or a != b:
+                    out.append((min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))))
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+    return out
+
+
+def compared(leaves: DataFrame, nodes: DataFrame, all_pairs: bool) -> DataFrame:
+    """Pairs (a, b) of nodes that meet in a leaf, lie in different components and may be linked by their sketches: all, or in each cell those that join its components. leaves: path, node, component, n, all, most, base."""
     blocks, probes = F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"), F.ceil(F.col("all") / PROBES).cast("int")
     rows = leaves.withColumn("blocks", blocks).withColumn("probes", probes).withColumn("other", F.col("component") != F.col("base")).drop("all", "most", "base")
-    rows = materialize(rows.join(nodes.select("node", "signature"), "node"), "leaves")
+    rows = materialize(rows.join(nodes.select("node", "sketch"), "node"), "leaves")
     copies = F.col("blocks") + F.when(F.col("other"), F.col("probes")).otherwise(0)
-    total = rows.agg(F.sum((WIDTH * BYTES + 48) * copies)).first()[0] or 0
+    total = rows.agg(F.sum((F.length("sketch") + 48) * copies)).first()[0] or 0
     parts = max(8, -(-int(total) // TASK_BYTES))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    probed = rows.withColumn("block", every("blocks")).withColumn("probe", F.pmod(F.xxhash64("node", F.lit(1)), F.col("probes")).cast("int")).withColumn("build", F.lit(False))
-    built = rows.where("other").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("probe", every("probes")).withColumn("build", F.lit(True))
-    cells = probed.unionByName(built).select(F.pmod(F.xxhash64("path", "block", "probe"), F.lit(parts)).alias("part"), "path", "block", "probe", "build", "other", "node", "component", "n", "signature")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    probed = rows.withColumn("block", each("blocks")).withColumn("probe", F.pmod(F.xxhash64("node", F.lit(1)), F.col("probes")).cast("int")).withColumn("build", F.lit(False))
+    built = rows.where("other").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("probe", each("probes")).withColumn("build", F.lit(True))
+    cells = probed.unionByName(built).select(F.pmod(F.xxhash64("path", "block", "probe"), F.lit(parts)).alias("part"), "path", "block", "probe", "build", "other", "node", "component", "n", "sketch")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("path", "ascending"), ("block", "ascending"), ("probe", "ascending"), ("build", "descending")])
         path, block, probe, build, other, node, component, n = (table.column(c).to_numpy() for c in ("path", "block", "probe", "build", "other", "node", "component", "n"))
-        signature = table.column("signature").to_pylist()
+        sketch = table.column("sketch").to_pylist()
         new = np.flatnonzero((np.diff(path, prepend=path[:1] - 1) != 0) | (np.diff(block, prepend=-1) != 0) | (np.diff(probe, prepend=-1) != 0)).tolist()
-        pairs = [np.zeros((0, 2), dtype=np.int64)]
+        pairs: set[tuple[int, int]] = set()
         for start, end in zip(new, [*new[1:], len(path)]):
-            cut = start + int(build[start:end].sum())
-            if start == cut or cut == end:
-                continue
-            values = unpacked(signature[start:end])
-            sizes, places, there, far = n[cut:end], component[cut:end], node[cut:end], ~other[cut:end]
-            for i in range(start, cut):
-                good = (places != component[i]) & (far | (there > node[i])) & (100 * np.minimum(sizes, n[i]) >= LEVEL * np.maximum(sizes, n[i]))
-                good = np.flatnonzero(good)
-                good = good[(values[cut - start + good] == values[i - start]).sum(axis=1) >= AGREE]
-                pairs.append(np.stack([np.minimum(there[good], node[i]), np.maximum(there[good], node[i])], axis=1))
-        found = np.unique(np.concatenate(pairs), axis=0)
+            cut = int(build[start:end].sum())
+            if cut and cut < end - start:
+                pairs.update(near_pairs(*(x[start:end] for x in (node, component, n, other, sketch)), cut, all_pairs))
+        found = np.array(sorted(pairs), dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": found[:, 0].copy(), "b": found[:, 1].copy()})
 
     return cells.groupBy("part").applyInArrow(compare, "a long, b long")
@@ -287,17 +341,17 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     docs = documents(docs)
     rows = materialize(profile(docs), "profile")
-    distinct = rows.where("n > 0").groupBy("h1", "h2").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
+    distinct = rows.where("n > 0").groupBy("h1", "h2").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
     nodes = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
     # First level: every document of a tree's node against the smallest there.
     level = materialize(planted(nodes), "paths")
     groups = level.groupBy("path").agg(F.count("*").alias("c"), F.min("node").alias("least")).where("c > 1").drop("c")
     level = materialize(level.join(groups, "path"), "met")
     tried = materialize(level.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "tried")
-    held = nodes.select("node", "n", F.col("signature").alias("data"))
+    held = nodes.select("node", "n", F.col("sketch").alias("data"))
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"))
     alike = tried.join(side("a"), "a").join(side("b"), "b").where(sized_alike("n_a", "n_b")).select("a", "b")
-    close = materialize(facing(materialize(alike, "alike"), held, near, str(WIDTH * BYTES)), "near")
+    close = materialize(facing(materialize(alike, "alike"), held, near, "n div 2 + 32"), "near")
     found = links(close, nodes, docs)
     of = connected(nodes, found)
     # Nodes with several components: compared if small, else branched on.
@@ -312,11 +366,23 @@ def similar_classes(docs: DataFrame) -> DataFrame:
         if more.isEmpty():
             break
         level = materialize(branched(level.join(more, "path"), nodes, depth + 1), f"level-{depth + 1}")
-    between = materialize(compared(leaves, nodes).distinct().join(tried, ["a", "b"], "left_anti"), "between")
-    if not between.isEmpty():
-        extra = links(between, nodes, docs)
-        if not extra.isEmpty():
-            of = connected(nodes, found.unionAll(extra))
+    leaves = materialize(leaves, "leaves")
+    for all_pairs in (False, True):
+        joining = materialize(compared(leaves, nodes, all_pairs).distinct(), "joining")
+        between = materialize(joining.join(tried, ["a", "b"], "left_anti"), "between")
+        confirmed = 0
+        if not between.isEmpty():
+            extra = links(between, nodes, docs)
+            confirmed = extra.count()
+        if confirmed:
+            found = found.unionAll(extra)
+            of = connected(nodes, found)
+        if all_pairs or confirmed == joining.count():
+            break
+        # Some pair was refuted, now or before, and it may have stood for others.
+        tried = tried.unionAll(between)
+        leaves = leaves.select("path", "node", "n").join(of, "node").select("path", "node", "component", "n")
+        leaves = materialize(leaves.join(mixed(leaves), "path"), "leaves")
     whole = nodes.select("node", "h1", "h2", "doc_id").join(of, "node")
     least = whole.groupBy("component").agg(F.min("doc_id").alias("least"))
     whole = materialize(whole.join(least, "component").select("h1", "h2", "least"), "named")
