@@ -123,12 +123,12 @@ class Aligner:
 
         vocabulary = encoding(path_a)
         self.a = Encoder(path_a).plain
-        self.bytes_a = vocabulary.decode_single_token_bytes
+        self.bytes_a = vocabulary.decode_bytes
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b or public_tokenizers.path(PIECES))
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         known = set(vocabulary._mergeable_ranks.values())
-        self.length_a = np.array([len(self.bytes_a(i)) if i in known else 0 for i in range(vocabulary.n_vocab)])
+        self.length_a = np.array([len(self.bytes_a([i])) if i in known else 0 for i in range(vocabulary.n_vocab)])
         self.length_b = np.array([len(x) for x in self.bytes_b])
         if max(len(self.length_a), len(self.length_b)) > 1 << _ID:
             raise ValueError("a vocabulary of more than 2**16 ids")
@@ -141,7 +141,7 @@ class Aligner:
         for text, b in zip(texts, self.b.encode(texts, num_threads=1)):
             want = (" " + text).encode()
             a = np.frombuffer(self.a(" " + text), dtype=np.uint32).astype(np.int64) if text else None
-            if a is None or b"".join(map(self.bytes_b.__getitem__, b)) != want or self.length_a[a].sum() != len(want) or b"".join(map(self.bytes_a, a.tolist())) != want:
+            if a is None or b"".join(map(self.bytes_b.__getitem__, b)) != want or self.bytes_a(a.tolist()) != want:
                 a = b = None
             out_a.append(a)
             out_b.append(None if b is None else np.array(b, dtype=np.int64))
