@@ -87,14 +87,23 @@ def _ols(spark, d):
 
 
 def auc(df: DataFrame, group: str, score: str, positive: str) -> DataFrame:
-    """Area under the ROC curve with average ranks on ties, and average precision (positives first on ties), per group; null without both classes."""
-    w = Window.partitionBy(group)
-    r = df.withColumn("r", F.rank().over(w.orderBy(score)) + (F.count("*").over(Window.partitionBy(group, score)) - 1) / 2.0)
-    down = w.orderBy(F.desc(score), F.desc(positive)).rowsBetween(Window.unboundedPreceding, 0)
-    r = r.withColumn("hits", F.sum(F.col(positive).cast("int")).over(down)).withColumn("at", F.row_number().over(w.orderBy(F.desc(score), F.desc(positive))))
-    g = r.groupBy(group).agg(F.count_if(positive).alias("p"), F.count_if(~F.col(positive)).alias("n"), F.sum(F.when(F.col(positive), F.col("r"))).alias("s"), F.avg(F.when(F.col(positive), F.col("hits") / F.col("at"))).alias("ap"))
+    """Area under the ROC curve with average ranks on ties, and average precision (positives first on ties), per group; null without both classes.
+
+    Rows are counted per score first; the counts above a score are carried over between buckets of a group.
+    """
+    from ..plans.ranking import ranged, running
+    from .windows import harmonic
+
+    tied = df.groupBy(group, score).agg(F.count_if(positive).alias("__p"), F.count_if(~F.col(positive)).alias("__n"))
+    above = {"__pa": ("sum", F.col("__p")), "__na": ("sum", F.col("__n"))}
+    r = running(ranged(tied, group, score), [group], [score], above, {"p": above["__pa"], "n": above["__na"]}, reverse=True, before=True)
+    # Pairs of a positive and a lower negative, ties half; the j-th positive of a score has precision (pa + j) / (pa + na + j).
+    won = F.col("__p") * (F.col("n") - F.col("__na") - F.col("__n") / 2)
+    before = F.col("__pa") + F.col("__na")
+    precise = F.col("__p") - F.col("__na") * (harmonic(before + F.col("__p")) - harmonic(before))
+    g = r.groupBy(group).agg(F.max("p").alias("p"), F.max("n").alias("n"), F.sum(won).alias("won"), F.sum(precise).alias("precise"))
     both = (F.col("p") > 0) & (F.col("n") > 0)
-    return g.select(group, F.when(both, (F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("n"))).alias("auc"), F.when(both, F.col("ap")).alias("auprc"))
+    return g.select(group, F.when(both, F.col("won") / (F.col("p") * F.col("n"))).alias("auc"), F.when(both, F.col("precise") / F.col("p")).alias("auprc"))
 
 
 @register("auc_auprc", """WITH b AS (SELECT l_suppkey AS grp, l_quantity AS s, l_returnflag = 'R' AS y FROM lineitem), r AS (SELECT *, rank() OVER (PARTITION BY grp ORDER BY s) + (count(*) OVER (PARTITION BY grp, s) - 1) / 2.0::DOUBLE AS r, sum(y::INT) OVER (PARTITION BY grp ORDER BY s DESC, y DESC ROWS UNBOUNDED PRECEDING) AS hits, row_number() OVER (PARTITION BY grp ORDER BY s DESC, y DESC) AS pos FROM b)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..matrix import table
-from ..plans.ranking import global_position, ranged, suffix_min
+from ..plans.ranking import global_position, medians, positions, ranged, running, suffix_min
+from ..plans.scratch import materialize
 
 #: p-like test values: a hash of keys in [0, 1), the same in both engines.
 _P = "cast(conv(substr(md5(concat_ws(':', cast(l_orderkey as string), cast(l_linenumber as string), cast(l_partkey as string))), 1, 8), 16, 10) as double) / 4294967296.0"
@@ -26,7 +27,7 @@ def benjamini_hochberg(df: DataFrame, p: str = "p", id_: str = "id") -> DataFram
     rows = ranged(df.where(F.col(p).isNotNull()), p, id_)
     m = rows.count()
     ranked = global_position(rows, p, id_, dealt=True)
-    return suffix_min(ranked, p, F.col(p) * m / F.col("position"), "q", F.desc(id_)).withColumn("q", F.least("q", F.lit(1.0))).drop("position")
+    return suffix_min(ranked, p, F.col(p) * m / F.col("position"), "q", id_).withColumn("q", F.least("q", F.lit(1.0))).drop("position")
 
 
 @register("bh_qvalues", f"""WITH {_V}, r AS (SELECT id, p, p * count(*) OVER () / row_number() OVER (ORDER BY p, id) AS raw FROM v)
@@ -35,11 +36,25 @@ def _bh(spark, d):
     return benjamini_hochberg(_pvalues(spark, d)).select("id", F.round("p", 9).alias("p"), F.round("q", 8).alias("q"))
 
 
+def harmonic(m: Column) -> Column:
+    """1 + 1/2 + ... + 1/m: summed below 32, from there by Euler and Maclaurin, whose error is below 1e-15."""
+    sums = F.array(*(F.lit(sum(1.0 / i for i in range(1, n + 1))) for n in range(32)))
+    x = m.cast("double")
+    far = F.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x) - 1 / (252 * F.pow(x, F.lit(6)))
+    return F.when(m < 32, F.get(sums, m.cast("int"))).otherwise(far)
+
+
+def scaled_pvalues(df: DataFrame, group: str, p: str = "p", id_: str = "id") -> DataFrame:
+    """df with position (ties by id), m and raw = p * m / position within groups, without null p-values."""
+    rows = positions(df.where(F.col(p).isNotNull()), [group], [p, id_], "position", "m")
+    return rows.withColumn("raw", F.col(p) * F.col("m") / F.col("position"))
+
+
 def bh_by_group(df: DataFrame, group: str, p: str = "p", id_: str = "id") -> DataFrame:
-    """q-values within groups."""
-    w = Window.partitionBy(group)
-    raw = F.col(p) * F.count(p).over(w) / F.row_number().over(w.orderBy(p, id_))
-    return df.withColumn("raw", raw).withColumn("q", F.least(F.lit(1.0), F.min("raw").over(w.orderBy(F.desc(p), F.desc(id_)).rowsBetween(Window.unboundedPreceding, 0)))).drop("raw")
+    """df with q-values within groups, at most 1. Null p-values are left out."""
+    rows = materialize(scaled_pvalues(df, group, p, id_).drop("position", "m"), "raw")
+    out = running(rows, [group], [p, id_], {"q": ("min", F.col("raw"))}, reverse=True)
+    return out.withColumn("q", F.least(F.lit(1.0), F.col("q"))).drop("raw", "__bucket")
 
 
 @register("bh_qvalues_by_group", f"""WITH {_V}, r AS (SELECT id, grp, p, p * count(*) OVER (PARTITION BY grp) / row_number() OVER (PARTITION BY grp ORDER BY p, id) AS raw FROM v)
@@ -48,13 +63,13 @@ def _bh_group(spark, d):
     return bh_by_group(_pvalues(spark, d), "grp").select("id", "grp", F.round("q", 8).alias("q"))
 
 
-def bh_reject(df: DataFrame, group: str, alpha: float, by: bool = False) -> DataFrame:
-    """Rejected rows per group: p up to the largest p with p <= alpha * rank / m (divided by the harmonic number of m for BY)."""
-    w = Window.partitionBy(group)
-    m = F.count("p").over(w)
-    harmonic = F.aggregate(F.sequence(F.lit(1), m.cast("int")), F.lit(0.0), lambda s, i: s + 1 / i) if by else F.lit(1.0)
-    ok = F.col("p") <= F.lit(alpha) / harmonic * F.row_number().over(w.orderBy("p", "id")) / m
-    return df.withColumn("cut", F.when(ok, F.col("p"))).withColumn("cut", F.max("cut").over(w)).where("p <= cut").drop("cut")
+def bh_reject(df: DataFrame, group: str, alpha: float | Column, by: bool = False) -> DataFrame:
+    """Rejected rows per group: p up to the largest p with p <= alpha * rank / m (divided by the harmonic number of m for BY). alpha may be a column with one value for a group."""
+    rows = materialize(positions(df.where("p IS NOT NULL"), [group], ["p", "id"], "__at", "__m").drop("__bucket"), "placed")
+    level = F.lit(alpha) if isinstance(alpha, float) else alpha
+    ok = F.col("p") <= level / (harmonic(F.col("__m")) if by else F.lit(1.0)) * F.col("__at") / F.col("__m")
+    cuts = rows.where(ok).groupBy(F.col(group).alias("__g")).agg(F.max("p").alias("__cut"))
+    return rows.join(cuts, rows[group].eqNullSafe(F.col("__g"))).where("p <= __cut").drop("__g", "__cut", "__at", "__m")
 
 
 for _name, _by, _h in (("bh", False, "1.0"), ("by", True, "list_sum(list_transform(range(1, m + 1), lambda i: 1.0::DOUBLE / i))")):
@@ -68,29 +83,29 @@ c AS (SELECT grp, max(p) AS cut FROM w WHERE p <= 0.2 / {_h} * r / m GROUP BY gr
 @register("simes", f"""WITH {_V}, r AS (SELECT grp, p * count(*) OVER (PARTITION BY grp) / row_number() OVER (PARTITION BY grp ORDER BY p, id) AS s FROM v) SELECT grp, round(least(1, min(s)), 8) AS simes FROM r GROUP BY grp""")
 def _simes(spark, d):
     """min of m * p_(i) / i per group, at most 1."""
-    w = Window.partitionBy("grp")
-    r = _pvalues(spark, d).withColumn("s", F.col("p") * F.count("p").over(w) / F.row_number().over(w.orderBy("p", "id")))
-    return r.groupBy("grp").agg(F.round(F.least(F.lit(1.0), F.min("s")), 8).alias("simes"))
+    return scaled_pvalues(_pvalues(spark, d), "grp").groupBy("grp").agg(F.round(F.least(F.lit(1.0), F.min("raw")), 8).alias("simes"))
+
 
+def running_enrichment(df: DataFrame, group: str, order: list[str], hit: str, w: str) -> DataFrame:
+    """Weighted running-sum score per group: hits add w / sum(w), misses take 1 / misses, in the order; the first deviation of the largest size. 0 without hits or misses.
 
-def running_enrichment(ranked: DataFrame, group: str) -> DataFrame:
-    """Weighted running-sum score per group: hits add w / sum(w), misses take 1 / misses, in order of rank; the first deviation of the largest size. 0 without hits or misses. ranked: (group, rank, hit, w)."""
-    w = Window.partitionBy(group)
-    hits, misses = F.sum(F.when(F.col("hit"), F.col("w"))).over(w), F.count_if(~F.col("hit")).over(w)
-    step = F.when(F.col("hit"), F.col("w") / hits).otherwise(-1 / misses)
-    run = ranked.withColumn("step", F.when((hits > 0) & (misses > 0), step).otherwise(0.0))
-    run = run.withColumn("es", F.sum("step").over(w.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
-    return run.groupBy(group).agg(F.max_by("es", F.struct(F.round(F.abs("es"), 9), -F.col("rank"))).alias("es"))
+    The sums are carried over, so a group may fill any number of tasks.
+    """
+    weight = F.when(F.col(hit), F.col(w)).otherwise(0.0)
+    miss = F.when(F.col(hit), 0).otherwise(1)
+    rows = ranged(df.withColumn("__w", weight.cast("double")).withColumn("__miss", miss.cast("long")), group, *order)
+    sums = {"__at": ("sum", F.lit(1).cast("long")), "__sw": ("sum", F.col("__w")), "__sm": ("sum", F.col("__miss"))}
+    run = running(rows, [group], order, sums, {"__tw": sums["__sw"], "__tm": sums["__sm"]})
+    es = F.when((F.col("__tw") > 0) & (F.col("__tm") > 0), F.col("__sw") / F.col("__tw") - F.col("__sm") / F.col("__tm")).otherwise(0.0)
+    return run.withColumn("es", es).groupBy(group).agg(F.max_by("es", F.struct(F.round(F.abs("es"), 9), -F.col("__at"))).alias("es"))
 
 
 @register("enrichment_score", """WITH r AS (SELECT l_suppkey AS grp, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS rank, l_returnflag = 'R' AS hit, l_quantity AS w FROM lineitem),
 s AS (SELECT grp, rank, CASE WHEN sum(w) FILTER (hit) OVER (PARTITION BY grp) > 0 AND count(*) FILTER (NOT hit) OVER (PARTITION BY grp) > 0 THEN CASE WHEN hit THEN w / sum(w) FILTER (hit) OVER (PARTITION BY grp) ELSE -1.0::DOUBLE / count(*) FILTER (NOT hit) OVER (PARTITION BY grp) END ELSE 0 END AS step FROM r),
 e AS (SELECT grp, rank, sum(step) OVER (PARTITION BY grp ORDER BY rank ROWS UNBOUNDED PRECEDING) AS es FROM s) SELECT grp, round(arg_max(es, (round(abs(es), 9), -rank)), 6) AS es FROM e GROUP BY grp""")
 def _es(spark, d):
-    l = table(spark, d, "lineitem")
-    rank = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey"))
-    r = l.select(F.col("l_suppkey").alias("grp"), rank.alias("rank"), (F.col("l_returnflag") == "R").alias("hit"), F.col("l_quantity").alias("w"))
-    return running_enrichment(r, "grp").select("grp", F.round("es", 6).alias("es"))
+    r = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("grp"), "l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", (F.col("l_returnflag") == "R").alias("hit"), F.col("l_quantity").alias("w"))
+    return running_enrichment(r, "grp", ["-l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey"], "hit", "w").select("grp", F.round("es", 6).alias("es"))
 
 
 def top_two(shares: DataFrame, id_: str) -> DataFrame:
@@ -127,10 +142,9 @@ def _credible(spark, d):
 @register("within_source_rank", """SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, round(CASE WHEN count(*) OVER (PARTITION BY l_suppkey) > 1 THEN (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey) - 1)::DOUBLE / (count(*) OVER (PARTITION BY l_suppkey) - 1) ELSE 0 END, 8) AS rank FROM lineitem""")
 def _rank(spark, d):
     """(rank by distance and index) / (n - 1), 0 for n <= 1; ties have distinct ranks."""
-    w = Window.partitionBy("l_suppkey")
-    n = F.count("*").over(w)
-    r = F.row_number().over(w.orderBy("l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey"))
-    return table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", F.round(F.when(n > 1, (r - 1) / (n - 1)).otherwise(0.0), 8).alias("rank"))
+    keys = ["l_orderkey", "l_linenumber", "l_partkey"]
+    rows = positions(table(spark, d, "lineitem").select("l_suppkey", "l_extendedprice", *keys), ["l_suppkey"], ["l_extendedprice", *keys], "at", "n")
+    return rows.select("l_suppkey", *keys, F.round(F.when(F.col("n") > 1, (F.col("at") - 1) / (F.col("n") - 1)).otherwise(0.0), 8).alias("rank"))
 
 
 def quantile_strata(df: DataFrame, value: str, id_: str, strata: int, at_least: int) -> DataFrame:
@@ -166,4 +180,6 @@ def _histogram(spark, d):
 @register("fuzzy_exp_weights", """SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, round(exp(-l_extendedprice / median(l_extendedprice) OVER (PARTITION BY l_suppkey)), 8) AS w FROM lineitem""")
 def _exp_weights(spark, d):
     """exp(-d / median d) per source."""
-    return table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", F.round(F.exp(-F.col("l_extendedprice") / F.median("l_extendedprice").over(Window.partitionBy("l_suppkey"))), 8).alias("w"))
+    keys = ["l_orderkey", "l_linenumber", "l_partkey"]
+    rows = table(spark, d, "lineitem").select("l_suppkey", *keys, F.col("l_extendedprice").alias("x"))
+    return rows.join(medians(rows, ["l_suppkey"], "x", *keys), "l_suppkey").select("l_suppkey", *keys, F.round(F.exp(-F.col("x") / F.col("median")), 8).alias("w"))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,6 +42,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows; else it is left to a shuffle join. df is materialised or cheap to count."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def forget(df: DataFrame) -> None:
     """Removes the table of a materialize() that no plan will read again, as the last round of an iteration."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
