@@ -55,9 +55,9 @@ TREES, DEPTH = 7, 6
 #: Hash functions of a signature, and bytes of one of its values.
 WIDTH, BYTES = 32, 6
 #: Documents outside a node's largest component that are compared with others in one go, and how many these are.
-BLOCK, PROBES = 256, 4096
-#: Documents of a tree's node, and of those outside its largest component, up to which it is compared instead of branched on.
-LEAF, FEW = 512, 256
+BLOCK, PROBES = 2048, 4096
+#: Documents of a tree's node, and of those outside its largest component, up to which it is compared instead of branched on: so many comparisons of sketches cost a document about as much as one more level.
+LEAF, FEW = 2048, 2048
 #: Bytes of one cell of a document's comparisons, and of the cells of a task, on average.
 CELL_BYTES, TASK_BYTES = 2_000_000, 16_000_000
 _FIRST = 2 * TREES
