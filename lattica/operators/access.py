@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -195,9 +197,15 @@ def _distance(spark, d):
     return rounded(sparse_distance(cells, 1000), "distance")
 
 
+def _some(matched: DataFrame) -> DataFrame:
+    if matched.isEmpty():
+        raise ValueError("no column of the matrix is named in the annotation")
+    return matched
+
+
 def onehot(labels: DataFrame, samples: DataFrame) -> DataFrame:
-    """(col_id, label, share): 1 for a column's label; columns without one have no row, labels of unknown columns go. labels: (name, label)."""
-    return samples.join(labels, "name").select("col_id", "label", F.lit(1.0).alias("share"))
+    """(col_id, label, share): 1 for a column's label; columns without one have no row, labels of unknown columns go. No match at all is an error. labels: (name, label)."""
+    return _some(samples.join(labels, "name")).select("col_id", "label", F.lit(1.0).alias("share"))
 
 
 @register("membership_onehot", "SELECT o_orderkey AS col_id, o_orderpriority AS label, 1.0::DOUBLE AS share FROM orders WHERE o_orderstatus <> 'P'")
@@ -208,17 +216,16 @@ def _onehot(spark, d):
 
 
 def membership_proportions(wide: DataFrame, samples: DataFrame, name: str) -> DataFrame:
-    """(col_id, label, share): a wide table of shares, a column for each label, melted and aligned by name; negative and null shares count as 0 and rows are scaled to sum to 1; rows without any share drop."""
+    """(col_id, label, share): a wide table of shares, a column for each label, melted and aligned by name. Shares are copied as they are, zeros and nulls have no row. No match at all is an error."""
     labels = [c for c in wide.columns if c != name]
-    long = wide.unpivot([name], labels, "label", "share").withColumn("share", F.greatest(F.coalesce("share", F.lit(0.0)), F.lit(0.0)))
-    total = long.groupBy(name).agg(F.sum("share").alias("total")).where("total > 0")
-    return long.join(total, name).join(samples, F.col(name) == samples["name"]).where("share > 0").select("col_id", "label", (F.col("share") / F.col("total")).alias("share"))
+    known = _some(wide.join(samples.withColumnRenamed("name", "__name"), F.col(name) == F.col("__name")))
+    return known.unpivot(["col_id"], labels, "label", "share").where("share <> 0")
 
 
-@register("membership_proportions", """WITH w AS (SELECT l_orderkey AS col_id, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS r, sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END) AS a, sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END) AS n FROM lineitem GROUP BY 1)
-SELECT col_id, label, round(v / (r + a + n), 6) AS share FROM (SELECT *, unnest(['r', 'a', 'n']) AS label, unnest([r, a, n]) AS v FROM w) JOIN orders ON o_orderkey = col_id WHERE v > 0""")
+@register("membership_proportions", """WITH w AS (SELECT l_orderkey AS col_id, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS r, sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END) AS a, sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END) - 20 AS n FROM lineitem GROUP BY 1)
+SELECT col_id, label, round(v, 6) AS share FROM (SELECT *, unnest(['r', 'a', 'n']) AS label, unnest([r, a, n]) AS v FROM w) JOIN orders ON o_orderkey = col_id WHERE v <> 0""")
 def _proportions(spark, d):
-    wide = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("order")).agg(*(F.sum(F.when(F.col("l_returnflag") == f, F.col("l_quantity")).otherwise(0.0)).alias(f.lower()) for f in "RAN"))
+    wide = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("order")).agg(*(F.sum(F.when(F.col("l_returnflag") == f, F.col("l_quantity")).otherwise(0.0)).alias(f.lower()) for f in "RAN")).withColumn("n", F.col("n") - 20)
     return rounded(membership_proportions(wide, part_by_order(spark, d).samples, "order"), "share")
 
 
@@ -228,23 +235,47 @@ def _passing(spark, d):
     return part_by_order(spark, d).cells.groupBy("row_id").agg(F.count_if(F.col("val") > 0).alias("n"), F.sum("val").alias("t")).where("n >= 20 AND t >= 600").select("row_id")
 
 
-def merge_nearby(sites: DataFrame, key: str, distance: int) -> DataFrame:
-    """(key, site, n): clusters taken from the left, each at most distance from its FIRST site; of a cluster the site of the largest count, the first on ties. sites: (key, pos, n).
+def counts_around(sites: DataFrame, ends: DataFrame, key: str, distance: int) -> DataFrame:
+    """(key, pos, n): the ends within half the distance of each site, its borders rounded. sites: (key, pos); ends: (key, pos, n). Joined on blocks, so a key may have any number of either."""
+    width = distance + 1
+    around = sites.select(key, "pos").distinct().withColumns({"__low": F.floor(F.col("pos") - distance / 2 + 0.5), "__high": F.floor(F.col("pos") + distance / 2 + 0.5)})
+    around = around.withColumn("__block", F.explode(F.expr(f"sequence(__low div {width}, __high div {width})")))
+    counts = ends.groupBy(key, "pos").agg(F.sum("n").alias("n")).withColumnRenamed("pos", "__end").withColumn("__block", F.expr(f"__end div {width}"))
+    found = around.join(counts, [key, "__block"], "left")
+    return found.groupBy(key, "pos").agg(F.sum(F.when(F.col("__end").between(F.col("__low"), F.col("__high")), F.col("n")).otherwise(0)).cast("long").alias("n"))
+
 
-    Which site opens a cluster depends on the one before, so the sorted distinct sites of a key are folded in one expression; a key's sites are few (the places of a gene).
+def merge_nearby(sites: DataFrame, key: str, distance: int, ends: DataFrame | None = None) -> DataFrame:
+    """(key, site, n): clusters taken from the left, each at most distance from its FIRST site; of a cluster the site with the most ends within half the distance, the first on ties.
+
+    sites: (key, pos, n); ends: (key, pos, n), by default the sites themselves. Which site opens a cluster depends
+    on the one before; keys are dealt to tasks, and a key's sites walked once, from cluster to cluster.
     """
-    folded = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("pos", "n"))),
-        F.array().cast("array<struct<start:bigint,pos:bigint,n:bigint>>"),
-        lambda out, s: F.when((F.size(out) == 0) | (s["pos"] - F.element_at(out, -1)["start"] > distance), F.concat(out, F.array(F.struct(s["pos"].alias("start"), s["pos"].alias("pos"), s["n"].alias("n")))))
-        .when(s["n"] > F.element_at(out, -1)["n"], F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["start"].alias("start"), s["pos"].alias("pos"), s["n"].alias("n")))))
-        .otherwise(out),
-    )
-    return sites.groupBy(key).agg(folded.alias("c")).select(key, F.inline("c")).select(key, F.col("pos").alias("site"), "n")
-
-
-@register("merge_nearby_sites", """WITH RECURSIVE s AS MATERIALIZED (SELECT l_partkey AS gene, date_diff('day', DATE '1970-01-01', l_shipdate::DATE) AS pos, count(*) AS n FROM lineitem GROUP BY ALL),
-r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY pos) AS i FROM s),
+    counted = counts_around(sites, sites if ends is None else ends, key, distance)
+
+    def walk(batches):
+        for batch in batches:
+            names, runs = batch.column(0), batch.column(1)
+            out = [], [], []
+            for i, run in enumerate(runs):
+                pos = run.values.field("pos").to_numpy()
+                n = run.values.field("n").to_numpy()
+                at = 0
+                while at < len(pos):
+                    end = int(np.searchsorted(pos, pos[at] + distance, "right"))
+                    best = at + int(n[at:end].argmax())
+                    for column, value in zip(out, (i, pos[best], n[best])):
+                        column.append(value)
+                    at = end
+            yield pa.record_batch([names.take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=[key, "site", "n"])
+
+    runs = counted.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), "n"))).alias("run"))
+    return runs.mapInArrow(walk, f"`{key}` {dict(sites.dtypes)[key]}, site long, n long")
+
+
+@register("merge_nearby_sites", """WITH RECURSIVE s AS MATERIALIZED (SELECT l_partkey AS gene, date_diff('day', DATE '1970-01-01', l_shipdate::DATE) AS pos, count(*) AS own FROM lineitem GROUP BY ALL),
+c AS MATERIALIZED (SELECT s.gene, s.pos, sum(e.own)::BIGINT AS n FROM s JOIN s e ON e.gene = s.gene AND e.pos BETWEEN s.pos - 30 AND s.pos + 30 GROUP BY ALL),
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY pos) AS i FROM c),
 w AS (SELECT gene, pos, n, i, pos AS start FROM r WHERE i = 1 UNION ALL SELECT r.gene, r.pos, r.n, r.i, CASE WHEN r.pos - w.start > 60 THEN r.pos ELSE w.start END FROM w JOIN r ON r.gene = w.gene AND r.i = w.i + 1)
 SELECT gene, arg_max(pos, (n, -pos)) AS site, max(n) AS n FROM w GROUP BY gene, start""")
 def _merge_nearby(spark, d):
@@ -259,11 +290,20 @@ def _genome_order(spark, d):
     return global_position(p, "p_size", "p_retailprice", "p_partkey").select(F.col("p_partkey").alias("gene"), (F.col("position") - 1).alias("place"))
 
 
-@register("top_hits", "SELECT l_suppkey AS block, l_partkey AS variant, round(sum(l_extendedprice), 2) AS score FROM lineitem GROUP BY ALL ORDER BY sum(l_extendedprice) DESC, block, variant LIMIT 25")
+def top_hits(results: DataFrame, block: str, least: float = 0.7, most: int = 5) -> DataFrame:
+    """Per block the variants and traits of a probability of at least `least`: the `most` largest with their rank, ties by variant and trait, and how many more there are. results: (block, variant, trait, pip)."""
+    hits = results.where(F.col("pip") >= least)
+    rank = F.row_number().over(Window.partitionBy(block).orderBy(F.desc("pip"), "variant", "trait"))
+    shown = hits.withColumn("rank", rank).where(F.col("rank") <= most)  # a limit for each block, taken before the shuffle too
+    more = hits.groupBy(block).agg(F.greatest(F.count("*") - most, F.lit(0)).alias("more"))
+    return shown.join(more, block)
+
+
+@register("top_hits", """WITH s AS (SELECT l_suppkey AS block, l_partkey AS variant, l_linenumber AS trait, max(l_discount) * 10.0 AS pip FROM lineitem GROUP BY ALL)
+SELECT block, variant, trait, round(pip, 6) AS pip, row_number() OVER (PARTITION BY block ORDER BY pip DESC, variant, trait) AS rank, greatest(count(*) OVER (PARTITION BY block) - 5, 0) AS more FROM s WHERE pip >= 0.7 QUALIFY rank <= 5""")
 def _top_hits(spark, d):
-    """A report of the largest scores, ties by block and variant."""
-    s = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("block"), F.col("l_partkey").alias("variant")).agg(F.sum("l_extendedprice").alias("s"))
-    return s.orderBy(F.desc("s"), "block", "variant").limit(25).select("block", "variant", F.round("s", 2).alias("score"))
+    s = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("block"), F.col("l_partkey").alias("variant"), F.col("l_linenumber").alias("trait")).agg((F.max("l_discount") * 10.0).alias("pip"))
+    return top_hits(s, "block").select("block", "variant", "trait", F.round("pip", 6).alias("pip"), "rank", "more")
 
 
 def inclusion_probabilities(samples: DataFrame) -> DataFrame:
@@ -281,24 +321,34 @@ def _inclusion(spark, d):
 
 
 def upper_tail_of_half(m: Column, k: Column) -> Column:
-    """P(X >= k) for X binomial of m trials of 1/2; 1 for k <= 0, 0 for k > m. By the ratios of successive terms from the last."""
+    """P(X >= k) for X binomial of m trials of 1/2; k above m counts as m, and without trials the result is 1. By the ratios of successive terms from the last."""
+    k = F.least(k, m)
     steps = F.sequence(F.lit(0), F.greatest(m - k - 1, F.lit(0)).cast("int"))
     # Terms C(m, i) for i = m, m - 1, ... k.
     walk = F.aggregate(steps, F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")), lambda s, j: F.struct((s["term"] * (m - j) / (j + 1)).alias("term"), (s["sum"] + s["term"] * (m - j) / (j + 1)).alias("sum")))
-    return F.when(k <= 0, 1.0).when(k > m, 0.0).when(k == m, F.pow(F.lit(2.0), -m)).otherwise(walk["sum"] * F.pow(F.lit(2.0), -m))
+    return F.when((m <= 0) | (k <= 0), 1.0).when(k == m, F.pow(F.lit(2.0), -m)).otherwise(walk["sum"] * F.pow(F.lit(2.0), -m))
 
 
-@register("binomial_upper_tail", """WITH t AS (SELECT l_partkey AS part, least(count(*), 50) AS m, least(count(*) FILTER (l_returnflag <> 'N'), 50) AS k FROM lineitem GROUP BY 1),
-p AS (SELECT part, m, k, list_sum(list_transform(range(k, m + 1), lambda i: exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) - m * ln(2)))) AS p FROM t) SELECT part, m, k, round(CASE WHEN k <= 0 THEN 1 ELSE p END, 8) AS p FROM p""")
+@register("binomial_upper_tail", """WITH t AS (SELECT l_partkey AS part, CASE WHEN l_partkey % 9 = 0 THEN 0 ELSE least(count(*), 50) END AS m, least(count(*) FILTER (l_returnflag <> 'N'), 50) + l_partkey % 30 AS k FROM lineitem GROUP BY 1),
+p AS (SELECT part, m, k, list_sum(list_transform(range(least(k, m), m + 1), lambda i: exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) - m * ln(2)))) AS p FROM t) SELECT part, m, k, round(CASE WHEN m = 0 OR k <= 0 THEN 1 ELSE p END, 8) AS p FROM p""")
 def _binomial(spark, d):
     t = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(F.least(F.count("*"), F.lit(50)).alias("m"), F.least(F.count_if(F.col("l_returnflag") != "N"), F.lit(50)).alias("k"))
+    t = t.select("part", F.when(F.col("part") % 9 == 0, 0).otherwise(F.col("m")).alias("m"), (F.col("k") + F.col("part") % 30).alias("k"))
     return t.select("part", "m", "k", F.round(upper_tail_of_half(F.col("m"), F.col("k")), 8).alias("p"))
 
 
+def log_factorial(x: Column) -> Column:
+    """ln x!: summed below 32, from there by Stirling's series, whose error is below 1e-15 of the result."""
+    import math
+
+    n = x.cast("double")
+    far = n * F.log(n) - n + 0.5 * F.log(2 * math.pi * n) + 1 / (12 * n) - 1 / (360 * n * n * n) + 1 / (1260 * F.pow(n, F.lit(5)))
+    return F.when(x < 32, F.get(F.array(*(F.lit(math.log(math.factorial(i))) for i in range(32))), F.greatest(x, F.lit(0)).cast("int"))).otherwise(far)
+
+
 def fisher_greater(a: Column, b: Column, c: Column, d: Column) -> Column:
     """One-sided exact test of a two by two table: the chance of a or more in its corner, the margins held. Tables of any size; the terms run over at most the smaller margin."""
     row, col, n = a + b, a + c, a + b + c + d
-    log_factorial = lambda x: F.aggregate(F.sequence(F.lit(1), F.greatest(x, F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
     first = log_factorial(row) + log_factorial(n - row) + log_factorial(col) + log_factorial(n - col) - log_factorial(n) - log_factorial(a) - log_factorial(b) - log_factorial(c) - log_factorial(d)
     steps = F.sequence(a.cast("int"), F.least(row, col).cast("int"))
     ratio = lambda i: (row - i) * (col - i) / ((i + 1) * (n - row - col + i + 1)).cast("double")
@@ -320,15 +370,16 @@ def strip_backend_suffix(path: Column) -> Column:
 
 
 def basename(path: Column) -> Column:
-    """The last part of a path without its last extension."""
-    return F.regexp_replace(F.substring_index(path, "/", -1), r"(.)\.[^.]*$", "$1")
+    """The last part of a path without its last extension, nor one of .zarr, .h5ad and .h5 that is then left, as of sample.zarr.zip."""
+    stem = F.regexp_replace(F.substring_index(F.rtrim(path, F.lit("/")), "/", -1), r"(.)\.[^.]*$", "$1")
+    return F.regexp_replace(stem, r"\.(zarr|h5ad|h5)$", "")
 
 
-@register("path_names", """WITH f AS (SELECT n_nationkey AS id, 'data/' || n_name || CASE n_nationkey % 4 WHEN 0 THEN '.zarr' WHEN 1 THEN '.h5' WHEN 2 THEN '.zarr.zip' ELSE '.tsv.gz' END AS path FROM nation)
-SELECT id, regexp_replace(path, '\\.(zarr\\.zip|zarr|h5)$', '') AS stripped, regexp_replace(string_split(path, '/')[-1], '(.)\\.[^.]*$', '\\1') AS base FROM f""")
+@register("path_names", """WITH f AS (SELECT n_nationkey AS id, 'data/' || n_name || CASE n_nationkey % 5 WHEN 0 THEN '.zarr' WHEN 1 THEN '.h5' WHEN 2 THEN '.zarr.zip' WHEN 3 THEN '.h5ad.gz' ELSE '.tsv.gz' END AS path FROM nation)
+SELECT id, regexp_replace(path, '\\.(zarr\\.zip|zarr|h5)$', '') AS stripped, regexp_replace(regexp_replace(string_split(path, '/')[-1], '(.)\\.[^.]*$', '\\1'), '\\.(zarr|h5ad|h5)$', '') AS base FROM f""")
 def _paths(spark, d):
-    k = F.col("n_nationkey") % 4
-    path = F.concat(F.lit("data/"), "n_name", F.when(k == 0, ".zarr").when(k == 1, ".h5").when(k == 2, ".zarr.zip").otherwise(".tsv.gz"))
+    k = F.col("n_nationkey") % 5
+    path = F.concat(F.lit("data/"), "n_name", F.when(k == 0, ".zarr").when(k == 1, ".h5").when(k == 2, ".zarr.zip").when(k == 3, ".h5ad.gz").otherwise(".tsv.gz"))
     return table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), strip_backend_suffix(path).alias("stripped"), basename(path).alias("base"))
 
 
@@ -344,10 +395,16 @@ def _weighted_degrees(spark, d):
     return weighted_degrees(l.groupBy(F.col("o_custkey").alias("u"), F.col("l_suppkey").alias("v")).agg(F.sum("l_quantity").alias("w")))
 
 
-@register("graph_total_weight", "SELECT sum(l_quantity) AS total FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+def total_weight(edges: DataFrame) -> DataFrame:
+    """One row: the summed weight of the edges, each pair of nodes once at its smallest weight, self-loops included. edges: (u, v, w), in any direction."""
+    pairs = edges.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("w").alias("w"))
+    return pairs.agg(F.sum("w").alias("total"))
+
+
+@register("graph_total_weight", "WITH e AS (SELECT o_custkey AS u, l_suppkey AS v, sum(l_quantity) AS w FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL), p AS (SELECT least(u, v) AS u, greatest(u, v) AS v, min(w) AS w FROM e GROUP BY ALL) SELECT sum(w) AS total FROM p")
 def _total_weight(spark, d):
     l = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
-    return l.agg(F.sum("l_quantity").alias("total"))
+    return total_weight(l.groupBy(F.col("o_custkey").alias("u"), F.col("l_suppkey").alias("v")).agg(F.sum("l_quantity").alias("w")))
 
 
 def knn_graph(neighbours: DataFrame, reciprocal: bool) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import register
+from ..plans.ranking import positions
 from ..matrix import X, part_by_order, table
 
 
@@ -102,9 +103,9 @@ def _ld(spark, d):
 def draw_matched(pool: DataFrame, chosen: DataFrame, seed: int) -> DataFrame:
     """A random set with the same number per stratum as the chosen ids, none of them chosen. pool: (id, stratum). chosen: (id)."""
     want = pool.join(chosen, "id", "left_semi").groupBy("stratum").agg(F.count("*").alias("n"))
-    r = F.row_number().over(Window.partitionBy("stratum").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), "id"))
-    rest = pool.join(chosen, "id", "left_anti").withColumn("r", r)
-    return rest.join(F.broadcast(want), "stratum").where("r <= n").select("id", "stratum")
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")))
+    rest = positions(pool.join(chosen, "id", "left_anti").withColumn("__drawn", drawn), ["stratum"], ["__drawn", "id"], "r")
+    return rest.join(want, "stratum").where("r <= n").select("id", "stratum")
 
 
 @register("draw_matched", """WITH p AS (SELECT p_partkey AS id, p_size % 6 AS stratum FROM part), w AS (SELECT stratum, count(*) AS n FROM p WHERE id % 17 = 0 GROUP BY 1), r AS (SELECT id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY md5('3:' || id), id) AS r FROM p WHERE id % 17 <> 0)

@@ -187,3 +187,20 @@ def agreed(left: DataFrame | None, right: DataFrame | None, key: list[str]) -> D
 def _agreed(spark, d):
     a = table(spark, d, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("col_id"))
     return agreed(a, table(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("col_id")), ["col_id"])
+
+
+def restricted(cells: DataFrame, competent: DataFrame, called: DataFrame, file: str = "file") -> DataFrame:
+    """The cells of files with a call that the call names, and all cells of files without one. cells and competent: (file, cell); called: (file), also of calls that name no cell."""
+    files = called.select(F.col(file).alias("__called")).distinct()
+    marked = cells.join(files, F.col(file) == F.col("__called"), "left")
+    kept = competent.select(file, "cell").distinct().withColumn("__kept", F.lit(True))
+    return marked.join(kept, [file, "cell"], "left").where("__called IS NULL OR __kept").select(file, "cell")
+
+
+@register("cells_for_quantification", "SELECT substr(l_shipdate::VARCHAR, 1, 7) AS file, l_orderkey AS cell FROM lineitem WHERE substr(l_shipdate::VARCHAR, 1, 4) NOT IN ('1994', '1996') OR l_quantity > 40")
+def _quantified(spark, d):
+    """Months as files: those of two years have a call, of orders with a large line."""
+    l = table(spark, d, "lineitem").select(F.substring(F.col("l_shipdate").cast("string"), 1, 7).alias("file"), F.col("l_orderkey").alias("cell"), "l_quantity", "l_linenumber", "l_partkey")
+    rows = l.withColumn("cell", F.struct("cell", "l_linenumber", "l_partkey"))
+    called = rows.where("file LIKE '1994%' OR file LIKE '1996%'")
+    return restricted(rows.select("file", "cell"), called.where("l_quantity > 40").select("file", "cell"), called.select("file")).select("file", F.col("cell.cell").alias("cell"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..matrix import table
+from ..plans.components import components
+from ..plans.ranking import positions
 from ..plans.scratch import forget, materialize
 
 #: Queries compared at once in a task, and the most that are broadcast in one block.
@@ -117,11 +119,24 @@ def _degrees(spark, d):
     return adjacency(_edges(spark, d)).groupBy("n").agg(F.count("*").alias("degree"))
 
 
+def oriented(edges: DataFrame) -> DataFrame:
+    """(u, v, low, high): every edge with the end of fewer neighbours first (ties by id). No node is the low end of more edges than the square root of twice their number."""
+    degree = adjacency(edges).groupBy("n").agg(F.count("*").alias("d"))
+    e = edges.join(degree.toDF("u", "du"), "u").join(degree.toDF("v", "dv"), "v")
+    up = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
+    return e.select("u", "v", F.when(up, F.col("u")).otherwise(F.col("v")).alias("low"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("high"))
+
+
 def shared_neighbours(edges: DataFrame) -> DataFrame:
-    """(u, v, shared): the number of common neighbours of each edge, 0 included. Wedges come from joins on the common neighbour."""
-    a = adjacency(edges)
-    wedge = edges.join(a.select(F.col("n").alias("u"), F.col("m").alias("w")), "u").join(a.select(F.col("n").alias("v"), F.col("m").alias("w")), ["v", "w"])
-    return edges.join(wedge.groupBy("u", "v").agg(F.count("*").alias("shared")), ["u", "v"], "left").na.fill(0)
+    """(u, v, shared): the number of common neighbours of each edge, 0 included.
+
+    Each triangle is found once, as a pair of edges from its node of the lowest degree that a third edge closes, so hubs list no pairs.
+    """
+    e = materialize(oriented(edges), "oriented")
+    pairs = e.select("low", F.col("high").alias("x")).join(e.select("low", F.col("high").alias("y")), "low").where("x < y")
+    closed = pairs.join(e.select(F.col("u").alias("x"), F.col("v").alias("y")), ["x", "y"])
+    sides = closed.select(F.explode(F.array(*(F.struct(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")) for a, b in (("low", "x"), ("low", "y"), ("x", "y"))))).alias("e")).select("e.*")
+    return e.select("u", "v").join(sides.groupBy("u", "v").agg(F.count("*").alias("shared")), ["u", "v"], "left").na.fill(0)
 
 
 _SH = "s AS (SELECT e.u, e.v, count(b.n) AS shared FROM e LEFT JOIN j a ON a.n = e.u LEFT JOIN j b ON b.n = e.v AND b.m = a.m GROUP BY ALL)"
@@ -138,12 +153,25 @@ def _prune(spark, d):
 
 
 def augment_snn(edges: DataFrame, least: int) -> DataFrame:
-    """edges and every other pair with at least so many common neighbours; unchanged for 0."""
+    """edges and every other pair with at least so many common neighbours; unchanged for 0.
+
+    Two nodes with that many in common share one besides the least - 1 neighbours of the highest degree of
+    each, so candidates come from the other neighbours, and a hub brings only those together that have few
+    better ones. Each candidate is then counted on the neighbours of its end of the lower degree.
+    """
     if least == 0:
         return edges
-    a = adjacency(edges)
-    pairs = a.select(F.col("n").alias("u"), F.col("m").alias("w")).join(a.select(F.col("n").alias("v"), F.col("m").alias("w")), "w").where("u < v")
-    return edges.union(pairs.groupBy("u", "v").count().where(F.col("count") >= least).select("u", "v")).distinct()
+    around = adjacency(edges)
+    degree = materialize(around.groupBy("n").agg(F.count("*").alias("d")), "degrees")
+    ranked = positions(around.join(degree.toDF("m", "dm"), "m"), ["n"], ["dm", "m"], "at", "size").drop("__bucket")
+    ranked = materialize(ranked.where(f"size >= {least}"), "around")
+    front = ranked.where(f"at <= size - {least - 1}").select("n", "m")
+    pairs = front.select(F.col("n").alias("u"), "m").join(front.select(F.col("n").alias("v"), "m"), "m").where("u < v").select("u", "v").distinct()
+    pairs = pairs.join(degree.toDF("u", "du"), "u").join(degree.toDF("v", "dv"), "v")
+    few = pairs.select("u", "v", F.when(F.col("du") <= F.col("dv"), F.col("u")).otherwise(F.col("v")).alias("n"), F.when(F.col("du") <= F.col("dv"), F.col("v")).otherwise(F.col("u")).alias("other"))
+    both = few.join(ranked.select("n", "m"), "n").join(around.select(F.col("n").alias("other"), "m"), ["other", "m"])
+    more = both.groupBy("u", "v").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    return edges.union(more.select("u", "v")).distinct()
 
 
 @register("graph_augment_snn", f"WITH {_E}, {_ADJ} SELECT u, v FROM e UNION SELECT a.n, b.n FROM j a JOIN j b ON a.m = b.m AND a.n < b.n GROUP BY ALL HAVING count(*) >= 2")
@@ -182,19 +210,8 @@ def _core(spark, d):
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(n, component): the smallest node reachable, by label spreading with shortcuts."""
-    a = materialize(adjacency(edges), "adjacent")
-    labels = materialize(a.groupBy("n").agg(F.least(F.col("n"), F.min("m")).alias("c")), "labels")
-    while True:
-        near = a.join(labels.select(F.col("n").alias("m"), "c"), "m").groupBy("n").agg(F.min("c").alias("near"))
-        new = labels.join(near, "n").select("n", F.least("c", "near").alias("c"))
-        jump = new.join(new.select(F.col("n").alias("c"), F.col("c").alias("up")), "c").select("n", F.least("c", "up").alias("c"))
-        new = materialize(jump, "labels")
-        if new.join(labels.withColumnRenamed("c", "old"), "n").where("c <> old").isEmpty():
-            forget(a)
-            return new.select("n", F.col("c").alias("component"))
-        forget(labels)
-        labels = new
+    """(n, component): the smallest node reachable, by star steps."""
+    return components(edges.select(F.col("u").alias("a"), F.col("v").alias("b"))).withColumnRenamed("vertex", "n")
 
 
 @register("graph_components", f"WITH RECURSIVE {_E}, {_ADJ}, r AS (SELECT n, n AS c FROM (SELECT DISTINCT n FROM j) UNION SELECT j.m, r.c FROM r JOIN j ON j.n = r.n WHERE r.c < j.m) SELECT n, min(c) AS component FROM r GROUP BY n")

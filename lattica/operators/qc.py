@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..matrix import X, part_by_order, table
-from ..plans.ranking import global_position
+from ..plans.ranking import ranged, running
 from .stats import column_stats
 
 
 def upper_median(df: DataFrame, value: str) -> DataFrame:
-    """One row (m): the element at position n div 2 from 0, without interpolation; only finite values count."""
-    finite = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))).select(value)
-    n = finite.count()
-    return global_position(finite, value).where(F.col("position") == n // 2 + 1).select(F.col(value).alias("m"))
+    """One row (m): the element at position n div 2 from 0, without interpolation; only finite values count. Equal values are counted first, so many of one value fill no task."""
+    finite = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))).groupBy(value).agg(F.count("*").alias("__n"))
+    total = {"__all": ("sum", F.col("__n"))}
+    placed = running(ranged(finite, value), [], [value], {"__to": ("sum", F.col("__n"))}, total)
+    middle = F.floor(F.col("__all") / 2) + 1
+    return placed.where((F.col("__to") >= middle) & (F.col("__to") - F.col("__n") < middle)).select(F.col(value).alias("m"))
 
 
 def robust_keep(df: DataFrame, value: str, k: float, tail: str = "both") -> DataFrame:

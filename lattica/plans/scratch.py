@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_CLEARED: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, or set as the session's checkpoint folder.
 
@@ -35,10 +38,20 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _clear_at_exit(spark: SparkSession, folder: str) -> None:
+    """Has the driver's file system remove the application's tables when it closes, at the end of the driver."""
+    if folder not in _CLEARED:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+        _CLEARED.add(folder)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back."""
-    path = f"{session_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    folder = session_folder(df.sparkSession)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _clear_at_exit(df.sparkSession, folder)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -55,5 +68,5 @@ def forget(df: DataFrame) -> None:
 
 
 def clear(spark: SparkSession) -> None:
-    """Removes all tables of this application; for its end, when no result is read any more."""
+    """Removes all tables of this application now, when no result is read any more; else this happens when the driver ends."""
     _remove(spark, session_folder(spark))

@@ -84,4 +84,7 @@ def test_merge_nearby_known_values(spark):
     from lattica.operators.access import merge_nearby
 
     sites = spark.createDataFrame([("g", p, n) for p, n in ((10, 2), (15, 5), (20, 5), (21, 9), (40, 1))] + [("h", 1, 1)], "gene string, pos long, n long")
-    assert sorted(map(tuple, merge_nearby(sites, "gene", 10).collect())) == [("g", 15, 5), ("g", 21, 9), ("g", 40, 1), ("h", 1, 1)]
+    # Counts within five of 10, 15, 20, 21, 40: 7, 12, 19, 14, 1.
+    assert sorted(map(tuple, merge_nearby(sites, "gene", 10).collect())) == [("g", 20, 19), ("g", 21, 14), ("g", 40, 1), ("h", 1, 1)]
+    ends = spark.createDataFrame([("g", 12, 50), ("g", 38, 3), ("h", 9, 9)], "gene string, pos long, n long")
+    assert sorted(map(tuple, merge_nearby(sites, "gene", 10, ends).collect())) == [("g", 10, 50), ("g", 21, 0), ("g", 40, 3), ("h", 1, 0)]
