@@ -25,3 +25,9 @@ def sample(labels: DataFrame, column: str, most: int) -> DataFrame:
     rows = rows.withColumn("fold", remainder(F.col("doc_id"))).where("fold <> 0")
     some = lambda label: rows.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     return some(0).unionAll(some(1))
+
+
+def one_row(rows: DataFrame, *values: str) -> DataFrame:
+    """doc_id, label, fold and the values of one row for each id, that of the least values in order: rows that repeat an id do not add to a bounded sample. rows: documents joined with sample()."""
+    least = F.min(F.struct(*values)).alias("__least")
+    return rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.first("fold").alias("fold"), least).select("doc_id", "label", "fold", "__least.*")

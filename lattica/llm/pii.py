@@ -19,7 +19,7 @@ part, or the digits, become keyed hashes, which keep links too.
 The key has no default. It comes to the tasks as a scalar subquery, so no plan shows
 it; a caller may also give a column of their own, such as a subquery on a protected
 file. The registered query takes it from the setting SECRET, whose name Spark's own
-redaction covers, or else uses a demonstration key.
+redaction covers, or else uses a demonstration key; the pipeline never does.
 
 The work is one projection: no shuffle, no Python; texts without a digit or an @
 pass by one test. Matches lie in order, so they are put back between the parts
@@ -32,6 +32,8 @@ gives no rows; other columns are not read by pii(), and kept by pseudonymize(),
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,14 +167,17 @@ def pseudonymize(docs: DataFrame, key: str | Column) -> DataFrame:
 
 
 def configured(spark: SparkSession) -> str:
-    """The key named by the setting SECRET, or the demonstration key."""
-    return spark.conf.get(SECRET, DEMONSTRATION)
+    """The key named by the setting SECRET. Without it a session gets a random key of its own, kept in that setting:
+    equal values stay linked within the session, and nobody can undo the pseudonyms later."""
+    if not spark.conf.get(SECRET, None):
+        spark.conf.set(SECRET, secrets.token_hex(32))
+    return spark.conf.get(SECRET)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import read
 
-    return pii(read(spark, sf_dir, "documents"), configured(spark))
+    return pii(read(spark, sf_dir, "documents"), spark.conf.get(SECRET, DEMONSTRATION))
 
 
 def brute_force(text: str | None, key: str = DEMONSTRATION) -> tuple[str | None, int]:

@@ -12,7 +12,7 @@ the only thing the driver holds; texts never leave their tasks and nothing is
 shuffled but that sample.
 
 Defined cases: null text counts as empty and is scored; a null doc_id is scored
-and not held out; repeated rows are scored each. If the sample lacks either
+and not held out; repeated rows are scored each, and one of an id, that of the least statistics, is learned from. If the sample lacks either
 label, every score is the share of label 1 in it (0 without any). Empty tables
 give no rows; other columns are not read.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, ids, materialize, prepare, texts
-from .labelled import held_out, sample
+from .labelled import held_out, one_row, sample
 
 SAMPLE = 20_000
 TREES, DEPTH, BINS, RATE, RIDGE, LEAST = 80, 4, 64, 0.15, 2.0, 8
@@ -130,7 +130,7 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, threshold:
     """doc_id, held_out, score and predicted per row of docs."""
     spark = docs.sparkSession
     known = materialize(measured(docs), "statistics")
-    rows = known.join(F.broadcast(sample(labels, "quality", most)), "doc_id").orderBy("doc_id", *STATISTICS).select("label", *STATISTICS).toPandas()
+    rows = one_row(known.join(F.broadcast(sample(labels, "quality", most)), "doc_id"), *STATISTICS).orderBy("doc_id").select("label", *STATISTICS).toPandas()
     x, y = rows[list(STATISTICS)].to_numpy(dtype=np.float64), rows["label"].to_numpy(dtype=np.float64)
     held = held_out(F.col("doc_id")).alias("held_out")
     if len(set(y.tolist())) < 2:

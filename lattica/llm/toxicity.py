@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, ids, materialize, prepare, texts
-from .labelled import held_out, sample
+from .labelled import held_out, one_row, sample
 from .words import mix, powers
 
 #: Of the shared model, with the character that is predicted.
@@ -295,7 +295,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, order: int = ORDER, most: int =
     prepare(spark)
     docs = documents(docs)
     chosen = materialize(sample(labels, "toxic", most), "labels")
-    training = materialize(docs.join(F.broadcast(chosen), "doc_id").select("label", "fold", "text"), "training")
+    known = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "fold", F.coalesce("text", F.lit("")).alias("text"))
+    training = materialize(one_row(known.withColumn("hash", F.xxhash64("text")), "hash", "text").select("label", "fold", "text"), "training")
     counts = materialize(class_counts(training.where("fold <> 4"), order), "counts")
     if counts.select("label").distinct().count() < 2:
         return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))

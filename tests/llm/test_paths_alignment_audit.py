@@ -174,3 +174,17 @@ def test_interactions_of_other_filters(spark, filters):
     assert len(rows) == len(orders) * len(filters)
     assert sum({r.filter_order[r.step - 1]: r.shapley for r in rows}.values()) == failing * len(orders)
     assert all(r.kept == 1 for r in rows if r.step == len(filters))
+
+
+def test_repeated_ids_do_not_add_to_a_sample(spark):
+    """20,000 rows of 20 ids give 20 rows to learn from, whatever their order."""
+    from lattica.llm.labelled import one_row, sample
+
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    docs = spark.range(20000).selectExpr("id % 20 AS doc_id", "cast((id * 7919) % 1000 AS double) AS a", "cast(id % 3 AS double) AS b")
+    joined = docs.join(sample(labels, "quality", 50), "doc_id")
+    rows = one_row(joined, "a", "b").collect()
+    assert len(rows) == joined.select("doc_id").distinct().count() < 20
+    assert sorted(rows) == sorted(one_row(joined.repartition(5, "b"), "a", "b").collect())
+    least = {r.doc_id: (r.a, r.b) for r in rows}
+    assert all((r.a, r.b) >= least[r.doc_id] for r in joined.collect())

@@ -14,8 +14,10 @@ def test_pipeline_brute_force(spark, sf):
     alone = {d for d, _, c in jaccard_join.brute_force(good) if d == c}
     good = [(d, t) for d, t in good if d in alone]
     dirty = {r[0] for r in decontamination.brute_force(good, items)}
-    clean = [(d, pii.brute_force(t)[0]) for d, t in good if d not in dirty]
+    clean = [(d, pii.brute_force(t, "a key of the test")[0]) for d, t in good if d not in dirty]
+    spark.conf.set(pii.SECRET, "a key of the test")
     found = corpus_pipeline.run(spark, sf).collect()
+    spark.conf.unset(pii.SECRET)
     assert {r.doc_id: r.doc_tokens for r in found} == {d: len(encoding().encode_ordinary(t)) + 1 for d, t in clean}
     assert sum(r.length for r in found) == sum({r.doc_id: r.doc_tokens for r in found}.values())
     assert max(r.offset + r.length for r in found) <= packing.LENGTH
@@ -66,3 +68,15 @@ def test_pipeline_on_awkward_and_empty_tables(spark, awkward, empty, tmp_path):
     for stage in (s for _, s in corpus_pipeline.STAGES):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.collect() == []
+
+
+def test_pipeline_key(spark, awkward):
+    """Without a setting a session gets a random key of its own, and keeps it."""
+    spark.conf.unset(pii.SECRET)
+    key = pii.configured(spark)
+    assert len(key) == 64 and key != pii.DEMONSTRATION and pii.configured(spark) == key
+    spark.conf.unset(pii.SECRET)
+    assert pii.configured(spark) != key
+    spark.conf.set(pii.SECRET, "given")
+    assert pii.configured(spark) == "given"
+    spark.conf.unset(pii.SECRET)
