@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,53 +10,7 @@ from ..matrix import table
 from ..plans.components import components
 from ..plans.ranking import positions
 from ..plans.scratch import forget, materialize
-
-#: Queries compared at once in a task, and the most that are broadcast in one block.
-QUERY_BLOCK = 4096
-
-
-def knn(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """(query, id, rank, distance): the k nearest points by squared L2 for each query, ties by id; exact.
-
-    queries and points: (id, vector). Queries come in blocks; every task keeps
-    the k best of its points per query, so what is shuffled is k rows per query
-    and task, never all pairs.
-    """
-    from functools import reduce
-
-    spark = points.sparkSession
-    dealt = queries.count()
-    blocks = max(1, -(-dealt // QUERY_BLOCK))
-
-    def nearest(rows: list) -> DataFrame:
-        ids = np.array([r[0] for r in rows], dtype=np.int64)
-        vectors = np.array([r[1] for r in rows], dtype=np.float64)
-        shared = spark.sparkContext.broadcast((ids, vectors))
-
-        def run(batches):
-            names, q = shared.value
-            best_d, best_i = np.full((len(names), 0), 0.0), np.full((len(names), 0), 0, dtype=np.int64)
-            for batch in batches:
-                if not batch.num_rows or not len(names):
-                    continue
-                i = batch.column(0).to_numpy()
-                p = np.array(batch.column(1).to_pylist(), dtype=np.float64)
-                d = ((q[:, None, :] - p[None, :, :]) ** 2).sum(axis=2) if len(q) * len(p) * p.shape[1] < 2e7 else np.stack([((p - x) ** 2).sum(axis=1) for x in q])
-                d, i = np.hstack([best_d, d]), np.hstack([best_i, np.broadcast_to(i, (len(names), len(i)))])
-                order = np.lexsort((i, np.round(d, 9)), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-            n = best_i.shape[1]
-            yield pa.record_batch([pa.array(np.repeat(names, n)), pa.array(best_i.ravel()), pa.array(best_d.ravel())], names=["query", "id", "distance"])
-
-        return points.select("id", "vector").mapInArrow(run, "query long, id long, distance double")
-
-    parts = []
-    for b in range(blocks):
-        rows = [tuple(r) for r in queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "vector").collect()]
-        parts.append(nearest(rows))
-    found = reduce(DataFrame.unionAll, parts)
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.round("distance", 9), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "id", "rank", "distance")
+from .neighbours import knn
 
 
 def _vectors(spark, d):
