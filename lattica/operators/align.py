@@ -118,9 +118,11 @@ def _substring(spark, d):
 
 @register("match_flexible", "SELECT p_partkey, q.query FROM (VALUES ('brand#12'), ('X')) q(query) JOIN part ON contains('_' || lower(CASE WHEN p_partkey % 2 = 0 THEN p_brand || '_x' ELSE 'a_' || p_brand END) || '_', '_' || lower(q.query) || '_')")
 def _flexible(spark, d):
+    from .gene_index import flexible_pairs
+
     queries = spark.createDataFrame([("brand#12",), ("X",)], "query string")
     p = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.concat(F.col("p_brand"), F.lit("_x"))).otherwise(F.concat(F.lit("a_"), F.col("p_brand"))).alias("name"))
-    return p.join(F.broadcast(queries), N.flexible_match(F.col("query"), F.col("name"))).select("p_partkey", "query")
+    return flexible_pairs(queries, p.withColumnRenamed("p_partkey", "row_id")).select(F.col("row_id").alias("p_partkey"), "query")
 
 
 @register("labels_to_columns", """SELECT o_orderkey AS col_id, coalesce(label, 'none') AS label FROM orders LEFT JOIN (SELECT l_orderkey, arg_max(l_returnflag, (l_linenumber, l_partkey, l_returnflag)) AS label FROM lineitem WHERE l_quantity > 25 GROUP BY 1) ON l_orderkey = o_orderkey""")
