@@ -38,7 +38,7 @@ def test_merges_as_plain(spark, monkeypatch):
     profiles = rng.dirichlet(np.full(40, 0.5), 3)
     t = np.array([rng.multinomial(400 + 50 * c, profiles[c % 3]) for c in range(9)]).astype(float)
     t[:, 11] = 0
-    n = np.array([40, 30, 50, 0, 45, 35, 60, 20, 25])
+    n = np.array([40, 30, 50, 0, 45, 35, 60, 20, 25]) * 8  # enough to tell the profiles apart
     s = t.sum(axis=1)
     mass = spark.createDataFrame([(c, g, float(t[c, g])) for c in range(9) for g in range(40) if t[c, g]], "cluster int, feature int, val double")
     sizes = spark.createDataFrame([(c, float(s[c]), int(n[c])) for c in range(9)], "cluster int, size double, effective long")
