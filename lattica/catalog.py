@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Modules whose import registers queries.
-MODULES = ("stats", "qc", "names", "align", "windows", "intervals", "graph", "genetics", "annotate", "access", "evidence", "hmm", "clustering", "tree", "paths", "projection", "communities", "neighbours", "droplets", "gene_index", "collapse", "agglomerate", "mixtures")
+MODULES = ("stats", "qc", "names", "align", "windows", "intervals", "graph", "genetics", "annotate", "access", "evidence", "hmm", "clustering", "tree", "paths", "projection", "communities", "neighbours", "droplets", "gene_index", "collapse", "agglomerate", "mixtures", "kernels")
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
