@@ -110,10 +110,11 @@ STANDARD = (
     ("If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "mpl2-copy"),
     ("This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;", "gpl-hope"),
     ("This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;", "lgpl-hope"),
-    *((f"{_GPL.format(name)}{end}", f"{short}-grant") for name, short in (("General Public License", "gpl"), ("Lesser General Public License", "lgpl"), ("Affero General Public License", "agpl")) for end in (
-        ", either version 3 of the License, or (at your option) any later version.", ", either version 3 of the License.", ", version 3.", ";", ", either version 2 of the License, or (at your option) any later version.",
-        ", either version 2.1 of the License, or (at your option) any later version.", ", version 2.", ", version 2.1.",
-    )),
+    *((f"{_GPL.format(name)}{end}", f"{short}-grant{version}") for name, short in (("General Public License", "gpl"), ("Lesser General Public License", "lgpl"), ("Affero General Public License", "agpl")) for version, ends in (
+        ("", (";",)),
+        *((f"-{v}", (f", either version {v} of the License, or (at your option) any later version.", f"; either version {v} of the License, or (at your option) any later version.", f", either version {v} of the License.", f"; version {v} of the License.", f", version {v}.")) for v in ("3", "2.1", "2")),
+    ) for end in ends),
+    *((f"either version {v} of the License, or (at your option) any later version.", f"gnu-version-{v}") for v in ("3", "2.1", "2")),
     ("You should have received a copy of the GNU Lesser General Public License along with this library.", "lgpl-copy"),
     ("You should have received a copy of the GNU Lesser General Public License along with this program.", "lgpl-copy"),
     ("You should have received a copy of the GNU Affero General Public License along with this program.", "agpl-copy"),
@@ -126,6 +127,14 @@ TEXT_RULES = (
     ("Apache-2.0", ("apache-2.0-notice", "apache2-copy", "apache2-asis")),
     ("MIT", ("mit-grant", "mit-keep", "mit-asis")),
     ("MIT-0", ("mit0-grant", "mit-asis")),
+    *((licence, (f"{short}-grant-{v}", hope, f"{short}-copy")) for licence, short, v, hopes in (
+        ("GPL-3.0", "gpl", "3", ("gpl-hope",)), ("GPL-2.0", "gpl", "2", ("gpl-hope",)), ("LGPL-3.0", "lgpl", "3", ("lgpl-hope", "gpl-hope")), ("LGPL-2.1", "lgpl", "2.1", ("lgpl-hope", "gpl-hope")),
+        ("LGPL-2.0", "lgpl", "2", ("lgpl-hope", "gpl-hope")), ("AGPL-3.0", "agpl", "3", ("gpl-hope",)),
+    ) for hope in hopes),
+    *((licence, (f"{short}-grant", f"gnu-version-{v}", hope, f"{short}-copy")) for licence, short, v, hopes in (
+        ("GPL-3.0", "gpl", "3", ("gpl-hope",)), ("GPL-2.0", "gpl", "2", ("gpl-hope",)), ("LGPL-3.0", "lgpl", "3", ("lgpl-hope", "gpl-hope")), ("LGPL-2.1", "lgpl", "2.1", ("lgpl-hope", "gpl-hope")),
+        ("LGPL-2.0", "lgpl", "2", ("lgpl-hope", "gpl-hope")), ("AGPL-3.0", "agpl", "3", ("gpl-hope",)),
+    ) for hope in hopes),
     ("GPL", ("gpl-grant", "gpl-hope", "gpl-copy")),
     ("LGPL", ("lgpl-grant", "lgpl-hope", "lgpl-copy")),
     ("LGPL", ("lgpl-grant", "gpl-hope", "lgpl-copy")),
@@ -155,10 +164,10 @@ def notices() -> dict[str, str]:
             wanted = [n for n in names if n.endswith("license")] if form in ("{}", "the {}") else [*names, own, f"{own} license"]
             out |= {form.format(n): f"{licence.lower()}-notice" for n in wanted}
         for suffix in ("", " only", " or later"):
-            # After the colon of an SPDX line, where a scan splits it.
+            # In the expression of an SPDX line.
             out.setdefault(own + suffix, f"{licence.lower()}-id")
-    return out | {"spdx license identifier": "spdx"}
+    return out
 
 
 #: Ordered: the rule with most identifiers first, so that what a longer rule takes is not left to a shorter one.
-RULES = tuple(sorted((*TEXT_RULES, *((licence, ("spdx", f"{licence.lower()}-id")) for licence, _ in NAMES), *((licence, (f"{licence.lower()}-notice",)) for licence, _ in NAMES)), key=lambda r: -len(r[1])))
+RULES = tuple(sorted((*TEXT_RULES, *((licence, (f"spdx:{licence.lower()}-id",)) for licence, _ in NAMES), *((licence, (f"{licence.lower()}-notice",)) for licence, _ in NAMES)), key=lambda r: -len(r[1])))

@@ -8,6 +8,9 @@ to identifiers: short sentences, those of the standard texts, split and normalis
 the same way, and over a thousand notices, built from the names of licences. RULES are
 sequences of identifiers in order: a rule matches where its identifiers follow one
 another among the text's known sentences, other sentences in between being skipped.
+Names of holders in a known sentence count as one, a pointer to a licence file at a sentence's
+end does not count, "licensed under the A or the B" is a notice for each, and an SPDX line holds an
+expression: an identifier for each licence that it names.
 Rules are tried from the longest to the shortest and take their sentences out, so the
 text of BSD-3-Clause is not BSD-2-Clause too, while both texts in a document are found.
 
@@ -32,6 +35,18 @@ from .license_tables import RULES, SENTENCES, STANDARD, notices
 _BLANK, _MARKS = r"\n(?:[^\p{L}\p{N}\n]*\n)+", r"[^a-z0-9.]+|\.(?:[^0-9]|$)"
 
 
+#: What is rewritten in a normalised sentence: names of holders, and pointers to a licence file.
+_REWRITTEN = (
+    ("^neither the names? of .* nor the names of (?:its|their|any|the) contributors may be used", "neither the name of the copyright holder nor the names of its contributors may be used"),
+    (" see (?:the )?(?:(?:license|licence|copying) ?)+(?:d|xt|md|txt)?(?: ?file)?(?: ?for (?:more |full )?(?:details|information|(?:the )?full text))?$", ""),
+)
+#: The start of an SPDX line, an exception in its expression, what joins licences, and the start of a notice for several.
+_SPDX, _EXCEPTION, _JOINED, _UNDER = "spdx license identifier ", " with [a-z0-9. ]*?exception(?: [0-9.]+)?", " (?:or|and) (?:the )?", "^.*licen[sc]ed under (?:either of |either |one of )?(?:the )?"
+_SPDX_LINE = "(?i)spdx-license-identifier:"
+#: Abbreviations in names of holders, whose full stop ends no sentence.
+_SHORT = r"(?i)\b(inc|ltd|corp|co)\."
+
+
 def normalised(sentence: str) -> str:
     return re.sub(" +", " ", re.sub(_MARKS, " ", sentence.lower())).strip(" ")
 
@@ -57,13 +72,29 @@ def licenses(docs: DataFrame, sentences: dict[str, str] | None = None, rules: tu
     """
     sentences = {k: v for k, v in (sentence_table() if sentences is None else sentences).items() if k}
     # Sentences end with a NUL, their lines with a line end.
-    text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\0\r", "  ")
+    text = F.regexp_replace(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\0\r", "  "), _SPDX_LINE, "SPDX-License-Identifier ")
+    text = F.regexp_replace(text, _SHORT, "$1 ")
     wholes = F.split(F.regexp_replace(F.regexp_replace(text, _BLANK, "\0"), r"([.!?;:])(?:[ \t]+|[ \t]*\n)", "$1\0"), "\0")
-    bare = lambda s: f"trim(regexp_replace(regexp_replace(lower({s}), {_quoted(_MARKS)}, ' '), ' +', ' '))"
+    def bare(s: str) -> str:
+        out = f"trim(regexp_replace(regexp_replace(lower({s}), {_quoted(_MARKS)}, ' '), ' +', ' '))"
+        for pattern, by in _REWRITTEN:
+            out = f"regexp_replace({out}, {_quoted(pattern)}, {_quoted(by)})"
+        return out
+
     known = f"map({', '.join(_quoted(x) for kv in sentences.items() for x in kv)})" if sentences else "cast(map() AS map<string,string>)"
-    is_known = f"b IN ({', '.join(map(_quoted, sentences))})" if sentences else "false"
-    lines = f"transform(filter(transform(split(s, '\n'), l -> {bare('l')}), b -> {is_known}), b -> {known}[b])"
-    whole = f"transform(array({bare('s')}), b -> CASE WHEN {is_known} THEN array({known}[b]) WHEN contains(s, '\n') THEN {lines} ELSE cast(array() AS array<string>) END)[0]"
+    is_known = lambda p: f"{p} IN ({', '.join(map(_quoted, sentences))})" if sentences else "false"
+    none = "cast(array() AS array<string>)"
+    # What is looked up for a sentence b: itself, the licences of an SPDX line, or a notice for each licence of several.
+    spdx = f"startswith(b, {_quoted(_SPDX)})"
+    named = f"split(regexp_replace(substring(b, {len(_SPDX) + 1}), {_quoted(_EXCEPTION)}, ''), {_quoted(_JOINED)})"
+    several = f"transform(split(regexp_replace(b, {_quoted(_UNDER)}, ''), {_quoted(_JOINED)}), p -> concat('licensed under the ', p))"
+    asked = f"CASE WHEN {spdx} THEN {named} WHEN NOT {is_known('b')} AND b RLIKE {_quoted(_UNDER)} AND b RLIKE {_quoted(_JOINED)} THEN {several} ELSE array(b) END"
+    looked_up = f"filter(transform(q, p -> CASE WHEN {is_known('p')} THEN {known}[p] END), i -> i IS NOT NULL)"
+    # Identifiers of an SPDX line are told from others; of several licences all must be known.
+    kept = f"CASE WHEN {spdx} THEN transform(filter(f, i -> endswith(i, '-id')), i -> concat('spdx:', i)) WHEN size(f) = size(q) THEN f ELSE {none} END"
+    ids_of = lambda s: f"transform(array({bare(s)}), b -> transform(array({asked}), q -> transform(array({looked_up}), f -> {kept})[0])[0])[0]"
+    lines = f"flatten(transform(split(s, '\n'), l -> {ids_of('l')}))"
+    whole = f"transform(array({ids_of('s')}), w -> CASE WHEN size(w) = 0 AND contains(s, '\n') THEN {lines} ELSE w END)[0]"
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), wholes.alias("wholes")).select("doc_id", F.expr(f"flatten(transform(wholes, s -> {whole}))").alias("found"))
     names = "cast(array() AS array<string>)"
     if rules:
@@ -81,12 +112,19 @@ def _oracle() -> str:
     pairs = ", ".join(f"('{k}', '{v}')" for k, v in sentence_table().items())
     ruled = [(name, *_rule(ids)) for name, ids in RULES]
     rules = ", ".join(f"({i}, '{name}', '{pattern}', '|{''.join(f'{chr(92)}{g + 1}' for g in range(gaps))}')" for i, (name, pattern, gaps) in enumerate(ruled))
+    rewritten = r"trim(regexp_replace(regexp_replace(lower(s), '[^a-z0-9.]+|\.(?:[^0-9]|$)', ' ', 'g'), ' +', ' ', 'g'))"
+    for old, by in _REWRITTEN:
+        rewritten = f"regexp_replace({rewritten}, '{old}', '{by}', 'g')"
     return rf"""
 WITH RECURSIVE known(s, id) AS (VALUES {pairs}), rule(i, name, pattern, rest) AS (VALUES {rules}),
 l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS s, generate_subscripts(string_split(t, chr(10)), 1) AS i
-  FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '([.!?;:])[ 	]+', '' || chr(10), 'g') AS t FROM documents)),
-b AS (SELECT doc_id, i, trim(regexp_replace(regexp_replace(lower(s), '[^a-z0-9.]+|\.(?:[^0-9]|$)', ' ', 'g'), ' +', ' ', 'g')) AS s FROM l),
-f AS MATERIALIZED (SELECT doc_id, string_agg(id, '|' ORDER BY i) AS ids, count(*) AS n FROM b JOIN known USING (s) GROUP BY doc_id),
+  FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '{_SPDX_LINE}', 'SPDX-License-Identifier ', 'g'), '{_SHORT}', '\1 ', 'g'), '([.!?;:])[ 	]+', '' || chr(10), 'g') AS t FROM documents)),
+b AS MATERIALIZED (SELECT doc_id, i, {rewritten} AS s FROM l),
+e AS (SELECT doc_id, i, 0 AS j, id FROM b JOIN known USING (s) WHERE NOT starts_with(s, '{_SPDX}')
+  UNION ALL SELECT doc_id, i, j, 'spdx:' || id FROM (SELECT doc_id, i, unnest(ps) AS p, generate_subscripts(ps, 1) AS j FROM (SELECT doc_id, i, string_split_regex(regexp_replace(substr(s, {len(_SPDX) + 1}), '{_EXCEPTION}', '', 'g'), '{_JOINED}') AS ps FROM b WHERE starts_with(s, '{_SPDX}'))) JOIN known ON known.s = p AND id LIKE '%-id'
+  UNION ALL SELECT doc_id, i, j, id FROM (SELECT doc_id, i, j, id, count(id) OVER (PARTITION BY doc_id, i) AS n, count(*) OVER (PARTITION BY doc_id, i) AS m FROM (SELECT doc_id, i, unnest(ps) AS p, generate_subscripts(ps, 1) AS j FROM (SELECT doc_id, i, string_split_regex(regexp_replace(s, '{_UNDER}', ''), '{_JOINED}') AS ps FROM b WHERE regexp_matches(s, '{_UNDER}') AND regexp_matches(s, '{_JOINED}') AND NOT starts_with(s, '{_SPDX}') AND s NOT IN (SELECT s FROM known)))
+    LEFT JOIN known ON known.s = 'licensed under the ' || p) WHERE n = m),
+f AS MATERIALIZED (SELECT doc_id, string_agg(id, '|' ORDER BY i, j) AS ids, count(*) AS n FROM e GROUP BY doc_id),
 m AS (SELECT doc_id, 0 AS i, '|' || ids || '|' AS seq, []::VARCHAR[] AS names FROM f
   UNION ALL SELECT doc_id, m.i + 1, regexp_replace(seq, pattern, rest, 'g'), CASE WHEN regexp_matches(seq, pattern) THEN list_append(names, name) ELSE names END FROM m JOIN rule ON rule.i = m.i),
 r AS (SELECT doc_id, list_aggregate(list_sort(list_distinct(names)), 'string_agg', ',') AS names FROM m WHERE i = {len(RULES)})

@@ -408,8 +408,8 @@ def test_licenses_of_unmodified_texts(spark):
     apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions.\n'
     gpl3 = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.\n\nYou should have received a copy of the GNU General Public License\nalong with this program.  If not, see <https://www.gnu.org/licenses/>.\n"
     gpl2 = gpl3.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2")
-    wanted = {"MIT": mit, "BSD-2-Clause": bsd2, "BSD-3-Clause": bsd3, "BSD-2-Clause,BSD-3-Clause": bsd3 + "\nAnd the other part:\n\n" + bsd2, "Apache-2.0": apache, "GPL": gpl3, "LGPL": gpl3.replace("GNU General", "GNU Lesser General"), "": gpl3.replace("GNU General", "GNU Other")}
-    rows = [(names, t) for names, t in [*wanted.items(), ("GPL", gpl2)]]
+    wanted = {"MIT": mit, "BSD-2-Clause": bsd2, "BSD-3-Clause": bsd3, "BSD-2-Clause,BSD-3-Clause": bsd3 + "\nAnd the other part:\n\n" + bsd2, "Apache-2.0": apache, "GPL-3.0": gpl3, "LGPL-3.0": gpl3.replace("GNU General", "GNU Lesser General"), "": gpl3.replace("GNU General", "GNU Other")}
+    rows = [(names, t) for names, t in [*wanted.items(), ("GPL-2.0", gpl2)]]
     forms = [lambda t: t, lambda t: "\n\n".join(p.replace("\n", " ") for p in t.split("\n\n")), lambda t: "\n".join(f" * {line}".rstrip() for line in t.split("\n")), lambda t: t.replace("\n", "\r\n")]
     cases = [(names, f(t)) for names, t in rows for f in forms]
     found = licenses.licenses(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")).collect()

@@ -188,3 +188,34 @@ def test_repeated_ids_do_not_add_to_a_sample(spark):
     assert sorted(rows) == sorted(one_row(joined.repartition(5, "b"), "a", "b").collect())
     least = {r.doc_id: (r.a, r.b) for r in rows}
     assert all((r.a, r.b) >= least[r.doc_id] for r in joined.collect())
+
+
+def test_license_notices_of_several_kinds(spark):
+    """Holders' names, versions, pointers to a file, several licences, SPDX expressions."""
+    from lattica.llm import licenses
+
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\nRedistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\nRedistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
+    names = "Neither the name of Google Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty.\n\nYou should have received a copy of the GNU General Public License along with this program. If not, see the address."
+    lgpl = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.\n\nThis library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;\n\nYou should have received a copy of the GNU Lesser General Public License along with this library."
+    cases = {
+        bsd + names: "BSD-3-Clause",
+        bsd: "BSD-2-Clause",
+        gpl.format(2): "GPL-2.0",
+        gpl.format(3): "GPL-3.0",
+        lgpl: "LGPL-2.1",
+        "This project is licensed under the MIT License - see the LICENSE file for details.": "MIT",
+        "This project is licensed under the MIT License - see the LICENSE.md file for details": "MIT",
+        "Licensed under the Apache License 2.0, see LICENSE.": "Apache-2.0",
+        "This crate is dual licensed under the MIT license or the Apache License 2.0.": "Apache-2.0,MIT",
+        "Licensed under either of the MIT License or the Apache License 2.0": "Apache-2.0,MIT",
+        "It is licensed under the MIT license and the moon": "",
+        "// SPDX-License-Identifier: MIT OR Apache-2.0": "Apache-2.0,MIT",
+        "# SPDX-License-Identifier: MIT": "MIT",
+        "SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) OR MIT": "GPL-2.0,MIT",
+        "SPDX-License-Identifier: LicenseRef-own": "",
+        "Apache-2.0": "",
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in licenses.licenses(rows).collect()}
+    assert {t: got[i] for i, t in enumerate(cases)} == cases
