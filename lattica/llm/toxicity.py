@@ -191,9 +191,11 @@ def keyed(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def looked_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which keys the table has, and their values, 0 for the rest."""
     have, values = table
-    at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-    hit = have[at] == keys
-    return hit, np.where(hit, values[at], 0.0)
+    # Words share their starts: each key once, and in order, which the table's pages like.
+    each, of = np.unique(keys, return_inverse=True)
+    at = np.minimum(np.searchsorted(have, each), len(have) - 1)
+    hit = have[at] == each
+    return hit[of], np.where(hit, values[at], 0.0)[of]
 
 
 class Model:
