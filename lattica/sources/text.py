@@ -68,3 +68,19 @@ def read_gff(spark: SparkSession, path: str) -> DataFrame:
     attribute = lambda k: F.nullif(F.regexp_extract(f[8], rf'(?:^|;\s*){k}[ =]"?([^";]+)', 1), F.lit(""))
     rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.size(f) >= 9))
     return rows.select(f[0].alias("seqname"), f[2].alias("feature"), f[3].cast("long").alias("start"), f[4].cast("long").alias("stop"), f[6].alias("strand"), *(attribute(k).alias(k) for k in ("gene_id", "gene_name", "gene_type", "transcript_id")))
+
+
+def read_obo(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(terms (id, name), edges (parent, child, relation)) of an OBO ontology: is_a and part_of between terms that are there and not obsolete.
+
+    Records are stanzas, so files of any length are split among tasks; what follows ! or stands in braces at a line's end is no value.
+    """
+    stanzas = spark.read.option("lineSep", "\n[").text(path).where(F.col("value").rlike(r"^\[?Term\]"))
+    lines = F.transform(F.split(F.regexp_replace("value", "\r", ""), "\n"), lambda l: F.trim(F.regexp_replace(F.regexp_replace(l, r"\s*![^\n]*$", ""), r"\s*\{[^}]*\}\s*$", "")))
+    of = lambda key: F.transform(F.filter("lines", lambda l: l.startswith(key)), lambda l: F.trim(F.substring(l, len(key) + 1, 10_000)))
+    found = stanzas.select(lines.alias("lines")).select(F.get(of("id:"), F.lit(0)).alias("id"), F.get(of("name:"), F.lit(0)).alias("name"), of("is_a:").alias("is_a"), of("relationship: part_of").alias("part_of"), F.exists(of("is_obsolete:"), lambda x: F.lower(x) == "true").alias("obsolete"))
+    found = found.where("id IS NOT NULL AND NOT obsolete")
+    terms = found.select("id", "name")
+    edges = found.select(F.col("id").alias("child"), F.explode(F.array(*(F.struct(F.lit(r).alias("relation"), F.col(r).alias("parents")) for r in ("is_a", "part_of")))).alias("e"))
+    edges = edges.select("child", F.explode("e.parents").alias("parent"), F.col("e.relation").alias("relation"))
+    return terms, edges.join(terms.select(F.col("id").alias("parent")).distinct(), "parent").select("parent", "child", "relation").distinct()
