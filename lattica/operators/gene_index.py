@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..catalog import register
 from ..functions import names as N
 from ..matrix import part_by_order, table
+from ..plans.scratch import broadcast_small, materialize
 
 #: Gene symbols that HGNC renamed, old and new.
 RENAMES = (
@@ -148,21 +149,26 @@ def matched_statistics(cells: DataFrame, groups: DataFrame, neighbours: DataFram
     this average, scaled to the column's own total, where it has any. cells: (row_id, col_id, val); groups: (col_id, sample);
     neighbours: (query, id, distance) as of neighbours.knn(). Columns without a match keep their cells and impute nothing.
     """
-    from .neighbours import matched_columns
-
+    cells = materialize(cells.select("row_id", "col_id", "val"), "cells")
     by = Window.partitionBy("query")
     w = neighbours.withColumn("e", F.exp(F.min("distance").over(by) - F.col("distance")))
-    w = w.select("query", "id", (F.col("e") / F.sum("e").over(by)).alias("weight"))
-    there = matched_columns(cells, w).join(w.select(F.col("query").alias("col_id"), F.col("id").alias("neighbour"), "weight"), ["col_id", "neighbour"])
-    hat = there.groupBy("col_id", "row_id").agg(F.sum(F.col("val") * F.col("weight")).alias("hat"))
-    own = cells.select("col_id", "row_id", "val")
-    both = own.join(hat, ["col_id", "row_id"], "full")
-    totals = own.groupBy("col_id").agg(F.sum("val").alias("x")).join(hat.groupBy("col_id").agg(F.sum("hat").alias("h")), "col_id", "left")
-    both = both.join(totals.select("col_id", F.when(F.col("h") > 0, F.col("x") / F.col("h")).otherwise(1.0).alias("scale")), "col_id", "left")
+    w = materialize(w.select(F.col("query").alias("col_id"), F.col("id").alias("neighbour"), (F.col("e") / F.sum("e").over(by)).alias("weight")), "weights")
+    there = cells.withColumnsRenamed({"col_id": "neighbour", "val": "there"}).join(w.select("neighbour").distinct(), "neighbour", "left_semi")
+    there = materialize(there, "matched")
+    # What a sample imputes and a column's total are sums of products, taken factor by factor.
+    weights = w.join(groups, "col_id").groupBy("neighbour", "sample").agg(F.sum("weight").alias("weight"))
+    imputed = there.join(weights, "neighbour").groupBy("row_id", "sample").agg(F.sum(F.col("there") * F.col("weight")).alias("imputed"))
+    held = w.join(there.groupBy("neighbour").agg(F.sum("there").alias("held")), "neighbour").groupBy("col_id").agg(F.sum(F.col("held") * F.col("weight")).alias("h"))
+    # A matched average is needed only where the column has a cell itself.
+    hat = cells.join(there.select("row_id").distinct(), "row_id", "left_semi").join(w, "col_id").join(broadcast_small(there), ["neighbour", "row_id"])
+    hat = hat.groupBy("col_id", "row_id").agg(F.sum(F.col("there") * F.col("weight")).alias("hat"))
+    totals = cells.groupBy("col_id").agg(F.sum("val").alias("x")).join(held, "col_id", "left").join(groups, "col_id")
+    own = cells.join(hat, ["col_id", "row_id"], "left").join(totals.select("col_id", "sample", F.when(F.col("h") > 0, F.col("x") / F.col("h")).otherwise(1.0).alias("scale")), "col_id")
     ratio = F.when(F.col("hat") > 0, F.col("val") / (F.col("hat") * F.col("scale"))).otherwise(F.col("val"))
     none = F.lit(0.0)
-    out = both.join(groups, "col_id").groupBy("row_id", "sample").agg(F.sum(F.coalesce("hat", none)).alias("imputed"), F.sum(F.coalesce(ratio, none)).alias("residual"))
-    return out
+    residual = own.groupBy("row_id", "sample").agg(F.sum(F.coalesce(ratio, none)).alias("residual"))
+    out = imputed.select("row_id", "sample", F.coalesce("imputed", none).alias("imputed"), none.alias("residual")).unionAll(residual.select("row_id", "sample", none, "residual"))
+    return out.groupBy("row_id", "sample").agg(F.sum("imputed").alias("imputed"), F.sum("residual").alias("residual"))
 
 
 _S = """x AS (SELECT l_suppkey AS row_id, l_partkey AS col_id, sum(l_quantity)::DOUBLE AS val FROM lineitem GROUP BY ALL), g AS (SELECT p_partkey AS col_id, p_size % 3 AS sample FROM part),

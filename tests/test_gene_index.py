@@ -97,3 +97,18 @@ def test_matched_statistics(spark, seed):
     ).collect()
     assert {(r.row_id, r.sample) for r in got} == set(imputed)
     assert all(abs(r.imputed - imputed[r.row_id, r.sample]) < 1e-9 and abs(r.residual - residual[r.row_id, r.sample]) < 1e-9 for r in got)
+
+
+def test_matched_statistics_shuffle_no_pairs_of_columns_and_rows(spark):
+    """A thousand columns matched with three others of a thousand rows each: the three million products are never shuffled."""
+    written = lambda: sum(e.totalShuffleWrite() for e in (lambda x: [x.apply(i) for i in range(x.size())])(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    hubs = spark.range(3000).selectExpr("id % 1000 AS row_id", "id div 1000 AS col_id", "1D + id % 7 AS val")
+    cells = hubs.unionAll(spark.range(10, 1010).selectExpr("id % 10 AS row_id", "id AS col_id", "2D AS val"))
+    groups = spark.range(1010).selectExpr("id AS col_id", "id % 2 AS sample")
+    near = spark.range(3000).selectExpr("10 + id div 3 AS query", "id % 3 AS id", "double(id % 3) AS distance")
+    before = written()
+    found = {(r.row_id, r.sample): r for r in gi.matched_statistics(cells, groups, near).collect()}
+    assert written() - before < 1_000_000
+    w = [math.exp(-i) / sum(math.exp(-j) for j in range(3)) for i in range(3)]
+    value = lambda row, col: 1.0 + (1000 * col + row) % 7
+    assert all(abs(found[row, s].imputed - 500 * sum(w[i] * value(row, i) for i in range(3))) < 1e-6 for row in (0, 3, 999) for s in (0, 1))
