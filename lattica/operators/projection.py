@@ -8,10 +8,13 @@ orthonormal by a tree of QR steps, whose triangles of k by k numbers alone reach
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..catalog import register
 from ..matrix import X, part_by_order, table
@@ -24,23 +27,41 @@ _SIGNS = 60
 _HELD = 100_000
 
 
+def _word(key: Column, seed: int, i: int) -> Column:
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(i)), key.cast("string"))), 1, 15), 16, 10).cast("long")
+
+
+def _bit(word: Column, k: int) -> Column:
+    return F.shiftright(word, k % _SIGNS).bitwiseAND(1) * 2 - 1
+
+
 def sign(key: Column, seed: int, k: int) -> Column:
     """The k-th entry of the key's row of the basis: 1 or -1."""
-    word = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(k // _SIGNS)), key.cast("string"))), 1, 15), 16, 10).cast("long")
-    return F.shiftright(word, k % _SIGNS).bitwiseAND(1) * 2 - 1
+    return _bit(_word(key, seed, k // _SIGNS), k)
+
+
+@F.arrow_udf(DoubleType())
+def ln(x: pa.Array) -> pa.Array:
+    """The C library's natural logarithm, whose last bit the JVM's own does not always share; null where there is none."""
+    known = x.dictionary_encode()
+    logs = pa.array([math.log(v) if v is not None and v > 0 else None for v in known.dictionary.to_pylist()], pa.float64())
+    return logs.take(known.indices)
 
 
 def project_columns(cells: DataFrame, dims: int, seed: int = 1, weights: DataFrame | None = None, batches: DataFrame | None = None, clip: float = 4.0) -> DataFrame:
     """(col_id, vector): the columns of ln(1 + val), each scaled to length 1, times a basis of random signs; centred in each batch (col_id, batch) if given, scaled per column to mean 0 and variance 1, and clipped.
 
     weights: (row_id, weight) of the basis' rows; rows of weight 0 or without one count nothing. Columns without cells have no vector.
-    A column of any number of cells is summed in parts before the shuffle.
+    A column of any number of cells is summed in parts before the shuffle. A column whose sums agree in all dimensions has no
+    variance but that of rounding, by which it is divided if there is any: hence the logarithm of the C library, as in SQL.
     """
-    value = F.log1p(F.col("val"))
+    value = F.col("__ln")
     weight = F.lit(1.0)
     if weights is not None:
         cells, weight = cells.join(weights, "row_id"), F.col("weight")
-    signs = [F.sum(value * weight * sign(F.col("row_id"), seed, k)).alias(f"s{k}") for k in range(dims)]
+    words = [_word(F.col("row_id"), seed, i).alias(f"__w{i}") for i in range(-(-dims // _SIGNS))]
+    cells = cells.select("col_id", ln(1 + F.col("val").cast("double")).alias("__ln"), weight.alias("weight"), *words)
+    signs = [F.sum(value * F.col("weight") * _bit(F.col(f"__w{k // _SIGNS}"), k)).alias(f"s{k}") for k in range(dims)]
     norm = F.greatest(F.sqrt(F.sum(value * value)), F.lit(1e-8)).alias("norm")
     out = cells.groupBy("col_id").agg(norm, *signs)
     out = out.select("col_id", F.array(*(F.col(f"s{k}") / F.col("norm") for k in range(dims))).alias("vector"))

@@ -84,3 +84,27 @@ def test_projection_as_plain(spark, weighted):
     p = np.clip((p - p.mean(axis=1, keepdims=True)) / np.where(p.std(axis=1, keepdims=True) > 0, p.std(axis=1, keepdims=True), 1), -4, 4)
     assert {r.id for r in got} == set(np.flatnonzero(keep).tolist())
     assert all(np.allclose(r.vector, p[r.id]) for r in got)
+
+
+def test_columns_without_variance_as_in_sql(spark):
+    """Columns of two cells whose sums agree in all dimensions: whether rounding leaves a variance is told by the logarithm's last bit."""
+    import math
+
+    words = {i: projection_word(i) for i in range(4000)}
+    flat = {v: [i for i, w in words.items() if w & 63 == v][:2] for v in (0, 63)}
+    pairs = [(r, x, y) for rows in flat.values() for r in [tuple(rows)] for x in range(1, 51) for y in range(x, 60)]
+    cells = spark.createDataFrame([(row, c, float(v)) for c, (r, x, y) in enumerate(pairs) for row, v in zip(r, (x, y))], "row_id long, col_id long, val double")
+    got = {r.col_id: r.vector for r in projection.project_columns(cells, 6).collect()}
+    for c, (r, x, y) in enumerate(pairs):
+        s = 1.0 if words[r[0]] & 63 else -1.0
+        a, b = math.log(1 + x), math.log(1 + y)
+        v = s * (a + b) / math.sqrt(a * a + b * b)
+        mean = (v + v + v + v + v + v) / 6
+        spread = math.sqrt(sum([(v - mean) ** 2] * 6) / 6)
+        assert got[c] == [(v - mean) / (spread if spread > 0 else 1.0)] * 6, (x, y)
+
+
+def projection_word(i):
+    import hashlib
+
+    return int(hashlib.md5(f"1:0:{i}".encode()).hexdigest()[:15], 16)
