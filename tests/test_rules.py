@@ -111,3 +111,16 @@ print(materialize(spark.range(3), "x").count(), session_folder(spark))
     out = subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=120).stdout.split()
     assert out[0] == "3" and out[1].startswith(f"file://{folder}/lattica-") and not os.path.exists(out[1].removeprefix("file://"))
     assert scratch.materialize is not None
+
+
+def test_common_neighbours_by_lists_and_by_prefixes(spark):
+    """Both ways give the same pairs; a flat graph shuffles lists of neighbours, not its candidates' neighbours."""
+    edges = spark.createDataFrame(hub_graph(4), "u long, v long")
+    for least in (1, 2, 4):
+        ways = [{tuple(r) for r in graph.augment_snn(edges, least, listed, cheap).collect()} for listed, cheap in ((20_000, 256), (3, 256), (20_000, 0))]
+        assert ways[0] == ways[1] == ways[2]
+    written = lambda: sum(e.totalShuffleWrite() for e in (lambda x: [x.apply(i) for i in range(x.size())])(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    before = written()
+    flat = spark.range(20_000).selectExpr("pmod(xxhash64(id), 2000) AS u", "2000 + pmod(xxhash64(id, 1), 2000) AS v").distinct()
+    assert graph.augment_snn(flat, 2).count() > 0
+    assert written() - before < 2_600_000
