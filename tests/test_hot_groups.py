@@ -144,3 +144,14 @@ def test_peak_counts(spark, spans, monkeypatch, most):
                 want[peak, barcode] = want.get((peak, barcode), 0) + 1
     assert got == want
     assert intervals.peak_counts(spark.createDataFrame([], "chr string, start long, end long, barcode string"), df).collect() == []
+
+
+def test_peak_counts_leave_split_cells_once(spark, spans):
+    """Counts of a split cell are final and leave their task in blocks of pairs: none are gathered or added up afterwards."""
+    rows, df = spans
+    frags = spark.range(3000).selectExpr("'1' AS chr", "id % 900 * 10 AS start", "id % 900 * 10 + 50 AS end", "id % 40 AS barcode")
+    found = intervals.peak_counts(frags, df, 100)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("FlatMapGroupsInArrow") == 1
+    want = sum(1 for c, s, e, _ in rows if c == "1" and e > s for b in range(40) if any(i % 900 * 10 < e and s < i % 900 * 10 + 50 for i in range(b, 3000, 40)))
+    assert found.count() == want
