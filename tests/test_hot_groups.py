@@ -155,3 +155,19 @@ def test_peak_counts_leave_split_cells_once(spark, spans):
     assert "Aggregate" not in plan and plan.count("FlatMapGroupsInArrow") == 1
     want = sum(1 for c, s, e, _ in rows if c == "1" and e > s for b in range(40) if any(i % 900 * 10 < e and s < i % 900 * 10 + 50 for i in range(b, 3000, 40)))
     assert found.count() == want
+
+
+@pytest.mark.parametrize("width", [0, 3, 20])
+def test_points_of_a_place_follow_one_another(spark, width):
+    """All pairs of points with windows and intervals, whose points come out by place, so that a file holds a place's list nearly once."""
+    random.seed(6)
+    where = [(i, i % 2, random.randrange(-30, 60)) for i in range(120)]
+    points, centres = spark.createDataFrame(where, "id long, chr int, pos int"), spark.createDataFrame([(i, c, p // 2) for i, c, p in where], "gene long, chr int, centre int")
+    found = intervals.within_window(points, centres, "chr", width)
+    assert sorted((r.gene, r.id) for r in found.collect()) == sorted((g, i) for g, c, x in where for i, d, p in where if c == d and abs(p - x // 2) <= width)
+    spans = centres.selectExpr("gene", "chr", "centre AS start", f"centre + {width} AS end")
+    inside = intervals.containing(points, spans, ["chr"], 1)
+    assert sorted((r.gene, r.id) for r in inside.collect()) == sorted((g, i) for g, c, x in where for i, d, p in where if c == d and x // 2 <= p <= x // 2 + width)
+    for df in (found, inside) if width <= intervals.NARROW else (inside,):
+        places = [(r.chr, r.pos) for r in df.collect()]
+        assert len([1 for a, b in zip([None, *places], places) if a != b]) == len(set(places))
