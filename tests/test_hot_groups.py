@@ -171,3 +171,17 @@ def test_points_of_a_place_follow_one_another(spark, width):
     for df in (found, inside) if width <= intervals.NARROW else (inside,):
         places = [(r.chr, r.pos) for r in df.collect()]
         assert len([1 for a, b in zip([None, *places], places) if a != b]) == len(set(places))
+
+
+def test_tiles_are_cut_after_the_shuffle(spark):
+    """Tiles of long intervals, also before 0, by counting; what is shuffled is a row for each stretch of tiles."""
+    random.seed(7)
+    frags = [(random.choice("12"), s := random.randrange(-900, 3000), s + random.choice([0, 1, 10, 700]), random.randrange(3)) for _ in range(150)]
+    want = {}
+    for c, s, e, b in frags:
+        for t in range(int(s / 10), int((e - 1) / 10) + 1) if e > s else ():
+            want[c, t, b] = want.get((c, t, b), 0) + 1
+    df = spark.createDataFrame(frags, "chr string, start long, end long, barcode int").where("end > start")
+    assert {(r.chr, r.tile, r.barcode): r.val for r in intervals.tile_counts(df, 10).collect()} == want
+    plan = intervals.tile_counts(df, 10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.rindex("tile") > 0 and "partial_count" in plan[: plan.index("Exchange hashpartitioning")]
