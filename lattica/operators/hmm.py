@@ -27,6 +27,10 @@ from ..plans.ranking import ranged
 from ..plans.scratch import forget, materialize
 
 
+#: Rows of a bucket at most, on average: a task holds about a kilobyte for each.
+BUCKET = 150_000
+
+
 def sticky(means: list[float], switch: float = 1e-6, neutral: int = 1) -> tuple[list[float], np.ndarray, np.ndarray]:
     """(means, log transitions, log start): every other state with probability `switch`, the start as a step from the neutral state."""
     k = len(means)
@@ -152,7 +156,7 @@ def decode(rows: DataFrame, chain: str, position: list[str], trans: np.ndarray,
     rows = rows.where(F.col("emit").isNotNull() & ~F.exists("emit", lambda x: x.isNull()))
     kinds = {f.name: f for f in rows.schema.fields}
     order = [chain, *position]
-    dealt = ranged(rows, *order)
+    dealt = ranged(rows, *order, most=BUCKET)
     # A chain's first row: the bucket where the chain begins is its smallest.
     begins = dealt.groupBy(chain).agg(F.min("__bucket").alias("__begins"))
     marked = materialize(dealt.join(begins, chain), "chains")

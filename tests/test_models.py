@@ -225,3 +225,20 @@ def test_pseudotime_on_a_line(spark):
     points = spark.createDataFrame([(0, [-1.0, 0.3]), (1, [0.5, 0.2]), (2, [1.5, -0.1]), (3, [2.1, 0.75]), (4, [2.0, 5.0])], "id long, vector array<double>")
     got = {r.id: r.pseudotime for r in paths.pseudotime(points, centres, 0).collect()}
     assert all(abs(got[i] - w) < 1e-12 for i, w in {0: 0.0, 1: 0.5, 2: 1.5, 3: 2.75, 4: 3.0}.items())
+
+
+def test_hmm_buckets_are_bounded(spark, monkeypatch):
+    """A long chain fills many buckets of few rows, with the path and posteriors of one."""
+    from lattica.operators import hmm
+
+    rows = spark.range(3000).selectExpr("0 AS chain", "id AS at", "double(id % 37 > 18) + (id * 7919 % 11) / 20 AS v")
+    means, trans, start = hmm.sticky([0.0, 1.0], 0.05, 0)
+    emit = rows.select("chain", "at", hmm.gaussian("v", means).alias("emit"))
+    whole = {r.at: (r.state, r.posterior) for r in hmm.decode(emit, "chain", ["at"], trans, start).collect()}
+    monkeypatch.setattr(hmm, "BUCKET", 100)
+    seen, dealt = [], hmm.ranged
+    monkeypatch.setattr(hmm, "ranged", lambda *a, **k: seen.append(dealt(*a, **k)) or seen[-1])
+    monkeypatch.setattr(hmm, "forget", lambda df: None)
+    got = {r.at: (r.state, r.posterior) for r in hmm.decode(emit, "chain", ["at"], trans, start).collect()}
+    assert max(r["count"] for r in seen[0].groupBy("__bucket").count().collect()) < 400
+    assert len(got) == 3000 and all(got[i][0] == whole[i][0] and abs(got[i][1][0] - whole[i][1][0]) < 1e-9 for i in range(3000))
