@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..matrix import table
+from ..plans.scratch import materialize
 from .clustering import matrix
 
 _STEPS, _NEAR = 64, 1e-5
@@ -78,34 +79,64 @@ def flips(ids: np.ndarray, draws: int, seed: int) -> np.ndarray:
     return bits.astype(np.float64) * 2 - 1
 
 
+#: Rows of a group that one task sums, on average.
+SHARE = 2_000_000
+
+
 def sign_flip_pvalues(df: DataFrame, group: str, draws: int = 1000, seed: int = 0) -> DataFrame:
     """(group, n, mean, p): two-sided p-values of a mean of 0: one more than the draws of random signs whose mean is as far from 0, over one more than the draws. df: (group, id, x); rows without x are left out.
 
-    A row's signs come from a hash of its id, so sums are additive: every task returns one array a group, and a group may have any number of rows.
+    A row's signs come from a hash of its id, so sums are additive. Rows are shuffled, not arrays of draws: a task sums the groups that
+    it was dealt, one after the other; a group of more than SHARE rows is dealt to several, whose arrays are added up.
     """
     kind = dict(df.dtypes)[group]
     rows = df.where(F.col("x").isNotNull()).select(F.col(group).alias("__g"), F.xxhash64(F.lit(seed), "id").alias("h"), F.col("x").cast("double").alias("x"))
     schema = f"__g {kind}, n long, total double, sums array<double>"
 
     def run(batches):
+        # Rows of one share of a group follow one another.
+        held = None
+
+        def out(parts: list) -> pa.RecordBatch:
+            g, n, total, sums = zip(*parts)
+            return pa.record_batch([pa.array(g, names), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(sums, pa.list_(pa.float64()))], names=["__g", "n", "total", "sums"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
+            names = batch.column(0).type
             coded = batch.column(0).dictionary_encode()
             at = coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)
-            x = batch.column(2).to_numpy()
-            order = np.argsort(at, kind="stable")
-            at, x = at[order], x[order]
-            first = np.flatnonzero(np.diff(at, prepend=-1))
-            sums = np.add.reduceat(x[:, None] * flips(batch.column(1).to_numpy()[order], draws, seed), first, axis=0)
-            names = batch.column(0).take(pa.array(order[first]))
-            yield pa.record_batch([names, pa.array(np.diff([*first, len(x)])), pa.array(np.add.reduceat(x, first)), pa.array(list(sums), pa.list_(pa.float64()))], names=["__g", "n", "total", "sums"])
+            share, x = batch.column(1).to_numpy(), batch.column(3).to_numpy()
+            first = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(share, prepend=-1) != 0))
+            sums = np.add.reduceat(x[:, None] * flips(batch.column(2).to_numpy(), draws, seed), first, axis=0)
+            keys = list(zip(batch.column(0).take(pa.array(first)).to_pylist(), share[first].tolist()))
+            found = [[k[0], n, t, v] for k, n, t, v in zip(keys, np.diff([*first, len(x)]).tolist(), np.add.reduceat(x, first).tolist(), sums)]
+            if held is not None and held[0] == keys[0]:
+                found[0] = [keys[0][0], *(a + b for a, b in zip(held[1][1:], found[0][1:]))]
+            elif held is not None:
+                yield out([held[1]])
+            held = keys[-1], found[-1]
+            if len(found) > 1:
+                yield out(found[:-1])
+        if held is not None:
+            yield out([held[1]])
 
     def add(part: pa.Table) -> pa.Table:
         sums = matrix(part.column("sums").combine_chunks()).sum(axis=0)
         return pa.table({"__g": part.column("__g")[:1], "n": pa.array([pa.compute.sum(part.column("n")).as_py()]), "total": pa.array([pa.compute.sum(part.column("total")).as_py()]), "sums": pa.array([sums.tolist()], pa.list_(pa.float64()))})
 
-    found = rows.mapInArrow(run, schema).groupBy("__g").applyInArrow(add, schema)
+    def summed(some: DataFrame) -> DataFrame:
+        dealt = some.select("__g", "share", "h", "x").repartition("__g", "share").sortWithinPartitions("__g", "share")
+        return dealt.mapInArrow(run, schema)
+
+    crowds = rows.groupBy("__g").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")).where("shares > 1")
+    crowds = materialize(crowds.withColumnRenamed("__g", "__c"), "crowds")
+    if crowds.isEmpty():
+        found = summed(rows.withColumn("share", F.lit(0)))
+    else:
+        rows = rows.join(F.broadcast(crowds), F.col("__g").eqNullSafe(F.col("__c")), "left").withColumn("share", F.coalesce(F.pmod(F.xxhash64("h"), F.col("shares")), F.lit(0)).cast("int"))
+        found = summed(rows.where("shares IS NULL")).unionAll(summed(rows.where("shares > 1")).groupBy("__g").applyInArrow(add, schema))
     # Sums of the same numbers in another order differ in the last bits.
     far = F.size(F.filter("sums", lambda s: F.abs(s) >= F.abs(F.col("total")) - 1e-9 * F.abs(F.col("total"))))
     return found.select(F.col("__g").alias(group), "n", (F.col("total") / F.col("n")).alias("mean"), ((far + 1) / F.lit(draws + 1.0)).alias("p"))

@@ -55,3 +55,16 @@ def test_sign_flips(spark):
     assert got["null"].p == (1 + (np.abs(x @ signs) >= abs(x.sum()) * (1 - 1e-9)).sum()) / 301
     assert abs(signs.mean()) < 0.03 and abs(np.corrcoef(signs[:, :8].T) - np.eye(8)).max() < 0.5
     assert kernels.sign_flip_pvalues(df.where("false"), "grp").collect() == []
+
+
+def test_sign_flips_of_many_groups_and_of_a_crowd(spark, monkeypatch):
+    """Many small groups shuffle rows, not an array of draws for each batch; a crowded group is dealt to several tasks with the same result."""
+    written = lambda: sum(e.totalShuffleWrite() for e in (lambda x: [x.apply(i) for i in range(x.size())])(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    df = spark.range(20_000).selectExpr("IF(id < 8000, 0, IF(id < 8100, NULL, id % 3000)) AS grp", "id", "(id % 13 - 5.5D) / 7 AS x")
+    before = written()
+    once = {r.grp: r for r in kernels.sign_flip_pvalues(df, "grp", 300, 7).collect()}
+    assert written() - before < 1_500_000
+    monkeypatch.setattr(kernels, "SHARE", 1000)
+    again = {r.grp: r for r in kernels.sign_flip_pvalues(df, "grp", 300, 7).collect()}
+    assert len(once) == 3001 and once[0].n == 8004 and once[None].n == 100 and {g: r.p for g, r in once.items()} == {g: r.p for g, r in again.items()}
+    assert all(r.n == again[g].n and abs(r.mean - again[g].mean) < 1e-12 for g, r in once.items())
