@@ -69,10 +69,12 @@ def project_columns(cells: DataFrame, dims: int, seed: int = 1, weights: DataFra
         known = materialize(out.join(batches.select("col_id", "batch"), "col_id"), "projected")
         means = known.groupBy("batch").agg(F.array(*(F.avg(F.col("vector")[k]) for k in range(dims))).alias("__mean"))
         out = known.join(means, "batch").select("col_id", F.zip_with("vector", "__mean", lambda x, m: x - m).alias("vector"))
+    # Mean and spread stand beside the vector, once a row: inside a lambda they would be worked out again for every element.
     mean = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x) / dims
-    spread = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / dims)
-    scaled = F.transform("vector", lambda x: F.greatest(F.lit(-clip), F.least(F.lit(clip), (x - mean) / F.when(spread > 0, spread).otherwise(1.0))))
-    return out.select("col_id", scaled.alias("vector"))
+    out = out.select("col_id", F.zip_with("vector", F.array_repeat(mean, dims), lambda x, m: x - m).alias("__apart"))
+    spread = F.sqrt(F.aggregate("__apart", F.lit(0.0), lambda s, x: s + x * x) / dims)
+    spread = F.array_repeat(F.coalesce(F.nullif(spread, F.lit(0.0)), F.lit(1.0)), dims)
+    return out.select("col_id", F.zip_with("__apart", spread, lambda x, s: F.greatest(F.lit(-clip), F.least(F.lit(clip), x / s))).alias("vector"))
 
 
 def triangle(rows: DataFrame) -> np.ndarray:
