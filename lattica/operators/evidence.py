@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import register
-from ..matrix import X, part_by_order, table
+from ..matrix import Matrix, X, part_by_order, table
 from ..plans.ranking import global_position
+from ..plans.spread import spread
 
 _TABLE = """SELECT l_partkey AS part, count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'F') AS a, count(*) FILTER (l_returnflag = 'R' AND l_linestatus <> 'F') AS b,
 count(*) FILTER (l_returnflag <> 'R' AND l_linestatus = 'F') AS c, count(*) FILTER (l_returnflag <> 'R' AND l_linestatus <> 'F') AS d FROM lineitem GROUP BY 1"""
@@ -135,17 +136,21 @@ def _intercepts(spark, d):
     return score_intercepts(l.join(varied, "trait", "left_semi"), "trait", "l_quantity", "y").select("trait", F.round("intercept", 5).alias("intercept"), F.round("slope", 5).alias("slope"))
 
 
-def sums_by_groupings(cells: DataFrame, labels: DataFrame, groupings: list[str]) -> DataFrame:
+def sums_by_groupings(m: Matrix, labels: DataFrame, groupings: list[str]) -> DataFrame:
     """(grouping, label, row_id, total): sums of rows over the columns of each label, for several groupings in one shuffle; null and negative labels take no part. labels: (col_id, a column for each grouping)."""
     long = labels.unpivot(["col_id"], groupings, "grouping", "label").where("label >= 0")
-    return cells.join(long, "col_id").groupBy("grouping", "label", "row_id").agg(F.sum("val").alias("total"))
+    keys = ["grouping", "label", "row_id"]
+    joined = m.cells.join(long, "col_id")
+    if m.most is not None:
+        joined = spread(joined, m.most * len(groupings), *keys)
+    return joined.groupBy(*keys).agg(F.sum("val").alias("total"))
 
 
 @register("sums_by_groupings", f"""WITH {X}, g AS (SELECT o_orderkey AS col_id, o_custkey % 4 AS g, (o_orderkey % 7 - 1) AS h FROM orders), l AS (SELECT col_id, 'g' AS grouping, g AS label FROM g UNION ALL SELECT col_id, 'h', h FROM g)
 SELECT grouping, label::BIGINT AS label, row_id, sum(val) AS total FROM x JOIN l USING (col_id) WHERE label >= 0 GROUP BY ALL""")
 def _groupings(spark, d):
     labels = table(spark, d, "orders").selectExpr("o_orderkey AS col_id", "cast(o_custkey % 4 AS long) AS g", "cast(o_orderkey % 7 - 1 AS long) AS h")
-    return sums_by_groupings(part_by_order(spark, d).cells, labels, ["g", "h"])
+    return sums_by_groupings(part_by_order(spark, d), labels, ["g", "h"])
 
 
 def batch_sums(cells: DataFrame, columns: DataFrame) -> DataFrame:
