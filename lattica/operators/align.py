@@ -11,6 +11,8 @@ from ..catalog import register
 from ..functions import names as N
 from ..matrix import table
 from ..plans.ranking import global_position
+from ..plans.scratch import materialize
+from ..plans.spread import spread
 
 
 def row_dictionary(backends: DataFrame, how: str = "union", at_least: int = 1) -> DataFrame:
@@ -73,26 +75,36 @@ def _grid(spark, d):
 def match_keys(queries: DataFrame, keys: DataFrame, delimiter: str = "@") -> DataFrame:
     """(query, key, tier): 1 exact, 2 text before the delimiter equal, 3 a key that starts with the query, 4 a key that the query starts with; the first tier that matches wins, in it the smallest key.
 
-    queries: (query). keys: (key). Tiers 3 and 4 join on every prefix length
-    that occurs, as equi-joins.
+    queries: (query). keys: (key). Tiers 3 and 4 join on every prefix length that occurs, as
+    equi-joins. Keys that share a prefix are one row, the smallest of them, before they are
+    joined, so a prefix of all keys costs no task more; prefixes are made in tasks of a
+    bounded number of rows.
     """
-    q, k = queries.select("query").distinct(), keys.select("key").distinct()
-    base = lambda c: F.substring_index(c, delimiter, 1)
-    best = lambda df, tier: df.groupBy("query").agg(F.min("key").alias("key")).withColumn("tier", F.lit(tier))
+    q, k = (materialize(df.select(c).where(F.col(c).isNotNull()).distinct(), c) for df, c in ((queries, "query"), (keys, "key")))
+    base = lambda c: F.substring_index(c, delimiter, 1).alias("start")
+
+    def starts(long: DataFrame, text: str, short: DataFrame, name: str) -> DataFrame:
+        """(text, l, start) for the lengths that the shorter side has."""
+        lengths = [r[0] for r in short.select(F.length(name).alias("l")).where("l > 0").distinct().collect()]
+        of = F.filter(F.array(*map(F.lit, sorted(lengths))), lambda l: l <= F.length(text)) if lengths else F.array().cast("array<int>")
+        dealt = spread(long, long.count() * max(1, len(lengths)), text)
+        return dealt.withColumn("l", F.explode(of)).withColumn("start", F.expr(f"substring({text}, 1, l)"))
+
+    least = lambda df: df.groupBy("start").agg(F.min("key").alias("key"))
     out, left = [], q
     for tier in (1, 2, 3, 4):
         if tier == 1:
             hit = left.join(k, F.col("query") == F.col("key"))
         elif tier == 2:
-            hit = left.withColumn("b", base(F.col("query"))).join(k.withColumn("b", base(F.col("key"))), "b")
+            hit = left.withColumn("start", base("query")).join(least(k.withColumn("start", base("key"))), "start")
+        elif tier == 3:
+            hit = left.join(least(starts(k, "key", left, "query")), F.col("query") == F.col("start"))
         else:
-            short, long, s, t = (left, k, "query", "key") if tier == 3 else (k, left, "key", "query")
-            # Only the lengths that the shorter side has.
-            lengths = short.select(F.length(s).alias("l")).where("l > 0").distinct()
-            starts = long.where(F.length(t) > 0).withColumn("l", F.explode(F.sequence(F.lit(1), F.length(t)))).join(lengths, "l", "left_semi")
-            hit = short.join(starts.withColumn("start", F.expr(f"substring({t}, 1, l)")), F.col(s) == F.col("start"))
-        out.append(best(hit, tier))
-        left = left.join(out[-1].select("query"), "query", "left_anti")
+            # Of the keys that a query starts with, the shortest is the smallest.
+            found = starts(left, "query", k, "key").join(k.withColumnRenamed("key", "start"), "start").groupBy("query").agg(F.min("l").alias("l"))
+            hit = found.withColumn("key", F.expr("substring(query, 1, l)"))
+        out.append(materialize(hit.select("query", "key", F.lit(tier).alias("tier")), "hits"))
+        left = materialize(left.join(out[-1].select("query"), "query", "left_anti"), "left")
     return reduce(DataFrame.unionAll, out)
 
 
