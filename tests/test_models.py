@@ -220,6 +220,22 @@ def test_spanning_forest_and_distances(spark):
     assert got == far
 
 
+def test_spanning_forest_keeps_one_edge_between_components(spark, monkeypatch):
+    """A complete graph of six scales: from the second round on one open edge is left for two components."""
+    kept, open_ = paths.materialize, []
+
+    def counted(df, name):
+        out = kept(df, name)
+        open_.extend([out.count()] if name == "edges" else [])
+        return out
+
+    monkeypatch.setattr(paths, "materialize", counted)
+    edges = [(i, j, float((i ^ j).bit_length())) for i in range(64) for j in range(i + 1, 64)]
+    got = paths.spanning_forest(spark.createDataFrame(edges, "u long, v long, w double")).collect()
+    assert open_ == [2016, 1984, 120, 28, 6, 1, 0]
+    assert sorted((r.u, r.v, r.w) for r in got) == sorted((i, i + (1 << k), k + 1.0) for k in range(6) for i in range(0, 64, 2 << k))
+
+
 def test_pseudotime_on_a_line(spark):
     centres = np.array([[0.0, 0], [1, 0], [2, 0], [2, 1]])
     points = spark.createDataFrame([(0, [-1.0, 0.3]), (1, [0.5, 0.2]), (2, [1.5, -0.1]), (3, [2.1, 0.75]), (4, [2.0, 5.0])], "id long, vector array<double>")
